@@ -15,15 +15,19 @@ def pair_ids(pairs: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
+def named_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets a pair table names."""
+    return sets.join(pair_ids(pairs), "set_id", "left_semi")
+
+
 def exact_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Attach ``n_a, n_b, inter, exact`` to ``(a, b, ...)``.
 
-    ``sets`` holds deduplicated members (row sets or long).  Only sets named by a pair are expanded;
-    the second join is on (set, cell), so a set in many pairs or with very many cells spreads over
-    its cells.  A set without cells counts as empty.
+    ``sets`` holds deduplicated members (row sets or long); narrow it with ``named_sets`` first when
+    few sets occur in pairs.  The second join is on (set, cell), so a set in many pairs or with very
+    many cells spreads over its cells.  A set without cells counts as empty.
     """
-    wanted = sets.join(pair_ids(pairs), "set_id", "left_semi")
-    cells = exploded(wanted)
+    cells = exploded(sets)
     left = pairs.select("a", "b").join(cells.withColumnRenamed("set_id", "a"), "a")
     shared = (
         left.join(cells.withColumnRenamed("set_id", "b"), ["b", "cell"], "left_semi")
@@ -31,7 +35,7 @@ def exact_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("inter"))
     )
     if "cells" in sets.columns:
-        sizes = wanted.select("set_id", F.size("cells").cast("long").alias("n_cells"))
+        sizes = sets.select("set_id", F.size("cells").cast("long").alias("n_cells"))
     else:
         sizes = set_sizes(cells)
     zero = F.lit(0).cast("long")

@@ -66,16 +66,19 @@ def running_total(
     )
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+def average_ranks(
+    df: DataFrame, group: Sequence[str], value: str, name: str = "rank", weight: str | None = None
+) -> DataFrame:
     """``(group..., value, n, rank)``: ties share the mean of their positions, from 1.
 
     Works on counted distinct values, so a value or group holding most rows is one pre-aggregated row.
+    ``weight`` names the count of rows that are counted already.
     """
-    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.groupBy(*group, value).agg(n.alias("n"))
     running = running_total(counted, [*group, value], "n", "_seen")
     starts = running.groupBy(*group).agg(F.min("_seen").alias("_start"))
-    joined = running.join(starts, list(group))
-    return joined.select(
+    return running.join(starts, list(group)).select(
         *group, value, "n", (F.col("_seen") - F.col("_start") + (F.col("n") + 1) / 2).alias(name)
     )
 

@@ -16,6 +16,7 @@ from gridkin.operators.families import (
     axis_coordinates,
     kron_axis_table,
 )
+from gridkin.operators.library import LibraryFamily, library_signatures
 from gridkin.operators.shipping import ship
 
 
@@ -31,6 +32,11 @@ def signatures(sets: DataFrame, family: Family, keep: Sequence[str] = ()) -> Dat
     broadcast limit are applied a slice of planes at a time.  ``keep`` names further columns of row
     sets that pass through.
     """
+    if isinstance(family, LibraryFamily):
+        rows = sets
+        if "cells" not in sets.columns:
+            rows = sets.groupBy("set_id").agg(F.collect_set("cell").alias("cells"))
+        return library_signatures(rows, family)
     slices = -(-family.nbytes() // BROADCAST_LIMIT)
     width = -(-family.k // min(slices, family.k))
     parts = [
