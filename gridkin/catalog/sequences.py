@@ -116,16 +116,13 @@ def sequence_anchor_all(spark, sf):
 _SEQ_SQL = f"""
       seqs AS (SELECT doc_id AS seq_id,
                       replace(translate(text, '{LETTERS}', '{BASES}'), ' ', '') AS seq FROM documents),
-      chars AS (SELECT seq_id, seq, string_split(seq, '') AS c FROM seqs),
-      kmers AS (SELECT DISTINCT seq_id, kmer FROM (
-          SELECT seq_id, array_to_string(c[i : i + {K - 1}], '') AS kmer
-          FROM (SELECT seq_id, c, unnest(generate_series(1, len(c) - {K - 1})) AS i FROM chars
-                WHERE len(c) >= {K}))
-        WHERE regexp_full_match(kmer, '[ACGT]+'))"""
+      runs AS (SELECT seq_id, unnest(regexp_extract_all(seq, '[ACGT]{{{K},}}')) AS run FROM seqs),
+      kmers AS (SELECT DISTINCT seq_id, substr(run, i, {K}) AS kmer
+                FROM (SELECT *, unnest(generate_series(1, length(run) - {K - 1})) AS i FROM runs))"""
 
 
 def _horner_sql(base: int) -> str:
-    h = "0"
+    h = "0::BIGINT"
     for i in range(1, K + 1):
         h = f"(({h}) * {base} + ascii(kmer[{i}])) % {PRIME}"
     return h
@@ -133,10 +130,10 @@ def _horner_sql(base: int) -> str:
 
 _CELLS_SQL = f"""{_SEQ_SQL},
       words AS (SELECT DISTINCT kmer FROM kmers),
-      placed AS (SELECT kmer, ((({_horner_sql(31)}) % 64) * 64 + ({_horner_sql(37)}) % 64) * 64
+      hashed AS (SELECT kmer, ((({_horner_sql(31)}) % 64) * 64 + ({_horner_sql(37)}) % 64) * 64
                    + ({_horner_sql(41)}) % 64 AS cell FROM words),
       seq_cells AS (SELECT DISTINCT seq_id AS set_id, cell::BIGINT AS cell
-                    FROM kmers JOIN placed USING (kmer))"""
+                    FROM kmers JOIN hashed USING (kmer))"""
 
 
 def _reduce_sql(base: int) -> str:
