@@ -18,7 +18,13 @@ from gridkin.operators.overlap import anchor_estimate, anchor_overlap, exact_jac
 from gridkin.operators.signatures import signatures
 from gridkin.operators.storage import scratch_path, write_and_read
 from gridkin.plans.batches import batch_report, batch_summary, scored_batch
-from gridkin.plans.duplicates import copies, expand_copies, near_duplicate_pairs
+from gridkin.plans.duplicates import (
+    copies,
+    expand_copies,
+    hashed_sets,
+    near_duplicate_pairs,
+    representatives,
+)
 from gridkin.plans.evaluation import evaluate, scored_pairs
 from gridkin.sources import pairs as pair_files
 
@@ -53,10 +59,8 @@ def near_duplicates_expanded(spark, sf):
 
 def lsh_candidates(spark, sf):
     """Document pairs of distinct content sharing a band, at or above the floor."""
-    sets = src.text_sets(spark, sf)
-    groups = copies(sets)
-    reps = write_and_read(groups.where("set_id = rep").select("set_id"), "reps")
-    sigs = write_and_read(signatures(sets, ClassicFamily(K)), "signatures")
+    sigs, groups = hashed_sets(src.text_sets(spark, sf), ClassicFamily(K))
+    reps = representatives(groups)
     pairs = banding.candidate_pairs(sigs, banding.even_bands(K, BANDS), K, FLOOR, reps)
     return banding.estimated_pairs(pairs, sigs, FLOOR)
 
@@ -87,7 +91,8 @@ def anchor_similarity(spark, sf):
     """Supplier 1 against all others, exact and estimated."""
     sets = src.supplier_sets(spark, sf)
     exact = anchor_overlap(sets, 1)
-    est = anchor_estimate(signatures(sets, ClassicFamily(K)), 1)
+    sigs = write_and_read(signatures(sets, ClassicFamily(K)), "signatures")
+    est = anchor_estimate(sigs, 1)
     return exact.join(est, "set_id").select(
         "set_id", "n_cells", "inter", F.round("exact", 9).alias("exact"), "est",
         similarity_class("exact").alias("similarity"),
@@ -188,7 +193,7 @@ def pair_summary(spark, sf):
 def library_join(spark, sf):
     """Similar documents by the library's join, over sets of distinct content."""
     sets = src.text_sets(spark, sf)
-    reps = copies(sets).where("set_id = rep").select("set_id")
+    reps = representatives(copies(sets))
     distinct = write_and_read(sets.join(reps, "set_id", "left_semi"), "distinct-sets")
     return library_pairs(distinct, 0.7).withColumn("exact", F.round("exact", 9))
 

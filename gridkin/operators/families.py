@@ -20,8 +20,10 @@ from gridkin.functions.hashing import MIX_ADD, MIX_MUL, PRIME, md5_number, premi
 
 # Parameters beyond this size are broadcast and applied a slice of planes at a time.
 BROADCAST_LIMIT = 256 << 20
-# Cells ranked at a time: planes x CHUNK doubles stay inside the processor cache.
-CHUNK = 2048
+# Ranks computed at a time (planes x cells), so that working arrays stay near the processor.
+CHUNK_RANKS = 1 << 17
+# Largest table of contracted axis prefixes a worker keeps, in entries.
+PREFIX_LIMIT = 1 << 23
 
 
 def _md5_int(text: str, digits: int) -> int:
@@ -115,15 +117,26 @@ class ClassicFamily(Family):
         return (a * x + b) % F.lit(PRIME).cast("long")
 
 
-class _ClassicKernel:
+class _Kernel:
+    """Shared sizing; ``prepare`` allocates work arrays in the worker, once per task."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.chunk = max(256, CHUNK_RANKS // k)
+
+    def _work(self, kind=np.float64) -> np.ndarray:
+        return np.empty((self.k, self.chunk), kind)
+
+
+class _ClassicKernel(_Kernel):
     rank_type = np.int64
 
     def __init__(self, a: np.ndarray, b: np.ndarray, mixed: bool):
-        self.a, self.b, self.mixed, self.k = a, b, mixed, len(a)
+        super().__init__(len(a))
+        self.a, self.b, self.mixed = a, b, mixed
 
     def prepare(self) -> None:
-        self._value = np.empty((self.k, CHUNK), np.int64)
-        self._carry = np.empty((self.k, CHUNK), np.int64)
+        self._value, self._carry = self._work(np.int64), self._work(np.int64)
 
     def _mix(self, cells: np.ndarray) -> np.ndarray:
         high = (cells // PRIME) % PRIME
@@ -191,23 +204,22 @@ class KronFamily(Family):
         return _KronKernel([f[planes] for f in self.factors], self.shape)
 
 
-class _KronKernel:
+class _KronKernel(_Kernel):
     rank_type = np.float64
 
     def __init__(self, factors: Sequence[np.ndarray], shape: Sequence[int]):
-        self.factors, self.shape, self.k = list(factors), tuple(shape), factors[0].shape[0]
+        super().__init__(factors[0].shape[0])
+        self.factors, self.shape = list(factors), tuple(shape)
 
     def prepare(self) -> None:
-        self._sum = np.empty((self.k, CHUNK))
-        self._term = np.empty((self.k, CHUNK))
+        self._sum, self._term = self._work(), self._work()
 
     def ranks(self, cells: np.ndarray) -> np.ndarray:
         total, term = self._sum[:, : len(cells)], self._term[:, : len(cells)]
         axes = np.unravel_index(cells, self.shape)
         for mode, index in enumerate(axes):
             target = total if mode == 0 else term
-            for j in range(self.k):
-                np.take(self.factors[mode][j], index, out=target[j], mode="clip")
+            np.take(self.factors[mode], index, axis=1, out=target, mode="clip")
             if mode:
                 total += term
         return total
@@ -302,41 +314,59 @@ class TTFamily(Family):
         return _TTKernel([c[planes] for c in self.cores], self.shape)
 
 
-class _TTKernel:
+class _TTKernel(_Kernel):
+    """Contracts all axes but the last into a prefix vector, then takes a dot product.
+
+    Sums are element-wise and in a fixed order: a cell's rank must not depend on its neighbours in the
+    batch, or partial and final winners could disagree.
+    """
+
     rank_type = np.float64
 
     def __init__(self, cores: Sequence[np.ndarray], shape: Sequence[int]):
-        # (k, left, right, length): a gather along the last axis reads one contiguous row.
-        self.cores = [np.ascontiguousarray(c.transpose(0, 1, 3, 2), np.float64) for c in cores]
-        self.shape, self.k = tuple(shape), cores[0].shape[0]
+        super().__init__(cores[0].shape[0])
+        # (left, right, k, length): a gather along the last axis reads contiguous rows.
+        self.cores = [np.ascontiguousarray(c.transpose(1, 3, 0, 2), np.float64) for c in cores]
+        self.shape = tuple(shape)
+        self._prefixes = None
 
     def prepare(self) -> None:
-        self._out = np.empty((self.k, CHUNK))
+        self._out, self._left, self._right = self._work(), self._work(), self._work()
+        lead = int(np.prod(self.shape[:-1]))
+        if len(self.shape) > 1 and self.k * lead * len(self.cores[-1]) <= PREFIX_LIMIT:
+            self._prefixes = self._contract(np.arange(lead))
+
+    def _contract(self, prefix: np.ndarray) -> list[np.ndarray]:
+        axes = np.unravel_index(prefix, self.shape[:-1])
+        left = [np.take(part, axes[0], axis=1) for part in self.cores[0][0]]
+        for core, index in zip(self.cores[1:-1], axes[1:], strict=True):
+            left = [
+                sum(
+                    (left[r] * np.take(core[r, s], index, axis=1) for r in range(1, len(left))),
+                    left[0] * np.take(core[0, s], index, axis=1),
+                )
+                for s in range(core.shape[1])
+            ]
+        return left
 
     def ranks(self, cells: np.ndarray) -> np.ndarray:
-        # Element-wise sums in a fixed order: a cell's rank must not depend on its neighbours in the
-        # batch, or partial and final winners could disagree.
-        out = self._out[:, : len(cells)]
-        width = self.shape[-1]
-        prefix, where = np.unique(cells // width, return_inverse=True)
-        last = cells % width
-        axes = np.unravel_index(prefix, self.shape[:-1]) if len(self.shape) > 1 else ()
-        for j in range(self.k):
-            if not axes:
-                out[j] = self.cores[0][j, 0, 0][last]
-                continue
-            left = self.cores[0][j, 0][:, axes[0]]
-            for core, index in zip(self.cores[1:-1], axes[1:], strict=True):
-                step = core[j][:, :, index]
-                acc = left[0] * step[0]
-                for r in range(1, len(left)):
-                    acc += left[r] * step[r]
-                left = acc
-            tail = self.cores[-1][j, :, 0]
-            total = left[0][where] * tail[0][last]
-            for r in range(1, len(left)):
-                total += left[r][where] * tail[r][last]
-            out[j] = total
+        n = len(cells)
+        out, left, right = self._out[:, :n], self._left[:, :n], self._right[:, :n]
+        last = cells % self.shape[-1]
+        if len(self.shape) == 1:
+            return np.take(self.cores[0][0, 0], last, axis=1, out=out, mode="clip")
+        where = cells // self.shape[-1]
+        prefixes = self._prefixes
+        if prefixes is None:
+            where, position = np.unique(where, return_inverse=True)
+            prefixes, where = self._contract(where), position
+        for r, tail in enumerate(self.cores[-1][:, 0]):
+            term = out if r == 0 else left
+            np.take(prefixes[r], where, axis=1, out=term, mode="clip")
+            np.take(tail, last, axis=1, out=right, mode="clip")
+            term *= right
+            if r:
+                out += term
         return out
 
 

@@ -11,8 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from gridkin.operators.families import CHUNK
-
 BUFFER_ROWS = 1 << 17
 MAX_STATE = 4096
 
@@ -27,8 +25,8 @@ def segment_argmin(kernel, starts: np.ndarray, cells: np.ndarray):
     worst = np.iinfo(np.int64).max if kernel.rank_type is np.int64 else np.inf
     best = np.full((runs, kernel.k), worst, kernel.rank_type)
     cell = np.zeros((runs, kernel.k), np.int64)
-    for lo in range(0, n, CHUNK):
-        part = cells[lo : lo + CHUNK]
+    for lo in range(0, n, kernel.chunk):
+        part = cells[lo : lo + kernel.chunk]
         ranks = kernel.ranks(part)
         first = int(np.searchsorted(starts, lo, "right")) - 1
         last = int(np.searchsorted(starts, lo + len(part), "left"))

@@ -36,12 +36,14 @@ def sequence_similarity(
     families = families or default_families(shape)
     sets = write_and_read(sequence_sets(sequences, kmer, shape), "sequence-sets")
     exact = anchor_overlap(sets, anchor).select("set_id", "exact")
-    rows = [
-        anchor_estimate(signatures(sets, family), anchor).select(
-            "set_id", F.lit(family.method).alias("method"), "est"
+    rows = []
+    for family in families:
+        sigs = write_and_read(signatures(sets, family), "signatures")
+        rows.append(
+            anchor_estimate(sigs, anchor).select(
+                "set_id", F.lit(family.method).alias("method"), "est"
+            )
         )
-        for family in families
-    ]
     estimates = reduce(DataFrame.unionByName, rows)
     # A sequence without any k-mer has an (all-zero) signature but no cell: its overlap is 0.
     joined = estimates.join(exact, "set_id", "left").withColumn(

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MANIFEST_SCHEMA = T.StructType.fromDDL(
+MANIFEST_SCHEMA = (
     "load_level INT, shape ARRAY<INT>, n_pairs INT, seed INT, "
     "pair_labels ARRAY<STRUCT<a: STRING, b: STRING>>"
 )
