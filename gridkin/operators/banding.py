@@ -22,6 +22,7 @@ from gridkin.operators.storage import write_and_read
 
 HOT_BUCKET = 128
 BLOCK = 512
+MIN_FINE_ROWS = 3
 BROADCAST_ROWS = 1_000_000
 
 
@@ -178,17 +179,44 @@ def candidate_pairs(
     the rest.  ``sigs`` should be stored: it is read more than once.  ``only`` restricts the ids.
     """
     keys = band_keys(sigs, bands, only)
+    listed, members = _split_hot(keys)
+    if members is None:
+        return listed.distinct()
+    finer = complete_bands(k, threshold)
+    if threshold > 0 and k // len(finer) >= MIN_FINE_ROWS:
+        more, members = _split_hot(_finer_keys(members, sigs, finer))
+        listed = listed.unionByName(more)
+    if members is not None:
+        listed = listed.unionByName(_blocked_pairs(members, sigs, k, threshold))
+    return listed.distinct()
+
+
+def _split_hot(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of the ordinary buckets, and the members of the hot ones (none: None)."""
     sizes = bucket_sizes(keys).where(F.col("members") > HOT_BUCKET)
-    hot = write_and_read(sizes.coalesce(64), "hot-buckets")
+    hot = write_and_read(sizes, "hot-buckets")
     n_hot = hot.count()
     if n_hot == 0:
-        return _listed_pairs(keys).distinct()
+        return _listed_pairs(keys), None
     # Small lists of hot keys go to every task; a long list is joined by shuffle, where adaptive
     # execution may split the hot keys.
     side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    listed = _listed_pairs(keys.join(side, ["band", "key"], "left_anti"))
-    blocked = _blocked_pairs(keys.join(side, ["band", "key"]), sigs, k, threshold)
-    return listed.unionByName(blocked).distinct()
+    rest = keys.join(side, ["band", "key"], "left_anti")
+    return _listed_pairs(rest), keys.join(side, ["band", "key"])
+
+
+def _finer_keys(
+    members: DataFrame, sigs: DataFrame, bands: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """Divide hot buckets further along bands that no qualifying pair can miss.
+
+    Members that only have one frequent slice in common part here, before any comparison.
+    """
+    inside = members.select("band", "key", "set_id").join(sigs.select("set_id", "sig"), "set_id")
+    keys = F.array(
+        *[F.xxhash64("band", "key", F.slice("sig", lo + 1, n), F.lit(lo)) for lo, n in bands]
+    )
+    return inside.select("set_id", F.posexplode(keys).alias("band", "key"))
 
 
 def estimated_pairs(pairs: DataFrame, sigs: DataFrame, threshold: float | None = None) -> DataFrame:

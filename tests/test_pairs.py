@@ -119,6 +119,17 @@ def test_hot_buckets_lose_and_add_nothing(spark, hot, block, monkeypatch):
     assert got == _brute(table, k, 0.7, bands)
 
 
+def test_hot_buckets_divided_further(spark, hot, monkeypatch):
+    sigs, table, k = hot
+    monkeypatch.setattr(banding, "HOT_BUCKET", 8)
+    monkeypatch.setattr(banding, "BLOCK", 16)
+    bands = banding.even_bands(k, 16)
+    assert k // len(banding.complete_bands(k, 0.85)) >= banding.MIN_FINE_ROWS
+    pairs = banding.candidate_pairs(sigs, bands, k, 0.85)
+    got = {(r.a, r.b): r.est for r in banding.estimated_pairs(pairs, sigs, 0.85).collect()}
+    assert got == _brute(table, k, 0.85, bands)
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.3, 0.75, 1.0])
 def test_exhaustive_pairs_are_complete(spark, hot, threshold, monkeypatch):
     sigs, table, k = hot
