@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridkin.operators.filters import spread
-from gridkin.sources.tables import basket_sets, document_sets
+from gridkin.sources.tables import basket_rows, document_sets
 
 # Grids the queries work on.
 EVENT_SHAPE = (64, 5, 24)
@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_sets(spark: SparkSession, sf_dir: str, n_cells: int | None = None) -> DataFrame:
+def text_sets(
+    spark: SparkSession, sf_dir: str, n_cells: int | None = None, only: DataFrame | None = None
+) -> DataFrame:
     """Row sets of word 3-grams of whole documents, md5-numbered."""
-    return document_sets(table(spark, sf_dir, "documents"), n_cells=n_cells, method="md5")
+    documents = table(spark, sf_dir, "documents")
+    return document_sets(documents, n_cells=n_cells, method="md5", only=only)
 
 
 def text_sets_sql(n_cells: int | None = None) -> str:
@@ -67,10 +70,15 @@ def event_cell_sql(row: str = "") -> str:
 
 def customer_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sets: the parts each customer ordered."""
+    return customer_rows(spark, sf_dir).distinct()
+
+
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with repeats."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return basket_sets(joined, "o_custkey", "l_partkey")
+    return basket_rows(joined, "o_custkey", "l_partkey")
 
 
 BASKETS_SQL = """
@@ -81,7 +89,12 @@ BASKETS_SQL = """
 
 def supplier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sets: the parts each supplier shipped."""
-    return basket_sets(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+    return supplier_rows(spark, sf_dir).distinct()
+
+
+def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with repeats, for consumers that do not mind them."""
+    return basket_rows(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
 
 
 SUPPLIERS_SQL = """

@@ -41,7 +41,11 @@ SAMPLE = 500
 
 def _duplicates(spark, sf, threshold=THRESHOLD, bands=BANDS):
     return near_duplicate_pairs(
-        src.text_sets(spark, sf), threshold, family=ClassicFamily(K), bands=bands
+        src.text_sets(spark, sf),
+        threshold,
+        family=ClassicFamily(K),
+        bands=bands,
+        fetch=lambda ids: src.text_sets(spark, sf, only=ids),
     )
 
 
@@ -83,7 +87,7 @@ def exact_pairs(spark, sf):
 
 def all_pairs_threshold(spark, sf):
     """Every supplier pair whose estimate reaches the threshold; no pair can be missed."""
-    sigs = write_and_read(signatures(src.supplier_sets(spark, sf), ClassicFamily(K)), "signatures")
+    sigs = write_and_read(signatures(src.supplier_rows(spark, sf), ClassicFamily(K)), "signatures")
     return banding.exhaustive_pairs(sigs, K, 0.25)
 
 

@@ -35,12 +35,12 @@ def classic_signature(spark, sf):
 
 def classic_long(spark, sf):
     """Premixed family over suppliers' parts in long form."""
-    return joined(signatures(src.supplier_sets(spark, sf), ClassicFamily(K)))
+    return joined(signatures(src.supplier_rows(spark, sf), ClassicFamily(K)))
 
 
 def classic_linear(spark, sf):
     """Plain linear family over customers' parts."""
-    return joined(signatures(src.customer_baskets(spark, sf), ClassicFamily(K, mixed=False)))
+    return joined(signatures(src.customer_rows(spark, sf), ClassicFamily(K, mixed=False)))
 
 
 def classic_planes_native(spark, sf):
@@ -87,7 +87,7 @@ def library_signature(spark, sf):
 
 def signature_estimate(spark, sf):
     """Estimated similarity of each supplier's parts to the next supplier's."""
-    sigs = signatures(src.supplier_sets(spark, sf), ClassicFamily(K))
+    sigs = signatures(src.supplier_rows(spark, sf), ClassicFamily(K))
     left = sigs.select(F.col("set_id").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select((F.col("set_id") - 1).alias("a"), F.col("sig").alias("sb"))
     return left.join(right, "a").select("a", estimate("sa", "sb").alias("est"))

@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from gridkin.functions.compare import estimate
 from gridkin.operators.shipping import ship
-from gridkin.operators.storage import write_and_read
+from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
 
 HOT_BUCKET = 128
 BLOCK = 512
 MIN_FINE_ROWS = 3
-BROADCAST_ROWS = 1_000_000
 
 
 def even_bands(k: int, bands: int) -> list[tuple[int, int]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridkin.functions.compare import estimate, exact_ratio
 from gridkin.operators.cells import exploded, set_sizes
+from gridkin.operators.storage import BROADCAST_ROWS
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
@@ -15,15 +16,22 @@ def pair_ids(pairs: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
-def named_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sets a pair table names."""
-    return sets.join(pair_ids(pairs), "set_id", "left_semi")
+def only_ids(df: DataFrame, ids: DataFrame, id_col: str = "set_id") -> DataFrame:
+    """Rows of a stored list of ids ``(set_id)``.
+
+    A list of at most ``BROADCAST_ROWS`` ids goes to every task and the table stays where it is; a
+    longer one is joined by shuffle.
+    """
+    side = ids.select(F.col("set_id").alias(id_col))
+    if ids.count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return df.join(side, id_col, "left_semi")
 
 
 def exact_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Attach ``n_a, n_b, inter, exact`` to ``(a, b, ...)``.
 
-    ``sets`` holds deduplicated members (row sets or long); narrow it with ``named_sets`` first when
+    ``sets`` holds deduplicated members (row sets or long); narrow it with ``only_ids`` first when
     few sets occur in pairs.  The second join is on (set, cell), so a set in many pairs or with very
     many cells spreads over its cells.  A set without cells counts as empty.
     """

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+# Longest counted list of ids or keys (a few numbers each) that is broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
@@ -39,4 +42,4 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
