@@ -151,13 +151,11 @@ def _scoped_pairs(spark, sf):
 
 
 def accuracy_by_scope(spark, sf):
-    sets = write_and_read(_scoped_sets(spark, sf), "scoped-sets")
-    return _rounded(evaluate(sets, _EVAL, pairs=_scoped_pairs(spark, sf)))
+    return _rounded(evaluate(_scoped_sets(spark, sf), _EVAL, pairs=_scoped_pairs(spark, sf)))
 
 
 def error_by_method(spark, sf):
-    sets = write_and_read(_scoped_sets(spark, sf), "scoped-sets")
-    scored = scored_pairs(_scoped_pairs(spark, sf), sets, _EVAL)
+    scored = scored_pairs(_scoped_pairs(spark, sf), _scoped_sets(spark, sf), _EVAL)
     return error_summary(scored, ["scope", "method"]).withColumns(
         {c: F.round(c, 6) for c in ("mae", "max_error")}
     )

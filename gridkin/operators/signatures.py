@@ -33,10 +33,9 @@ def signatures(sets: DataFrame, family: Family, keep: Sequence[str] = ()) -> Dat
     sets that pass through.
     """
     if isinstance(family, LibraryFamily):
-        rows = sets
         if "cells" not in sets.columns:
-            rows = sets.groupBy("set_id").agg(F.collect_set("cell").alias("cells"))
-        return library_signatures(rows, family)
+            raise ValueError("the library needs a whole set in one vector; give row sets")
+        return library_signatures(sets, family)
     slices = -(-family.nbytes() // BROADCAST_LIMIT)
     width = -(-family.k // min(slices, family.k))
     parts = [

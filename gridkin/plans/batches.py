@@ -29,7 +29,7 @@ def scored_batch(cells: DataFrame, families: Sequence[Family]) -> DataFrame:
         _side(F.col("pair_no"), F.lit("a")).alias("a"),
         _side(F.col("pair_no"), F.lit("b")).alias("b"),
     )
-    return scored_pairs(pairs, sets, families)
+    return scored_pairs(pairs, sets, families, narrow=False)
 
 
 def batch_report(scored: DataFrame, labels: DataFrame | None = None) -> DataFrame:

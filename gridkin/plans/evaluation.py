@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from gridkin.operators.accuracy import accuracy_metrics, sample_pairs, with_combined_scope
 from gridkin.operators.banding import estimated_pairs
 from gridkin.operators.families import Family
-from gridkin.operators.overlap import exact_jaccard
+from gridkin.operators.overlap import exact_jaccard, only_ids, pair_ids
 from gridkin.operators.signatures import signatures, with_empty_sets
 from gridkin.operators.storage import write_and_read
 
 
-def scored_pairs(pairs: DataFrame, sets: DataFrame, families: Sequence[Family]) -> DataFrame:
-    """``(a, b, ..., method, exact, est)``: one row per pair and hash family."""
+def scored_pairs(
+    pairs: DataFrame, sets: DataFrame, families: Sequence[Family], *, narrow: bool = True
+) -> DataFrame:
+    """``(a, b, ..., method, exact, est)``: one row per pair and hash family.
+
+    The sets are stored once for all families; with ``narrow`` only those a pair names.
+    """
+    if narrow:
+        sets = only_ids(sets, write_and_read(pair_ids(pairs), "pair-ids"))
+    sets = write_and_read(sets, "scored-sets")
     exact = write_and_read(
         exact_jaccard(pairs, sets).drop("n_a", "n_b", "inter"), "exact-pairs"
     )
@@ -25,8 +33,7 @@ def scored_pairs(pairs: DataFrame, sets: DataFrame, families: Sequence[Family])
     for family in families:
         sigs = signatures(sets, family)
         if "cells" not in sets.columns:
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-            sigs = with_empty_sets(sigs, ids, family)
+            sigs = with_empty_sets(sigs, pair_ids(exact), family)
         rows.append(
             estimated_pairs(exact, sigs).withColumn("method", F.lit(family.method))
         )
