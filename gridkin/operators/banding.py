@@ -219,12 +219,20 @@ def _finer_keys(
 
 
 def estimated_pairs(pairs: DataFrame, sigs: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Attach the estimate to ``(a, b, ...)``; pairs with an unknown id fall out of the joins."""
-    left = sigs.select(F.col("set_id").alias("a"), F.col("sig").alias("_sig_a"))
-    right = sigs.select(F.col("set_id").alias("b"), F.col("sig").alias("_sig_b"))
+    """Attach the estimate to ``(a, b, ...)``.
+
+    Pairs with an unknown id fall out of the joins; only signatures of equal parameters are compared.
+    """
+    left = sigs.select(
+        F.col("set_id").alias("a"), F.col("params_id").alias("_params"), F.col("sig").alias("_sig_a")
+    )
+    right = sigs.select(
+        F.col("set_id").alias("b"), F.col("params_id").alias("_other"), F.col("sig").alias("_sig_b")
+    )
     out = (
         pairs.join(left, "a")
         .join(right, "b")
+        .where(F.col("_params") == F.col("_other"))
         .select(*pairs.columns, estimate("_sig_a", "_sig_b").alias("est"))
     )
     return out if threshold is None else out.where(F.col("est") >= threshold)
