@@ -31,28 +31,42 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str = "set_id") -> DataFrame
 def exact_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Attach ``n_a, n_b, inter, exact`` to ``(a, b, ...)``.
 
-    ``sets`` holds deduplicated members (row sets or long); narrow it with ``only_ids`` first when
-    few sets occur in pairs.  The second join is on (set, cell), so a set in many pairs or with very
-    many cells spreads over its cells.  A set without cells counts as empty.
+    ``sets`` holds deduplicated members, as row sets or long; narrow it with ``only_ids`` first when few
+    sets occur in pairs.  Row sets are brought together pair by pair.  Long sets, which may exceed any
+    row, meet on (set, cell), so one with very many cells or in many pairs spreads over its cells.  A set
+    without cells counts as empty.
     """
-    cells = exploded(sets)
+    sized = _meet_rows(pairs, sets) if "cells" in sets.columns else _meet_cells(pairs, sets)
+    exact = exact_ratio("inter", "n_a", "n_b").alias("exact")
+    return sized.select(*pairs.columns, "n_a", "n_b", "inter", exact)
+
+
+def _meet_rows(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    empty = F.array().cast("array<bigint>")
+    left = sets.select(F.col("set_id").alias("a"), F.col("cells").alias("_a"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("cells").alias("_b"))
+    met = pairs.join(left, "a", "left").join(right, "b", "left")
+    ours, theirs = F.coalesce("_a", empty), F.coalesce("_b", empty)
+    counts = {"n_a": ours, "n_b": theirs, "inter": F.array_intersect(ours, theirs)}
+    return met.select(
+        *pairs.columns, *[F.size(c).cast("long").alias(name) for name, c in counts.items()]
+    )
+
+
+def _meet_cells(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     left = pairs.select("a", "b").join(cells.withColumnRenamed("set_id", "a"), "a")
     shared = (
         left.join(cells.withColumnRenamed("set_id", "b"), ["b", "cell"], "left_semi")
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("inter"))
     )
-    if "cells" in sets.columns:
-        sizes = sets.select("set_id", F.size("cells").cast("long").alias("n_cells"))
-    else:
-        sizes = set_sizes(cells)
+    sizes = set_sizes(cells)
     zero = F.lit(0).cast("long")
     return (
         pairs.join(sizes.select(F.col("set_id").alias("a"), F.col("n_cells").alias("n_a")), "a", "left")
         .join(sizes.select(F.col("set_id").alias("b"), F.col("n_cells").alias("n_b")), "b", "left")
         .join(shared, ["a", "b"], "left")
         .withColumns({c: F.coalesce(c, zero) for c in ("n_a", "n_b", "inter")})
-        .select(*pairs.columns, "n_a", "n_b", "inter", exact_ratio("inter", "n_a", "n_b").alias("exact"))
     )
 
 

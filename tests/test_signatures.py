@@ -5,7 +5,6 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from gridkin.operators import kernels
 from gridkin.operators.cells import exploded
