@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm import topk
+from gridkin.llm import bpe, topk
 from gridkin.llm.common import table
 
 
@@ -27,8 +27,15 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip_digests(docs, bpe.ship_lexicon(bpe.word_counts(docs)))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
+    "op3_bpe": op3_bpe,
 }
 SQL = {
     "op1_topk": OP1_SQL,
