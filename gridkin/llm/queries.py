@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm import bpe, topk
+from gridkin.llm import bpe, mixing, secret_scan, topk
 from gridkin.llm.common import table
 
 
@@ -33,9 +33,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, bpe.ship_lexicon(bpe.word_counts(docs)))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("n"))
+    mixed = mixing.mix(docs, size=F.col("n"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
+    "op6_mixing": op6_mixing,
 }
 SQL = {
     "op1_topk": OP1_SQL,
