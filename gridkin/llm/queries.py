@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm import bpe, mixing, secret_scan, topk
+from gridkin.llm import bpe, mixing, quality_rules, secret_scan, topk
 from gridkin.llm.common import table
 
 
@@ -47,11 +47,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.quality(docs, quality_rules.learned_rules(docs, labels))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op6_mixing": op6_mixing,
+    "op8_quality_rules": op8_quality_rules,
 }
 SQL = {
     "op1_topk": OP1_SQL,
