@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm import bpe, mixing, quality_rules, secret_scan, topk
+from gridkin.llm import bpe, jaccard_join, language_id, mixing, quality_rules, secret_scan, topk
 from gridkin.llm.common import table
 
 
@@ -53,12 +53,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(docs, quality_rules.learned_rules(docs, labels))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-equal documents."""
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_language_id": op10_language_id,
 }
 SQL = {
     "op1_topk": OP1_SQL,
