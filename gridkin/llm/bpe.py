@@ -39,7 +39,7 @@ LEXICON_BYTES = 64
 # Words of so many symbols are merged without a heap.
 SHORT = 32
 # Words remembered by one task, and characters worked on at a time.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 CHUNK = 4_000_000
 
 # Characters whose treatment is the same in every Unicode version, so that ``re`` may cut them: Latin up to
@@ -243,7 +243,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         for part in _chunks(batch[0].to_pylist()):
             for text in part:
                 counts.update(vocab.cut(text))
-            if len(counts) > 4 * REMEMBERED:
+            if len(counts) > 2 * REMEMBERED:
                 yield rows()
                 counts.clear()
     if counts:
@@ -277,8 +277,16 @@ def ship_lexicon(counts: DataFrame, n_words: int = LEXICON_WORDS, path: str | No
     return file.name
 
 
+_encoders: dict[tuple[str, str | None], Encoder] = {}
+
+
 def _encoder(path: str, lexicon: str | None) -> Encoder:
-    return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+    """The latest one stays in the process, with the words it remembers."""
+    if (path, lexicon) not in _encoders:
+        _encoders.clear()
+        opened = Lexicon(SparkFiles.get(lexicon)) if lexicon else None
+        _encoders[path, lexicon] = Encoder(vocabulary(path), opened)
+    return _encoders[path, lexicon]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, lexicon: str | None) -> Iterator[pa.RecordBatch]:

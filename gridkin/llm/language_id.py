@@ -3,16 +3,17 @@
 The pieces are those of a fixed public vocabulary.  A language is a probability for each piece; a word's
 probability in a language is the sum, over all ways to cut it into pieces, of the products of their
 probabilities, which a forward pass computes.  Piece probabilities are learned by expectation maximisation
-(forward and backward passes) from counted words of a bounded sample of labelled texts.  Pieces do not reach
+(forward and backward passes) from the counted words of a bounded sample of labelled texts.  Pieces do not reach
 over white space, so a text's log probability is the sum over its words, and equal words are scored once.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import public_tokenizers
@@ -32,49 +33,93 @@ LANGUAGES = 500
 ROUNDS = 4
 # Share of probability that is spread over all pieces, and the cost of a character outside the vocabulary.
 SMOOTHING = 0.01
-UNKNOWN = math.log(1e-7)
-WORDS_REMEMBERED = 200_000
+UNKNOWN = 1e-7
+WORDS_REMEMBERED = 400_000
+
+
+# Words up to this length are worked on together, in plain probabilities; longer ones one by one, in logs.
+SHORT = 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    """20 well spread bits of a hash."""
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
 
 
-@dataclass(frozen=True)
 class Pieces:
-    """The vocabulary: piece to number, and the longest piece."""
+    """The vocabulary's pieces, found by a rolling hash of code points.
 
-    number: dict[str, int]
-    longest: int
+    Number ``unknown`` stands for a character that is no piece, ``none`` for "no piece here".
+    """
 
-    @staticmethod
-    def load(path: str) -> Pieces:
+    def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         usable = [
             model.id_to_piece(i)
             for i in range(model.get_piece_size())
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
         ]
-        return Pieces({p: i for i, p in enumerate(usable)}, max(map(len, usable)))
+        self.number = {p: i for i, p in enumerate(usable)}
+        self.unknown, self.none = len(usable), len(usable) + 1
+        self.longest = max(map(len, usable))
+        # Tables of 2**20 slots; a piece goes into the first one where its slot is free.
+        self._tables: list[tuple[np.ndarray, np.ndarray]] = []
+        base, whole = int(_BASE), (1 << 64) - 1
+        sums = [reduce(lambda h, c: (h * base + ord(c)) & whole, piece, 0) for piece in usable]
+        places = _slots(np.array(sums, np.uint64)).tolist()
+        for i, (h, slot) in enumerate(zip(sums, places, strict=True)):
+            for hashes, numbers in self._tables:
+                if numbers[slot] == self.none:
+                    break
+            else:
+                hashes, numbers = np.zeros(1 << 20, np.uint64), np.full(1 << 20, self.none, np.int32)
+                self._tables.append((hashes, numbers))
+            hashes[slot], numbers[slot] = h, i
+
+    def lattice(self, words: list[str]) -> list[np.ndarray]:
+        """For words of one length: entry L - 1 has the piece of length L at (word, start)."""
+        n = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
+        out, h = [], np.zeros((len(words), n + 1), np.uint64)
+        for length in range(1, min(self.longest, n) + 1):
+            h = h[:, :-1] * _BASE + codes[:, length - 1 :]
+            slot = _slots(h)
+            found = np.full(h.shape, self.none, np.int32)
+            for hashes, numbers in self._tables:
+                hit = hashes[slot] == h
+                found[hit] = numbers[slot[hit]]
+            if length == 1:
+                found[found == self.none] = self.unknown
+            out.append(found)
+        return out
 
     def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position the (start, piece number) of the pieces that end there; -1 for a character
-        that no piece covers."""
-        n, number = len(word), self.number
+        """For each end the (start, piece) of the pieces that end there; for long words."""
+        n = len(word)
         out: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for a in range(n):
+            if word[a] not in self.number:
+                out[a + 1].append((a, self.unknown))
             for b in range(a + 1, min(a + self.longest, n) + 1):
-                piece = number.get(word[a:b])
-                if piece is not None:
+                if (piece := self.number.get(word[a:b])) is not None:
                     out[b].append((a, piece))
-            if word[a] not in number:
-                out[a + 1].append((a, -1))
         return out
 
 
+@cache
+def pieces_of(path: str) -> Pieces:
+    """One per process."""
+    return Pieces(path)
+
+
 def words_of(text: str) -> list[str]:
     """Lower-case words with the vocabulary's mark of a word start."""
     return [WORD_MARK + w for w in text.lower().split()]
 
 
-def forward(edges: list[list[tuple[int, int]]], logp: np.ndarray) -> np.ndarray:
-    """Log probability of every prefix in every language: positions by languages."""
+def forward_long(edges: list[list[tuple[int, int]]], logp: np.ndarray) -> np.ndarray:
+    """Log probability of one word in every language, in logs throughout."""
     alpha = np.full((len(edges), logp.shape[1]), -np.inf)
     alpha[0] = 0.0
     for end in range(1, len(edges)):
@@ -82,71 +127,74 @@ def forward(edges: list[list[tuple[int, int]]], logp: np.ndarray) -> np.ndarray:
         terms = alpha[[a for a, _ in into]] + logp[[p for _, p in into]]
         top = terms.max(0)
         alpha[end] = top + np.log(np.exp(terms - top).sum(0))
+    return alpha[-1]
+
+
+def forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """Probability of every prefix: positions by words by languages.  ``p`` ends with unknown and none."""
+    words, n = lattice[0].shape
+    alpha = np.zeros((n + 1, words, p.shape[1]))
+    alpha[0] = 1.0
+    for end in range(1, n + 1):
+        for length in range(1, min(len(lattice), end) + 1):
+            alpha[end] += alpha[end - length] * p[lattice[length - 1][:, end - length]]
     return alpha
 
 
-def forward_words(lattices: list[list[list[tuple[int, int]]]], logp: np.ndarray) -> np.ndarray:
-    """Log probability of many words at once: words by languages.
+def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
+    """Places of words of one length, some thousands at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    start = 0
+    for at in range(1, len(order) + 1):
+        if at == len(order) or len(words[order[at]]) != len(words[order[start]]) or at - start == most:
+            yield order[start:at]
+            start = at
 
-    Position by position over all words; one entry for each piece that ends there.
-    """
-    width = max(map(len, lattices), default=1)
-    alpha = np.full((len(lattices), width, logp.shape[1]), -np.inf)
-    alpha[:, 0] = 0.0
-    for end in range(1, width):
-        entries = [(w, a, p) for w, lattice in enumerate(lattices) if end < len(lattice) for a, p in lattice[end]]
-        word, start, piece = np.array(entries).T
-        terms = alpha[word, start] + logp[piece]
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        top = np.maximum.reduceat(terms, first)
-        spread = np.repeat(top, np.diff(np.append(first, len(word))), axis=0)
-        alpha[word[first], end] = top + np.log(np.add.reduceat(np.exp(terms - spread), first))
-    return alpha[np.arange(len(lattices)), [len(x) - 1 for x in lattices]]
+
+def _with_ends(share: np.ndarray) -> np.ndarray:
+    """Piece probabilities with those of an unknown character and of no piece."""
+    return np.concatenate([share * (1 - UNKNOWN), [UNKNOWN, 0.0]])
 
 
 def learn_language(counts: Counter[str], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
-    """Log piece probabilities of one language; the last entry is the unknown character."""
-    size = len(pieces.number)
-    logp = np.full((size + 1, 1), math.log((1 - math.exp(UNKNOWN)) / size))
-    logp[-1] = UNKNOWN
-    lattices = [(pieces.edges(w), n) for w, n in sorted(counts.items())]
+    """Piece probabilities of one language by expectation maximisation; unknown and none come last."""
+    size = pieces.unknown
+    words = sorted(w for w in counts if len(w) <= SHORT)
+    times = np.array([counts[w] for w in words], float)
+    groups = [(np.array(g), pieces.lattice([words[i] for i in g])) for g in by_length(words)]
+    p = _with_ends(np.full(size, 1 / size))
     for _ in range(rounds):
-        expected = np.zeros(size + 1)
-        flat = logp[:, 0]
-        for lattice, n in lattices:
-            alpha = forward(lattice, logp)[:, 0]
-            beta = np.full(len(lattice), -np.inf)
-            beta[-1] = 0.0
-            for end in range(len(lattice) - 1, 0, -1):
-                for start, piece in lattice[end]:
-                    step = flat[piece] + beta[end]
-                    beta[start] = np.logaddexp(beta[start], step)
-                    expected[piece] += n * math.exp(min(alpha[start] + step - alpha[-1], 0.0))
-        expected = expected[:-1]
-        total = expected.sum()
-        share = expected / total if total else np.full(size, 1 / size)
-        share = (1 - SMOOTHING) * share + SMOOTHING / size
-        logp[:-1, 0] = np.log(share * (1 - math.exp(UNKNOWN)))
-    return logp[:, 0]
+        expected = np.zeros(size + 2)
+        for group, lattice in groups:
+            alpha = forward(lattice, p[:, None])[:, :, 0]
+            n = len(alpha) - 1
+            beta = np.zeros_like(alpha)
+            beta[n] = times[group] / alpha[n]
+            for start in range(n - 1, -1, -1):
+                for length in range(1, min(len(lattice), n - start) + 1):
+                    piece = lattice[length - 1][:, start]
+                    into = p[piece] * beta[start + length]
+                    beta[start] += into
+                    expected += np.bincount(piece, alpha[start] * into, minlength=size + 2)
+        total = expected[:size].sum()
+        share = expected[:size] / total if total else np.full(size, 1 / size)
+        p = _with_ends((1 - SMOOTHING) * share + SMOOTHING / size)
+    return p
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    logp: np.ndarray  # pieces and the unknown character, by languages
+    p: np.ndarray  # pieces, unknown and none, by languages
     path: str
 
 
 def _language(key: tuple, rows: pa.Table, path: str) -> pa.Table:
     """Probabilities of one language from its bounded sample."""
-    pieces = Pieces.load(path)
     counts: Counter[str] = Counter()
     for text in rows["text"].to_pylist():
         counts.update(words_of(text))
-    # Words are what is scored: a very long run is cut for learning only, never for scoring.
-    counts = Counter({w: n for w, n in counts.items() if len(w) <= 64})
-    logp = learn_language(counts, pieces)
-    return pa.table({"lang": [key[0].as_py()], "logp": [logp.astype(np.float64).tobytes()]})
+    return pa.table({"lang": [key[0].as_py()], "p": [learn_language(counts, pieces_of(path)).tobytes()]})
 
 
 def learn(docs: DataFrame, path: str | None = None, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
@@ -173,20 +221,19 @@ def learn(docs: DataFrame, path: str | None = None, per_language: int = TEXTS_PE
     rows = (
         sample.select("lang", "text")
         .groupBy("lang")
-        .applyInArrow(lambda key, table: _language(key, table, path), "lang string, logp binary")
+        .applyInArrow(lambda key, table: _language(key, table, path), "lang string, p binary")
         .collect()
     )
     rows = sorted(rows, key=lambda r: r["lang"].encode())
-    size = len(Pieces.load(path).number) + 1
-    logp = np.stack([np.frombuffer(r["logp"]) for r in rows], 1) if rows else np.zeros((size, 0))
-    return Model([r["lang"] for r in rows], logp, path)
+    p = np.stack([np.frombuffer(r["p"]) for r in rows], 1) if rows else np.zeros((pieces_of(path).none + 1, 0))
+    return Model([r["lang"] for r in rows], p, path)
 
 
 class Scorer:
     """Scores texts; remembers the scores of a bounded number of words."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, Pieces.load(model.path)
+        self.model, self.pieces = model, pieces_of(model.path)
         self._forget()
 
     def _forget(self) -> None:
@@ -195,14 +242,15 @@ class Scorer:
 
     def _learn(self, words: list[str]) -> None:
         scores = np.zeros((len(words), len(self.model.languages)))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for start in range(0, len(order), 4096):
-            part = order[start : start + 4096]
-            short = [i for i in part if len(words[i]) <= 64]
-            if short:
-                scores[short] = forward_words([self.pieces.edges(words[i]) for i in short], self.model.logp)
-            for i in part[len(short) :]:
-                scores[i] = forward(self.pieces.edges(words[i]), self.model.logp)[-1]
+        for group in by_length(words):
+            if len(words[group[0]]) <= SHORT:
+                lattice = self.pieces.lattice([words[i] for i in group])
+                scores[group] = np.log(forward(lattice, self.model.p)[-1])
+            else:
+                with np.errstate(divide="ignore"):
+                    logp = np.log(self.model.p)
+                for i in group:
+                    scores[i] = forward_long(self.pieces.edges(words[i]), logp)
         n = len(self._code)
         self._code.update((w, n + i) for i, w in enumerate(words))
         self._scores = np.concatenate([self._scores, scores])
@@ -230,8 +278,20 @@ class Scorer:
         return found, np.where(known, share, 0.0)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """That of the latest model stays in the process, with the words it knows."""
+    key = hashlib.sha256(model.p.tobytes() + repr(model.languages).encode()).hexdigest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(model)
+    scorer = _scorer(model)
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm import bpe, jaccard_join, language_id, mixing, quality_rules, secret_scan, topk
+from gridkin.llm import bpe, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan, topk
 from gridkin.llm.common import table
 
 
@@ -64,11 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score(docs, quality_classifier.learn(docs, labels))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
