@@ -28,12 +28,13 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import map_arrow, text_or_empty
+from gridkin.llm.common import free_name, map_arrow, text_or_empty
 from gridkin.llm.components import components
 from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
 
@@ -250,6 +251,66 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     has others.  Other columns are ignored.  Elements are 64-bit hashes of shingles.
     """
     sets = shingle_sets(docs, width)
+    found = class_components(sets).select("content", "component_id")
+    return sets.select("doc_id", "n", "content").join(found, "content", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents without near duplicates, with all their columns.
+
+    Of each component the document with the smallest id stays, of repeated rows of that id one; documents
+    without words, which link with nothing, and rows without an id all stay.
+    """
+    sets = shingle_sets(docs.where(F.col("doc_id").isNotNull()), width)
+    found = class_components(sets).select("content", "component_id")
+    marked = sets.select("doc_id", "n", "content").join(found, "content", "left")
+    stays = (F.col("n") == 0) | (F.col("component_id") == F.col("doc_id"))
+    by_id = marked.groupBy("doc_id").agg(
+        F.count_if(stays).alias("stay"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")
+    )
+    out = write_and_read(
+        by_id.where((F.col("stay") == 0) | ((F.col("rows") > 1) & (F.col("n") > 0))), "not-simply-kept"
+    )
+    key = F.col("doc_id").cast("long")
+    # A counted list of at most a million ids is broadcast; a longer one is joined by shuffle.
+    side = out.select(F.col("doc_id").alias("_out"))
+    side = F.broadcast(side) if out.count() <= BROADCAST_ROWS else side
+    kept = docs.join(side, key == F.col("_out"), "left_anti")
+    repeated = out.where("stay > 0").select(F.col("doc_id").alias("_out"))
+    if repeated.limit(1).count() == 0:
+        return kept
+    # Ids on several rows: look at each row's own content again.
+    names = [free_name(docs.columns, c) for c in ("n", "content", "component")]
+    rows = docs.join(repeated, key == F.col("_out"), "left_semi").withColumns(
+        dict(zip(names[:2], _content_of(F.coalesce("text", F.lit("")), width), strict=True))
+    )
+    named = found.select(F.col("content").alias(names[1]), F.col("component_id").alias(names[2]))
+    again = rows.join(named, names[1], "left")
+    empty = again.where(F.col(names[0]) == 0)
+    first = again.where((F.col(names[0]) > 0) & (F.col(names[2]) == key)).dropDuplicates([names[2]])
+    return kept.unionByName(first.unionByName(empty).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _content_of(text: F.Column, width: int) -> tuple[F.Column, F.Column]:
+    """Size and content digest of a text's set, as ``shingle_sets`` has them."""
+
+    def described(texts: pd.Series) -> pd.DataFrame:
+        shingle = Shingler(width)
+        found = [shingle(t) for t in texts]
+        return pd.DataFrame(
+            {"n": [len(x) for x in found], "content": [xxhash.xxh3_128_digest(x.tobytes()) for x in found]}
+        )
+
+    both = F.pandas_udf(described, "n long, content binary")(text)
+    return both["n"], both["content"]
+
+
+def class_components(sets: DataFrame) -> DataFrame:
+    """``(content, least, component_id)`` of every class of stored sets that has a shingle."""
     classes = write_and_read(
         sets.where(F.col("n") > 0)
         .groupBy("content")
@@ -289,12 +350,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         "content", "least", F.coalesce("root", "row").alias("root")
     )
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = of_class.join(least, "root").select("content", "component_id")
-    return sets.select("doc_id", "n", "content").join(found, "content", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return of_class.join(least, "root").select("content", "least", "component_id")
 
 
 def _pairs_between(lists: DataFrame, roots: DataFrame) -> DataFrame:
