@@ -57,3 +57,10 @@ def ragged_gather(
     total = int(ends[-1]) if len(ends) else 0
     shift = np.repeat(starts - (ends - lengths), lengths)
     return values[np.arange(total) + shift], ends
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows some hundred at a time, where a row may be large in Python."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

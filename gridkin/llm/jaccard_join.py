@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import free_name, map_arrow, text_or_empty
+from gridkin.llm.common import free_name, in_slices, map_arrow, text_or_empty
 from gridkin.llm.components import components
 from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
 
@@ -46,7 +46,7 @@ LARGEST_BOUNDARY = 40
 # What an entry of a heavy list counts against one of a light list: sets under one subset link, while a heavy
 # list may hold sets that do not, and each of these costs a comparison of whole sets.
 HEAVY_WEIGHT = 4
-WORDS_REMEMBERED = 300_000
+WORDS_REMEMBERED = 150_000
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -89,7 +89,7 @@ class Shingler:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(width)
-    for batch in batches:
+    for batch in in_slices(batches):
         found = [shingle(t) for t in batch[1].to_pylist()]
         yield pa.record_batch(
             {
@@ -189,10 +189,11 @@ def _heavy_keys(x: np.ndarray, spread: np.ndarray, place: int, segments: int) ->
 
 def _keys(batches: Iterator[pa.RecordBatch], boundary: int, classes: Sequence[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     lows = np.array([low for low, _ in classes])
-    for batch in batches:
+    for batch in in_slices(batches):
         rows = []
-        for raw in batch[2].to_pylist():
-            x, n = np.frombuffer(raw, _U), len(raw) // 8
+        for raw in batch[2]:
+            x = np.frombuffer(raw.as_buffer(), _U)
+            n = len(x)
             parts = []
             if SMALLEST <= n <= boundary:
                 parts.append(np.array(_light_keys(x, boundary), _U))
@@ -212,8 +213,8 @@ def _keys(batches: Iterator[pa.RecordBatch], boundary: int, classes: Sequence[tu
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True)):
-            both = np.concatenate([np.frombuffer(x, _U), np.frombuffer(y, _U)])
+        for i, (x, y) in enumerate(zip(batch[2], batch[3], strict=True)):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)])
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             linked[i] = 100 * shared >= PERCENT * (len(both) - shared)
