@@ -17,8 +17,9 @@ The boundary is the size at which the weighted number of entries of both kinds t
 counted sizes of all sets.
 
 Lists give pairs in two rounds, both checked on the whole sets.  First neighbours in a list, by size: one
-pair per entry.  Then, between the components that these links make, all remaining pairs in a list.  A group of
-thousands of near copies is one component after the first round and is never multiplied out.
+pair per entry.  Then, for lists whose sets are still in different components, blocks of the sets that such
+lists hold together scan each other's inverted lists of shingles.  No pair is written down unless it links
+two components.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import free_name, in_slices, map_arrow, text_or_empty
+from gridkin.llm.common import free_name, in_slices, map_arrow, ragged_gather, text_or_empty
 from gridkin.llm.components import components
 from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
 
@@ -46,6 +47,8 @@ LARGEST_BOUNDARY = 40
 # What an entry of a heavy list counts against one of a light list: sets under one subset link, while a heavy
 # list may hold sets that do not, and each of these costs a comparison of whole sets.
 HEAVY_WEIGHT = 4
+# Sets in a block of a cluster.
+BLOCK = 256
 WORDS_REMEMBERED = 150_000
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -343,8 +346,7 @@ def class_components(sets: DataFrame) -> DataFrame:
     neighbours = lists.where(F.col("before").isNotNull() & _fits("n_before", "n"))
     first = _pairs(neighbours.select(F.col("before").alias("a"), F.col("row").alias("b")))
     links = checked(first, sets)
-    rest = _pairs_between(lists, components(links)).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(checked(_pairs(rest), sets))
+    links = links.unionByName(_links_between(lists, components(links), sets))
 
     roots = components(links)
     of_class = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select(
@@ -354,20 +356,69 @@ def class_components(sets: DataFrame) -> DataFrame:
     return of_class.join(least, "root").select("content", "least", "component_id")
 
 
-def _pairs_between(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of one list, of sizes that fit, whose components differ.
+def _links_between(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between components of the first round, stored.
 
-    Lists that lie in one component after the first round are dropped before anything is paired.
+    Lists that lie in one component are done with.  Sets that the other lists hold together, directly or by
+    way of others, form clusters, which hold all pairs of these lists; inside a cluster sets are compared
+    block against block, each block pair in its own task-sized group, and only links leave it.
     """
     known = roots.select(F.col("node").alias("row"), "root")
-    marked = lists.select("key", "row", "n").join(known, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    marked = (
+        lists.select("key", "row", "before")
+        .join(known, "row", "left")
+        .withColumn("root", F.coalesce("root", "row"))
+    )
     mixed = (
         marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     )
-    open_lists = write_and_read(marked.join(mixed, "key", "left_semi"), "open-lists")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row")))
-        .where((F.col("x.root") != F.col("y.root")) & _fits("x.n", "y.n"))
-        .select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-    )
+    held = marked.join(mixed, "key", "left_semi").where(F.col("before").isNotNull())
+    clusters = components(held.select(F.col("before").alias("a"), F.col("row").alias("b")))
+    clusters = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = write_and_read(
+        clusters.join(sizes, "cluster")
+        .join(known, "row", "left")
+        .select(
+            "row", "cluster", "blocks", F.coalesce("root", "row").alias("root"),
+            F.pmod(F.xxhash64("row"), F.col("blocks").cast("long")).cast("int").alias("block"),
+        ),
+        "clusters",
+    )
+    side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    placed = (
+        sets.select("row", "elements")
+        .join(side, "row")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+            "block", "row", "root", "elements",
+        )
+    )
+    found = placed.groupBy("cluster", "lo", "hi").applyInArrow(_scan_block, "a long, b long")
+    return write_and_read(found, "links")
+
+
+def _scan_block(key: tuple, rows: pa.Table) -> pa.Table:
+    """Scan the inverted lists of one block with the sets of another; one link per pair of components."""
+    lo, hi = key[1].as_py(), key[2].as_py()
+    block, row, root = (rows[c].to_numpy() for c in ("block", "row", "root"))
+    raw = rows["elements"].combine_chunks()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    if len(left) and len(right) and (root[left].min() != root[right].max() or root[left].max() != root[right].min()):
+        parts = [np.frombuffer(x.as_buffer(), _U) for x in raw]
+        n = np.array([len(x) for x in parts])
+        of = np.repeat(np.arange(len(right)), n[right])
+        elements = np.concatenate([parts[i] for i in right])
+        order = np.argsort(elements, kind="stable")
+        of, elements = of[order], elements[order]
+        for i in left:
+            start, end = np.searchsorted(elements, parts[i], "left"), np.searchsorted(elements, parts[i], "right")
+            listed, _ = ragged_gather(of, start, end - start)
+            shared = np.bincount(listed, minlength=len(right))
+            linked = 100 * shared >= PERCENT * (n[i] + n[right] - shared)
+            for j in right[linked & (root[right] != root[i])]:
+                out.setdefault((min(root[i], root[j]), max(root[i], root[j])), (row[i], row[j]))
+    pairs = np.array(sorted(out.values()), np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
