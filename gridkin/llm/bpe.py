@@ -33,7 +33,7 @@ from gridkin.llm.common import free_name, map_arrow, ragged_gather, text_or_empt
 from gridkin.llm.lexicon import Lexicon, write_lexicon
 
 VOCABULARY = "word_bpe_49k.json"
-LEXICON_WORDS = 262_144
+LEXICON_WORDS = 65_536
 # Longer words never enter the lexicon; they are merged when met.
 LEXICON_BYTES = 64
 # Words of so many symbols are merged without a heap.
@@ -261,7 +261,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", path: str | None = None
 def ship_lexicon(counts: DataFrame, n_words: int = LEXICON_WORDS, path: str | None = None) -> str:
     """Compile the most frequent words and send the file to all executors; returns its name there.
 
-    At most ``n_words`` words of at most ``LEXICON_BYTES`` bytes: some 10 MB whatever the corpus.
+    At most ``n_words`` words of at most ``LEXICON_BYTES`` bytes: a few MB whatever the corpus.
     """
     vocab = vocabulary(path or public_tokenizers.path(VOCABULARY))
     top = (
