@@ -148,7 +148,7 @@ def run_metrics_scan(spark, sf):
 
 
 def _telemetry(spark, sf):
-    """Per user the newest ten events of each type as time series (bounded lists)."""
+    """Per user all events of each type as time series, in the form of telemetry files."""
     points = _events(spark, sf).select(
         F.col("user_id").cast("string").alias("race_id"),
         F.col("event_type").alias("algo"),
@@ -156,8 +156,7 @@ def _telemetry(spark, sf):
         F.round("value", 2).alias("cpu"),
         F.col("event_id").cast("double").alias("ram"),
     )
-    newest = ops.recent_points(points, ["race_id", "algo"], [F.desc("t"), F.desc("ram")], 10)
-    series = newest.groupBy("race_id", "algo").agg(
+    series = points.groupBy("race_id", "algo").agg(
         F.array_sort(F.collect_list(F.struct("t", "cpu", "ram"))).alias("points"),
         F.max("t").alias("last"),
     )
@@ -227,9 +226,7 @@ _EVENTS_SQL = """
 
 _POINTS_SQL = f"""{_EVENTS_SQL},
       points AS (SELECT user_id::VARCHAR AS race_id, event_type AS algo, timestamp::DOUBLE AS t,
-                        round(value, 2) AS cpu, event_id::DOUBLE AS ram FROM ev
-                 QUALIFY row_number() OVER (PARTITION BY user_id, event_type
-                                            ORDER BY timestamp DESC, event_id DESC) <= 10)"""
+                        round(value, 2) AS cpu, event_id::DOUBLE AS ram FROM ev)"""
 
 _LOG_SQL = """
       logs AS (

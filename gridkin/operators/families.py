@@ -351,6 +351,9 @@ class _TTKernel(_Kernel):
 
     def ranks(self, cells: np.ndarray) -> np.ndarray:
         n = len(cells)
+        # Checked here, so that no way of looking cells up can clip or wrap one that lies outside.
+        if n and (cells.min() < 0 or cells.max() >= int(np.prod(self.shape))):
+            raise ValueError(f"a cell lies outside the grid {'x'.join(map(str, self.shape))}")
         out, left, right = self._out[:, :n], self._left[:, :n], self._right[:, :n]
         last = cells % self.shape[-1]
         if len(self.shape) == 1:

@@ -163,3 +163,15 @@ def test_shared_folder_follows_the_session(spark):
 def test_missing_table_raises(spark):
     with pytest.raises(AnalysisException):
         spark.read.parquet("/nonexistent/pairs")
+
+
+def test_leaderboard_with_repeated_ids_and_null_race(spark):
+    from gridkin.operators.runs import leaderboard
+
+    rows = [("r", "x", 1.0), ("r", "x", 2.0), ("r", "y", None), (None, "z", 5.0), ("r", "w", 3.0)]
+    df = spark.createDataFrame(rows, "race string, run string, elapsed_s double")
+    got = leaderboard(df, ["race"], "run").collect()
+    assert len(got) == len(rows)
+    by_time = {(r.race, r.elapsed_s): r.medal for r in got}
+    assert len({by_time["r", t] for t in (1.0, 2.0, 3.0, None)}) == 4
+    assert by_time[None, 5.0] == by_time["r", 1.0]

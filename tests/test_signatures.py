@@ -231,3 +231,19 @@ def test_library_baseline(spark):
     assert abs(_agreement(sigs, 0, 2) - 1 / 3) < 0.25
     with pytest.raises(ValueError, match="row sets"):
         signatures(exploded(rows), LibraryFamily(64))
+
+
+def test_tensor_train_rejects_cells_outside_the_grid(monkeypatch):
+    import numpy as np
+    import pytest
+
+    from gridkin.operators import families
+
+    for limit in (families.PREFIX_LIMIT, 0):
+        monkeypatch.setattr(families, "PREFIX_LIMIT", limit)
+        kernel = families.TTFamily(4, 42, (8, 8, 8)).kernel()
+        kernel.prepare()
+        kernel.ranks(np.array([0, 511]))
+        for cell in (-1, 512, 5000):
+            with pytest.raises(ValueError, match="outside"):
+                kernel.ranks(np.array([3, cell]))
