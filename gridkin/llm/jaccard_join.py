@@ -345,19 +345,20 @@ def class_components(sets: DataFrame) -> DataFrame:
     )
     neighbours = lists.where(F.col("before").isNotNull() & _fits("n_before", "n"))
     first = _pairs(neighbours.select(F.col("before").alias("a"), F.col("row").alias("b")))
-    links = checked(first, sets)
-    links = links.unionByName(_links_between(lists, components(links), sets))
-
-    roots = components(links)
-    of_class = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select(
-        "content", "least", F.coalesce("root", "row").alias("root")
+    roots = components(checked(first, sets))
+    top = components(_links_between(lists, roots, sets))
+    of_class = (
+        classes.join(roots.withColumnRenamed("node", "row"), "row", "left")
+        .select("content", "least", F.coalesce("root", "row").alias("node"))
+        .join(top, "node", "left")
+        .select("content", "least", F.coalesce("root", "node").alias("root"))
     )
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     return of_class.join(least, "root").select("content", "least", "component_id")
 
 
 def _links_between(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between components of the first round, stored.
+    """Links between components of the first round, as pairs ``(a, b)`` of their roots, stored.
 
     Lists that lie in one component are done with.  Sets that the other lists hold together, directly or by
     way of others, form clusters, which hold all pairs of these lists; inside a cluster sets are compared
@@ -392,7 +393,7 @@ def _links_between(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-            "block", "row", "root", "elements",
+            "block", "root", "elements",
         )
     )
     found = placed.groupBy("cluster", "lo", "hi").applyInArrow(_scan_block, "a long, b long")
@@ -400,12 +401,12 @@ def _links_between(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
 
 
 def _scan_block(key: tuple, rows: pa.Table) -> pa.Table:
-    """Scan the inverted lists of one block with the sets of another; one link per pair of components."""
+    """Scan the inverted lists of one block with the sets of another; linked roots, each pair once."""
     lo, hi = key[1].as_py(), key[2].as_py()
-    block, row, root = (rows[c].to_numpy() for c in ("block", "row", "root"))
+    block, root = rows["block"].to_numpy(), rows["root"].to_numpy()
     raw = rows["elements"].combine_chunks()
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    out: set[tuple[int, int]] = set()
     if len(left) and len(right) and (root[left].min() != root[right].max() or root[left].max() != root[right].min()):
         parts = [np.frombuffer(x.as_buffer(), _U) for x in raw]
         n = np.array([len(x) for x in parts])
@@ -419,6 +420,6 @@ def _scan_block(key: tuple, rows: pa.Table) -> pa.Table:
             shared = np.bincount(listed, minlength=len(right))
             linked = 100 * shared >= PERCENT * (n[i] + n[right] - shared)
             for j in right[linked & (root[right] != root[i])]:
-                out.setdefault((min(root[i], root[j]), max(root[i], root[j])), (row[i], row[j]))
-    pairs = np.array(sorted(out.values()), np.int64).reshape(-1, 2)
+                out.add((min(root[i], root[j]), max(root[i], root[j])))
+    pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
