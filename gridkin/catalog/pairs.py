@@ -64,9 +64,7 @@ def near_duplicates_expanded(spark, sf):
 def lsh_candidates(spark, sf):
     """Document pairs of distinct content sharing a band, at or above the floor."""
     sigs, groups = hashed_sets(src.text_sets(spark, sf), ClassicFamily(K))
-    reps = representatives(groups)
-    pairs = banding.candidate_pairs(sigs, banding.even_bands(K, BANDS), K, FLOOR, reps)
-    return banding.estimated_pairs(pairs, sigs, FLOOR)
+    return banding.similar_pairs(sigs, banding.even_bands(K, BANDS), K, FLOOR, representatives(groups))
 
 
 def top_pairs(spark, sf):

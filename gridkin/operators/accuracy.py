@@ -96,7 +96,8 @@ def sample_pairs(ids: DataFrame, n_pairs: int, seed: int = 0) -> DataFrame:
     """``(a, b)``, a < b: so many distinct pairs of a set list, or all when there are fewer.
 
     Pairs are drawn as numbers and then resolved through the row index, so the quadratic pair list is
-    never built.  The sample is a function of seed and ids.
+    never built.  The sample is a function of seed and ids: the first so many distinct numbers of one
+    sequence of draws, of which as much is looked at as it takes.
     """
     spark = ids.sparkSession
     indexed = write_and_read(row_index(ids.select("set_id").distinct(), ["set_id"], "pos"), "set-index")
@@ -105,13 +106,13 @@ def sample_pairs(ids: DataFrame, n_pairs: int, seed: int = 0) -> DataFrame:
     order = md5_number(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
     if total <= n_pairs:
         drawn = spark.range(total).select(F.col("id").alias("p"))
-    elif total <= 2 * n_pairs:
-        drawn = spark.range(total).orderBy(order, "id").limit(n_pairs).select(F.col("id").alias("p"))
     else:
-        # With the total above twice the sample, 2n + 64 draws hold n distinct ones in all but
-        # vanishing cases; draw order decides which are kept.
-        draws = spark.range(2 * n_pairs + 64).select("id", (order % F.lit(total)).alias("p"))
-        drawn = draws.groupBy("p").agg(F.min("id").alias("id")).orderBy("id").limit(n_pairs).select("p")
+        n_draws, found = 2 * n_pairs + 64, -1
+        while found < n_pairs:
+            draws = spark.range(n_draws).select("id", (order % F.lit(total)).alias("p"))
+            first = draws.groupBy("p").agg(F.min("id").alias("id")).orderBy("id").limit(n_pairs)
+            drawn = write_and_read(first, "drawn-pairs").select("p")
+            found, n_draws = drawn.count(), 2 * n_draws
     j = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(8.0) * F.col("p"))) / 2).cast("long")
     fixed = (
         F.when(_pairs_below(j) > F.col("p"), j - 1)

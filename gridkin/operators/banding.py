@@ -33,13 +33,16 @@ def even_bands(k: int, bands: int) -> list[tuple[int, int]]:
     return [(b * rows, rows) for b in range(bands)]
 
 
-def choose_bands(k: int, threshold: float) -> int:
+def choose_bands(k: int, threshold: float, min_recall: float = 0.0) -> int:
     """Band count whose S-curve midpoint (1/B)^(1/r) lies at or below the threshold.
 
-    Among the exact divisions of k, the fewest bands that do.
+    Among the exact divisions of k, the fewest bands that do and that find a pair exactly at the threshold
+    with a chance of ``min_recall`` or more; k bands if none reaches it.
     """
     for bands in range(1, k + 1):
-        if k % bands == 0 and (1 / bands) ** (bands / k) <= threshold:
+        if k % bands or (1 / bands) ** (bands / k) > threshold:
+            continue
+        if expected_recall(k, bands, threshold) >= min_recall:
             return bands
     return k
 
@@ -166,17 +169,42 @@ def _blocked_pairs(members: DataFrame, sigs: DataFrame, k: int, threshold: float
 
 
 def candidate_pairs(
+    sigs: DataFrame,
+    bands: Sequence[tuple[int, int]],
+    k: int,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """Distinct ``(a, b)``, a < b: every pair that shares a band, whatever the size of its bucket.
+
+    The answer is quadratic in a bucket, so use ``similar_pairs`` where only pairs above a threshold are
+    wanted.  ``sigs`` should be stored: it is read more than once.  ``only`` restricts the ids.
+    """
+    return _sharing_pairs(sigs, bands, k, 0.0, only)
+
+
+def similar_pairs(
     sigs: DataFrame,
     bands: Sequence[tuple[int, int]],
     k: int,
     threshold: float,
     only: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, that share a band.
+    """``(a, b, est)``, a < b, of the pairs that share a band and whose estimate reaches the threshold.
 
-    Pairs out of hot buckets are already checked against the threshold; ``estimated_pairs`` checks
-    the rest.  ``sigs`` should be stored: it is read more than once.  ``only`` restricts the ids.
+    The same as ``estimated_pairs`` of ``candidate_pairs``, but pairs of hot buckets that stay below the
+    threshold are never written down.
     """
+    return estimated_pairs(_sharing_pairs(sigs, bands, k, threshold, only), sigs, threshold)
+
+
+def _sharing_pairs(
+    sigs: DataFrame,
+    bands: Sequence[tuple[int, int]],
+    k: int,
+    threshold: float,
+    only: DataFrame | None,
+) -> DataFrame:
+    """Pairs that share a band; those below the threshold may be missing."""
     keys = band_keys(sigs, bands, only)
     listed, members = _split_hot(keys)
     if members is None:
@@ -238,21 +266,23 @@ def estimated_pairs(pairs: DataFrame, sigs: DataFrame, threshold: float | None =
     return out if threshold is None else out.where(F.col("est") >= threshold)
 
 
-def exhaustive_pairs(sigs: DataFrame, k: int, threshold: float) -> DataFrame:
+def exhaustive_pairs(
+    sigs: DataFrame, k: int, threshold: float, only: DataFrame | None = None
+) -> DataFrame:
     """Every pair with estimate at or above the threshold, as ``(a, b, est)``.
 
     Above zero this is a join on bands that no qualifying pair can miss.  At zero every pair
     qualifies by definition: the sets then form one bucket that is compared block by block.
+    ``only`` restricts the ids: hand it one id of each group of copies, without the empty sets, which all
+    have the same signature.
     """
     if threshold > 0:
-        pairs = candidate_pairs(sigs, complete_bands(k, threshold), k, threshold)
-    else:
-        n = sigs.count()
-        everything = sigs.select(
-            F.lit(0).alias("band"), F.lit(0).cast("long").alias("key"), "set_id"
-        ).withColumn("members", F.lit(n).cast("long"))
-        pairs = _blocked_pairs(everything, sigs, k, threshold)
-    return estimated_pairs(pairs, sigs, threshold)
+        return similar_pairs(sigs, complete_bands(k, threshold), k, threshold, only)
+    ids = sigs.select("set_id")
+    ids = ids if only is None else ids.join(only.select("set_id"), "set_id", "left_semi")
+    everything = ids.select(F.lit(0).alias("band"), F.lit(0).cast("long").alias("key"), "set_id")
+    everything = everything.withColumn("members", F.lit(ids.count()).cast("long"))
+    return estimated_pairs(_blocked_pairs(everything, sigs, k, threshold), sigs, threshold)
 
 
 def ranked_pairs(pairs: DataFrame, by: str = "est") -> DataFrame:

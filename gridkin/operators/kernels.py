@@ -13,6 +13,7 @@ import pyarrow as pa
 
 BUFFER_ROWS = 1 << 17
 MAX_STATE = 4096
+MAX_COUNTS = 1 << 18
 
 
 def segment_argmin(kernel, starts: np.ndarray, cells: np.ndarray):
@@ -66,18 +67,26 @@ def _run_starts(codes: np.ndarray) -> np.ndarray:
 def prune(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep, of every large set seen by this task, only the cells that win some plane.
 
-    Sets with few cells in the buffer pass unchanged, so output never exceeds input.  State for large
-    sets lives until the task ends (bounded number of sets): a set that holds most of the rows leaves
-    at most k cells per task.
+    A set passes unchanged until the task has seen 2k cells of it, so output never exceeds input and a set
+    with very many rows leaves at most some 3k cells per task, however thinly they are spread over it.
+    State for large sets lives until the task ends.  Both the state and the counts are of a bounded number
+    of sets; forgetting a count only thins a set later.
     """
     kernel.prepare()
     state: dict = {}
+    seen: dict = {}
 
     def combine(buffer):
         schema = buffer[0].schema
         ids, cells = _column(buffer, 0), _column(buffer, 1).to_numpy(zero_copy_only=False)
         names, codes = _codes(ids)
-        large = np.bincount(codes, minlength=len(names)) > 2 * kernel.k
+        keys = names.to_pylist()
+        total = np.bincount(codes, minlength=len(keys))
+        total += np.fromiter((seen.get(key, 0) for key in keys), np.int64, len(keys))
+        if len(seen) > MAX_COUNTS:
+            seen.clear()
+        seen.update(zip(keys, total.tolist(), strict=True))
+        large = total > 2 * kernel.k
         small = ~large[codes]
         if small.any():
             mask = pa.array(small)
@@ -90,7 +99,7 @@ def prune(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = _run_starts(codes)
         best, cell = segment_argmin(kernel, starts, cells)
         for row, code in enumerate(codes[starts]):
-            key = names[int(code)].as_py()
+            key = keys[int(code)]
             old = state.get(key)
             if old is not None:
                 keep = (old[0] < best[row]) | ((old[0] == best[row]) & (old[1] < cell[row]))

@@ -66,19 +66,25 @@ def project_vectors(
     """``(id, plane, value)`` for dense vectors of one length.
 
     A matrix of broadcast size multiplies each Arrow batch where it lies; a larger one is joined by
-    position.
+    position.  A null vector gives no rows; a null component or another length is an error.  Repeated ids
+    are vectors of their own.
     """
     spark = df.sparkSession
+    vec = F.col(vector_col)
+    fits = (F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull())
+    wrong = F.raise_error(F.lit(f"{vector_col} must have {dim} components, none of them null"))
+    df = df.where(vec.isNotNull()).select(F.col(id_col), F.when(fits, vec).otherwise(wrong).alias(vector_col))
     norms = column_norms(spark, dim, k, seed)
     rows = projection_rows(spark.range(dim).select(F.col("id").alias("cell")), k, seed)
     if dim * k * 8 > BROADCAST_LIMIT:
-        entries = df.select(F.col(id_col), F.posexplode(vector_col).alias("cell", "x"))
+        numbered = df.withColumn("_vector", F.monotonically_increasing_id())
+        entries = numbered.select(F.col(id_col), "_vector", F.posexplode(vector_col).alias("cell", "x"))
         joined = entries.join(rows, "cell")
         sums = [
             (F.sum(F.col("x") * F.get("w", F.lit(j))) / F.lit(norms[j])).alias(f"v{j}")
             for j in range(k)
         ]
-        wide = joined.groupBy(id_col).agg(*sums)
+        wide = joined.groupBy("_vector", id_col).agg(*sums)
         values = F.array(*[F.col(f"v{j}") for j in range(k)])
         return wide.select(id_col, F.posexplode(values).alias("plane", "value"))
 

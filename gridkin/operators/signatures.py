@@ -38,19 +38,33 @@ def signatures(sets: DataFrame, family: Family, keep: Sequence[str] = ()) -> Dat
         return library_signatures(sets, family)
     slices = -(-family.nbytes() // BROADCAST_LIMIT)
     width = -(-family.k // min(slices, family.k))
-    parts = [
-        _plane_slice(sets, family, slice(lo, lo + width), () if lo else keep)
-        for lo in range(0, family.k, width)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        more = part.withColumnRenamed("sig", "more")
-        out = out.join(more, "set_id").select(
-            "set_id", F.concat("sig", "more").alias("sig"), *keep
-        )
+    planes = [slice(lo, lo + width) for lo in range(0, family.k, width)]
+    if "cells" in sets.columns:
+        out = _row_signatures(sets, family, planes, list(keep))
+    else:
+        # Long sets come out with one row per set_id, so the slices join one to one.
+        out, *parts = [_plane_slice(sets, family, part, keep) for part in planes]
+        for part in parts:
+            more = part.withColumnRenamed("sig", "more")
+            out = out.join(more, "set_id").select("set_id", F.concat("sig", "more").alias("sig"))
     return out.select("set_id", F.lit(family.params_id).alias("params_id"), "sig", *keep)
 
 
+def _row_signatures(
+    sets: DataFrame, family: Family, planes: Sequence[slice], keep: list[str]
+) -> DataFrame:
+    """Row sets pass slice after slice where they lie, so repeated ids stay rows of their own."""
+    out, done = sets, []
+    for i, part in enumerate(planes):
+        last = i == len(planes) - 1
+        carried = [*keep, *done] + ([] if last else ["_cells"])
+        out = out if last else out.withColumn("_cells", F.col("cells"))
+        out = _plane_slice(out, family, part, carried).withColumnRenamed("sig", f"_sig{i}")
+        out = out.withColumnRenamed("_cells", "cells")
+        done.append(f"_sig{i}")
+    return out.select("set_id", F.concat(*done).alias("sig"), *keep)
+
+
 def _plane_slice(
     sets: DataFrame, family: Family, planes: slice, keep: Sequence[str]
 ) -> DataFrame:

@@ -40,7 +40,7 @@ def test_flat_estimates_have_no_correlation(spark):
     assert (row.pearson_r, row.spearman_r) == (0.0, 0.0)
 
 
-@pytest.mark.parametrize(("n", "wanted", "expect"), [(6, 100, 15), (20, 100, 100), (100, 50, 50), (1, 5, 0)])
+@pytest.mark.parametrize(("n", "wanted", "expect"), [(6, 100, 15), (20, 100, 100), (100, 50, 50), (1, 5, 0), (6, 14, 14)])
 def test_sample_pairs(spark, n, wanted, expect):
     ids = spark.createDataFrame([(10 * i,) for i in range(n)], "set_id long")
     got = [tuple(r) for r in sample_pairs(ids, wanted, 7).collect()]
@@ -105,3 +105,9 @@ def test_live_standings(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.algo: (r.n_runs, r.best_s) for r in spark.table("standings").where("algo is not null").collect()}
     assert got == {"kron": (2, 1.0), "tt": (1, 3.0)}
+
+
+def test_a_larger_sample_holds_the_smaller_one(spark):
+    ids = spark.range(8).withColumnRenamed("id", "set_id")
+    small, large = ({tuple(r) for r in sample_pairs(ids, n, 3).collect()} for n in (9, 27))
+    assert len(small) == 9 and len(large) == 27 and small <= large

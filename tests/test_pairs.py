@@ -12,7 +12,13 @@ from gridkin.operators.families import ClassicFamily
 from gridkin.operators.library import library_pairs
 from gridkin.operators.overlap import anchor_estimate, anchor_overlap, exact_jaccard, shared_cells
 from gridkin.operators.signatures import signatures
-from gridkin.plans.duplicates import all_similar_pairs, copies, expand_copies, near_duplicate_pairs
+from gridkin.plans.duplicates import (
+    all_similar_pairs,
+    copies,
+    expand_copies,
+    near_duplicate_pairs,
+    representatives,
+)
 
 
 def as_rows(spark, sets):
@@ -75,6 +81,7 @@ def test_copies_cost_one_row_each(spark):
     found = near_duplicate_pairs(as_rows(spark, sets), 0.5).collect()
     assert len(found) == 60
     assert {(r.a, r.b) for r in found if r.exact == 1.0} == {(0, i) for i in range(1, 60)}
+    assert [(-r.exact, r.a, r.b) for r in found] == sorted((-r.exact, r.a, r.b) for r in found)
     assert [(r.a, r.b, r.exact) for r in found if r.exact < 1.0] == [(0, 99, 0.8)]
 
 
@@ -114,8 +121,7 @@ def test_hot_buckets_lose_and_add_nothing(spark, hot, block, monkeypatch):
     bands = banding.even_bands(k, 16)
     sizes = [r.members for r in banding.bucket_sizes(banding.band_keys(sigs, bands)).collect()]
     assert max(sizes) > banding.HOT_BUCKET
-    pairs = banding.candidate_pairs(sigs, bands, k, 0.7)
-    got = {(r.a, r.b): r.est for r in banding.estimated_pairs(pairs, sigs, 0.7).collect()}
+    got = {(r.a, r.b): r.est for r in banding.similar_pairs(sigs, bands, k, 0.7).collect()}
     assert got == _brute(table, k, 0.7, bands)
 
 
@@ -125,11 +131,28 @@ def test_hot_buckets_divided_further(spark, hot, monkeypatch):
     monkeypatch.setattr(banding, "BLOCK", 16)
     bands = banding.even_bands(k, 16)
     assert k // len(banding.complete_bands(k, 0.85)) >= banding.MIN_FINE_ROWS
-    pairs = banding.candidate_pairs(sigs, bands, k, 0.85)
-    got = {(r.a, r.b): r.est for r in banding.estimated_pairs(pairs, sigs, 0.85).collect()}
+    got = {(r.a, r.b): r.est for r in banding.similar_pairs(sigs, bands, k, 0.85).collect()}
     assert got == _brute(table, k, 0.85, bands)
 
 
+@pytest.mark.parametrize("limit", [8, 128, 10_000])
+def test_candidates_do_not_depend_on_the_size_of_buckets(spark, hot, limit, monkeypatch):
+    sigs, table, k = hot
+    monkeypatch.setattr(banding, "HOT_BUCKET", limit)
+    bands = banding.even_bands(k, 16)
+    found = [(r.a, r.b) for r in banding.candidate_pairs(sigs, bands, k).collect()]
+    assert sorted(found) == sorted(_brute(table, k, 0.0, bands))
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5])
+def test_exhaustive_pairs_of_some_ids(spark, threshold):
+    sets = as_rows(spark, {0: [], 1: [], 2: [5, 6], 3: [5, 6], 4: [5, 6, 7]})
+    only = representatives(copies(sets))
+    sigs = signatures(sets, ClassicFamily(8))
+    found = banding.exhaustive_pairs(sigs, 8, threshold, only).collect()
+    assert {(r.a, r.b) for r in found} <= {(2, 4)} and (found or threshold)
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.3, 0.75, 1.0])
 def test_exhaustive_pairs_are_complete(spark, hot, threshold, monkeypatch):
     sigs, table, k = hot
@@ -165,6 +188,8 @@ def test_band_choices():
         bands = banding.choose_bands(k, t)
         assert (1 / bands) ** (bands / k) <= t
         assert banding.expected_recall(k, bands, t) > 0.5
+    for t in (0.5, 0.7, 0.71, 0.75, 0.8, 0.9):
+        assert banding.expected_recall(128, banding.choose_bands(128, t, 0.99), t) >= 0.99
     cover = banding.complete_bands(128, 0.9)
     assert len(cover) == 13 and sum(n for _, n in cover) == 128
     assert banding.complete_bands(10, 1.0) == [(0, 10)]
@@ -172,7 +197,7 @@ def test_band_choices():
 
 def test_three_identical_sets_pair_once(spark, rows):
     sigs = signatures(as_rows(spark, {i: range(9) for i in range(3)}), ClassicFamily(8))
-    pairs = banding.candidate_pairs(sigs, banding.even_bands(8, 4), 8, 0.5)
+    pairs = banding.candidate_pairs(sigs, banding.even_bands(8, 4), 8)
     assert rows(pairs) == [(0, 1), (0, 2), (1, 2)]
 
 

@@ -247,3 +247,36 @@ def test_tensor_train_rejects_cells_outside_the_grid(monkeypatch):
         for cell in (-1, 512, 5000):
             with pytest.raises(ValueError, match="outside"):
                 kernel.ranks(np.array([3, cell]))
+
+
+def test_hot_set_spread_thinly_is_thinned(monkeypatch):
+    monkeypatch.setattr(kernels, "BUFFER_ROWS", 1_000)
+    family = ClassicFamily(8)
+    ids = [0 if i % 100 == 0 else i for i in range(50_000)]
+    out = list(kernels.prune(family.kernel(), _batches(ids, range(50_000), 500)))
+    kept = [i for b in out for i in b["set_id"].to_pylist()]
+    assert kept.count(0) <= 3 * family.k and len(kept) - kept.count(0) == 50_000 - 500
+
+
+def test_repeated_row_sets_stay_rows_under_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [1, 2], "x"), (1, [3], "y"), (2, [], "z")], "set_id long, cells array<long>, note string")
+    family = ClassicFamily(12)
+    whole = sorted(tuple(r) for r in signatures(rows, family, ["note"]).collect())
+    monkeypatch.setattr("gridkin.operators.signatures.BROADCAST_LIMIT", family.nbytes() // 3)
+    assert sorted(tuple(r) for r in signatures(rows, family, ["note"]).collect()) == whole and len(whole) == 3
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_vector_projection_at_both_sizes(spark, limit, monkeypatch):
+    from gridkin.operators import projection
+
+    monkeypatch.setattr(projection, "BROADCAST_LIMIT", limit)
+    data = [(1, [1.0, 2.0, 3.0]), (1, [0.0, 0.0, 0.0]), (2, None), (3, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(data, "id long, v array<double>")
+    found = projection.project_vectors(vectors, "id", "v", 3, k=2).collect()
+    assert sorted((r.id, r.plane) for r in found) == [(1, 0), (1, 0), (1, 1), (1, 1), (3, 0), (3, 1)]
+    assert {round(r.value, 9) for r in found if r.id == 3} <= {round(r.value, 9) for r in found if r.id == 1}
+    for bad in ([1.0], [1.0, None, 2.0]):
+        wrong = spark.createDataFrame([(1, bad)], "id long, v array<double>")
+        with pytest.raises(Exception, match="must have 3 components"):
+            projection.project_vectors(wrong, "id", "v", 3, k=2).collect()

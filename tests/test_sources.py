@@ -121,7 +121,7 @@ def test_run_files(spark, tmp_path):
                      final={"kron": dict(elapsed_s=2.0, mae=0.02)})
     (tmp_path / "telemetry_400.json").write_text(json.dumps(telemetry, indent=2))
     runs = run_files.read_run_metrics(spark, str(tmp_path))
-    assert [(r.algo, r._file) for r in runs.collect()] == [
+    assert [(r.algo, r._file.rsplit("/")[-1]) for r in runs.collect()] == [
         ("tt", "tt_200_level1_metrics.json"), ("kron", "kron_100_level1_metrics.json")]
     assert runs.where("algo = 'kron'").first().pairs[0].kron == 0.4
     tel = run_files.read_telemetry(spark, str(tmp_path))
@@ -135,6 +135,29 @@ def test_run_files(spark, tmp_path):
 def test_log_lines(spark, tmp_path):
     (tmp_path / "kron.log").write_text("start\nPROGRESS: 1/4 pairs\nPROGRESS: 3/4 pairs\nbye\n")
     (tmp_path / "tt.log").write_text("PROGRESS: 1/4 pairs\n  DONE: algo=tt elapsed=3.41s mae=0.0210\n")
-    got = {r.source: r for r in last_progress(run_files.read_logs(spark, str(tmp_path))).collect()}
+    got = last_progress(run_files.read_logs(spark, str(tmp_path))).collect()
+    got = {r.source.rsplit("/")[-1]: r for r in got}
     assert got["kron.log"].fraction == 0.75
     assert (got["tt.log"].fraction, got["tt.log"].elapsed_s, got["tt.log"].mae) == (1.0, 3.41, 0.021)
+
+
+def test_lines_of_equal_names_and_many_blocks(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        lines = [f"PROGRESS: {i}/{5000 if folder == 'x' else 10000} pairs" for i in range(5001)]
+        (tmp_path / folder / "worker.log").write_text("\n".join(lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        logs = run_files.read_logs(spark, str(tmp_path / "*"))
+        assert sorted(r.fraction for r in last_progress(logs).collect()) == [0.5, 1.0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_metrics_of_equal_names_stay_apart(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "kron_1_metrics.json").write_text(json.dumps(metrics("kron", 2.0, 1000)))
+    runs = run_files.read_run_metrics(spark, str(tmp_path)).collect()
+    assert len({r._file for r in runs}) == 2
