@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm import bpe, jaccard_join, language_id, mixing, quality_classifier, quality_rules, quotation, secret_scan, token_counts, topk
+from gridkin.llm import (
+    bpe,
+    filter_audit,
+    jaccard_join,
+    language_id,
+    mixing,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    quotation,
+    secret_scan,
+    token_counts,
+    topk,
+    twins,
+    vector_codes,
+)
 from gridkin.llm.common import table
 
 
@@ -104,6 +119,21 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.learn(docs, labels))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_token_counts": op2_token_counts,
@@ -115,8 +145,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_personal_data": op13_personal_data,
 }
 SQL = {
     "op1_topk": OP1_SQL,
     "op5_quotation": OP5_SQL,
+    "op11_filter_audit": twins.FILTER_AUDIT,
+    "op12_vector_codes": twins.VECTOR_CODES,
+    "op13_personal_data": twins.PERSONAL_DATA,
 }
