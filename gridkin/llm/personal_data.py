@@ -104,7 +104,7 @@ def account(found: Column, after: Column) -> Column:
 
 
 # Neither inside a longer number, word or code.
-_INSIDE_BEFORE = r"[A-Za-z0-9+][\x20().-]{0,2}\z"
+_INSIDE_BEFORE = r"(?:[A-Za-z]|[0-9+][\x20().-]{0,2})\z"
 _INSIDE_AFTER = r"^(?:[A-Za-z0-9@]|[.\x20-]?[0-9])"
 
 

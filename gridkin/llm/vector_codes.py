@@ -218,9 +218,17 @@ def first_codebooks(rows: DataFrame) -> np.ndarray:
     Equal ids are taken in the order of their vectors, rows without an id last.
     """
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vec").limit(ENTRIES).select("vec").collect()
-    values = np.floor(SCALE * np.array([r["vec"] for r in first], np.float64)).astype(np.int64)
-    if not len(first):
+    if not first:
         return np.zeros((PARTS, 0, 0), np.int64)
+    widths = {len(r["vec"]) for r in first}
+    if len(widths) > 1:
+        raise ValueError("vectors of different lengths")
+    if (width := widths.pop()) % PARTS:
+        raise ValueError(f"vectors of {width} components cannot be cut into {PARTS} equal parts")
+    values = np.floor(SCALE * np.array([r["vec"] for r in first], np.float64))
+    if np.abs(values).max() > LARGEST:
+        raise ValueError(f"a component is beyond {LARGEST} after scaling")
+    values = values.astype(np.int64)
     return np.ascontiguousarray(values.reshape(len(first), PARTS, -1).transpose(1, 0, 2))
 
 
