@@ -16,10 +16,17 @@ from gridkin.functions.hashing import poly_hash
 from gridkin.functions.text import is_dna
 from gridkin.operators.filters import spread
 from gridkin.operators.families import ClassicFamily
-from gridkin.operators.sequences import kmer_table, sequence_kmers, sequence_profile, sequence_sets
+from gridkin.operators.sequences import (
+    kmer_table,
+    piece_kmers,
+    piece_records,
+    sequence_kmers,
+    sequence_profile,
+    sequence_sets,
+)
 from gridkin.operators.storage import scratch_path
-from gridkin.plans.sequences import sequence_similarity
-from gridkin.sources.fasta import read_fasta, write_fasta
+from gridkin.plans.sequences import long_sequence_similarity, sequence_similarity
+from gridkin.sources.fasta import read_fasta, read_fasta_pieces, write_fasta
 
 LETTERS = string.ascii_lowercase + string.ascii_uppercase
 BASES = ("ACGT" * 7)[:26] * 2
@@ -41,11 +48,48 @@ def _customer_sequences(spark, sf):
     return customers.select(F.col("c_custkey").alias("seq_id"), text.alias("seq"))
 
 
+def _kmer_summary():
+    """How many, the first, the last, and a sum over all of them that no other set of k-mers is likely to have."""
+    number = F.conv(F.substring(F.md5("kmer"), 1, 10), 16, 10).cast("long")
+    return [
+        F.count(F.lit(1)).alias("n_kmers"), F.min("kmer").alias("first"), F.max("kmer").alias("last"),
+        F.sum(number).alias("digest"),
+    ]
+
+
 def kmer_sets(spark, sf):
-    """Distinct k-mers per document: how many, the first and the last."""
-    found = sequence_kmers(_sequences(spark, sf), K)
-    return found.groupBy("seq_id").agg(
-        F.count(F.lit(1)).alias("n_kmers"), F.min("kmer").alias("first"), F.max("kmer").alias("last")
+    """Distinct k-mers per document."""
+    return sequence_kmers(_sequences(spark, sf), K).groupBy("seq_id").agg(*_kmer_summary())
+
+
+def _fasta_pieces(spark, sf):
+    """Documents' plain letters as nucleotides, written as wrapped FASTA and read back in pieces."""
+    docs = spread(src.table(spark, sf, "documents").select("doc_id", "text"))
+    seq = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, BASES)
+    path = scratch_path(spark, "fasta")
+    write_fasta(docs.select(F.concat(F.lit("doc "), "doc_id").alias("header"), seq.alias("seq")), path)
+    return read_fasta_pieces(spark, path)
+
+
+def fasta_pieces(spark, sf):
+    """Letters and distinct k-mers of every record of FASTA files that are read in byte ranges."""
+    pieces = _fasta_pieces(spark, sf)
+    found = piece_kmers(pieces, K).groupBy("file", "record").agg(*_kmer_summary())
+    return (
+        piece_records(pieces)
+        .join(found, ["file", "record"], "left")
+        .select("header", "n_letters", F.coalesce("n_kmers", F.lit(0)).alias("n_kmers"), "first", "last", "digest")
+    )
+
+
+def long_sequence_anchor(spark, sf):
+    """Records of FASTA files against the record of document 0, classic family."""
+    number = F.regexp_extract("header", r"(\d+)", 1).cast("long")
+    pieces = _fasta_pieces(spark, sf).withColumn("seq_id", number)
+    out = long_sequence_similarity(pieces, 0, kmer=K, shape=SHAPE, families=[ClassicFamily(32)])
+    return out.select(
+        "set_id", "pair", "method", F.round("exact", 9).alias("exact"), "est",
+        F.round("error", 9).alias("error"), "similarity",
     )
 
 
@@ -59,11 +103,14 @@ def profile(spark, sf):
 
 
 def poly_hash_cells(spark, sf):
-    """Grid cells of all k-mers of whole documents: number and sum per document."""
+    """Grid cells of all k-mers of whole documents: number and sums per document."""
     sets = sequence_sets(_sequences(spark, sf), K, SHAPE)
-    total = F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c)
+    total = lambda value: F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + value(c))
     return sets.select(
-        "set_id", F.size("cells").cast("long").alias("n_cells"), total.alias("sum_cells")
+        "set_id",
+        F.size("cells").cast("long").alias("n_cells"),
+        total(lambda c: c).alias("sum_cells"),
+        total(lambda c: c * c % 1_000_003).alias("sum_squares"),
     )
 
 
@@ -113,13 +160,17 @@ def sequence_anchor_all(spark, sf):
     )
 
 
+_TEXT_SQL = f"replace(translate(text, '{LETTERS}', '{BASES}'), ' ', '')"
+_LETTERS_SQL = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 _SEQ_SQL = f"""
-      seqs AS (SELECT doc_id AS seq_id,
-                      replace(translate(text, '{LETTERS}', '{BASES}'), ' ', '') AS seq FROM documents),
+      seqs AS (SELECT doc_id AS seq_id, {_TEXT_SQL} AS seq FROM documents),
       runs AS (SELECT seq_id, unnest(regexp_extract_all(seq, '[ACGT]{{{K},}}')) AS run FROM seqs),
       kmers AS (SELECT DISTINCT seq_id, substr(run, i, {K}) AS kmer
                 FROM (SELECT *, unnest(generate_series(1, length(run) - {K - 1})) AS i FROM runs))"""
 
+_SUMMARY_SQL = """count(*) AS n_kmers, min(kmer) AS "first", max(kmer) AS "last",
+        sum(('0x' || substr(md5(kmer), 1, 10))::BIGINT)::BIGINT AS digest"""
+
 
 def _horner_sql(base: int) -> str:
     h = "0::BIGINT"
@@ -143,6 +194,23 @@ def _reduce_sql(base: int) -> str:
     )
 
 
+_ANCHOR_SQL = f"""WITH {_CELLS_SQL}, {minima_sql('seq_cells', 32)},
+      own AS (SELECT cell FROM seq_cells WHERE set_id = 0),
+      counted AS (SELECT set_id, count(*) AS n, count(own.cell) AS inter
+                  FROM seq_cells LEFT JOIN own USING (cell) GROUP BY 1),
+      filled AS (SELECT d.doc_id AS set_id, p.plane, coalesce(b.m.c, 0) AS c
+                 FROM documents d CROSS JOIN planes p
+                 LEFT JOIN best b ON b.set_id = d.doc_id AND b.plane = p.plane),
+      ests AS (SELECT y.set_id, avg((x.c = y.c)::INT) AS est FROM filled x JOIN filled y
+               ON x.set_id = 0 AND y.set_id <> 0 AND x.plane = y.plane GROUP BY 1),
+      valued AS (SELECT e.set_id, est,
+                   coalesce(inter::DOUBLE / (n + (SELECT count(*) FROM own) - inter), 0.0) AS j
+                 FROM ests e LEFT JOIN counted c ON c.set_id = e.set_id)
+      SELECT set_id, '0 ↔ ' || set_id AS pair, 'classic' AS method, round(j, 9) AS exact, est,
+             round(abs(est - j), 9) AS error,
+             CASE WHEN j > 0.5 THEN 'HIGH' WHEN j > 0.2 THEN 'MED' ELSE 'LOW' END AS similarity
+      FROM valued"""
+
 QUERIES = {
     "kmer_sets": kmer_sets,
     "kmer_table_short": kmer_table_short,
@@ -151,13 +219,18 @@ QUERIES = {
     "poly_hash": poly_hash_values,
     "alphabet_check": alphabet_check,
     "fasta_scan": fasta_scan,
+    "fasta_pieces": fasta_pieces,
     "sequence_similarity": sequence_anchor,
+    "long_sequence_similarity": long_sequence_anchor,
     "sequence_similarity_families": sequence_anchor_all,
 }
 
 SQL = {
-    "kmer_sets": f"""WITH {_SEQ_SQL} SELECT seq_id, count(*) AS n_kmers, min(kmer) AS "first",
-      max(kmer) AS "last" FROM kmers GROUP BY 1""",
+    "kmer_sets": f"""WITH {_SEQ_SQL} SELECT seq_id, {_SUMMARY_SQL} FROM kmers GROUP BY 1""",
+    "fasta_pieces": f"""WITH {_SEQ_SQL.replace(_TEXT_SQL, _LETTERS_SQL)},
+      found AS (SELECT seq_id, {_SUMMARY_SQL} FROM kmers GROUP BY 1)
+      SELECT 'doc ' || seq_id AS header, length(seq) AS n_letters, coalesce(n_kmers, 0) AS n_kmers, "first", "last",
+             digest FROM seqs LEFT JOIN found USING (seq_id)""",
     "kmer_table_short": f"""WITH seqs AS (
         SELECT c_custkey AS seq_id, translate(c_mktsegment || c_name, '{LETTERS}', '{BASES}') AS seq
         FROM customer),
@@ -169,8 +242,10 @@ SQL = {
       SELECT seq_id, length(seq)::INTEGER AS n_letters, coalesce(n, 0) AS n_kmers
       FROM seqs LEFT JOIN counts USING (seq_id)""",
     "poly_hash_cells": f"""WITH {_CELLS_SQL},
-      sums AS (SELECT set_id, count(*) AS n_cells, sum(cell)::BIGINT AS sum_cells FROM seq_cells GROUP BY 1)
-      SELECT doc_id AS set_id, coalesce(n_cells, 0) AS n_cells, coalesce(sum_cells, 0) AS sum_cells
+      sums AS (SELECT set_id, count(*) AS n_cells, sum(cell)::BIGINT AS sum_cells,
+                      sum(cell * cell % 1000003)::BIGINT AS sum_squares FROM seq_cells GROUP BY 1)
+      SELECT doc_id AS set_id, coalesce(n_cells, 0) AS n_cells, coalesce(sum_cells, 0) AS sum_cells,
+             coalesce(sum_squares, 0) AS sum_squares
       FROM documents LEFT JOIN sums ON set_id = doc_id""",
     "poly_hash": f"""SELECT p_partkey, {_reduce_sql(31)} AS h31, {_reduce_sql(37)} AS h37,
       {_reduce_sql(41)} AS h41 FROM part""",
@@ -179,20 +254,6 @@ SQL = {
     "fasta_scan": """WITH letters AS (
         SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)
       SELECT 'doc ' || doc_id AS header, length(seq) AS n_letters, md5(seq) AS digest FROM letters""",
-    "sequence_similarity": f"""WITH {_CELLS_SQL}, {minima_sql('seq_cells', 32)},
-      own AS (SELECT cell FROM seq_cells WHERE set_id = 0),
-      counted AS (SELECT set_id, count(*) AS n, count(own.cell) AS inter
-                  FROM seq_cells LEFT JOIN own USING (cell) GROUP BY 1),
-      filled AS (SELECT d.doc_id AS set_id, p.plane, coalesce(b.m.c, 0) AS c
-                 FROM documents d CROSS JOIN planes p
-                 LEFT JOIN best b ON b.set_id = d.doc_id AND b.plane = p.plane),
-      ests AS (SELECT y.set_id, avg((x.c = y.c)::INT) AS est FROM filled x JOIN filled y
-               ON x.set_id = 0 AND y.set_id <> 0 AND x.plane = y.plane GROUP BY 1),
-      valued AS (SELECT e.set_id, est,
-                   coalesce(inter::DOUBLE / (n + (SELECT count(*) FROM own) - inter), 0.0) AS j
-                 FROM ests e LEFT JOIN counted c ON c.set_id = e.set_id)
-      SELECT set_id, '0 ↔ ' || set_id AS pair, 'classic' AS method, round(j, 9) AS exact, est,
-             round(abs(est - j), 9) AS error,
-             CASE WHEN j > 0.5 THEN 'HIGH' WHEN j > 0.2 THEN 'MED' ELSE 'LOW' END AS similarity
-      FROM valued""",
+    "sequence_similarity": _ANCHOR_SQL,
+    "long_sequence_similarity": _ANCHOR_SQL.replace(_TEXT_SQL, _LETTERS_SQL),
 }

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridkin.functions.grid import flatten
@@ -26,6 +26,12 @@ def kmer_cell(kmer: Column | str, k: int, shape: Sequence[int]) -> Column:
     return flatten(axes, shape)
 
 
+def _grid(shape: Sequence[int]) -> tuple[int, ...]:
+    if len(shape) != len(KMER_BASES):
+        raise ValueError(f"k-mer grids have {len(KMER_BASES)} axes")
+    return tuple(int(n) for n in shape)
+
+
 def _windows(text: np.ndarray, k: int) -> np.ndarray:
     """Start positions of the length-k runs over ACGT."""
     good = np.isin(text, np.frombuffer(b"ACGT", np.uint8))
@@ -54,9 +60,7 @@ def sequence_sets(
     """
     ship(sequences.sparkSession)
     id_type = sequences.schema["seq_id"].dataType.simpleString()
-    shape = tuple(int(n) for n in shape)
-    if len(shape) != len(KMER_BASES):
-        raise ValueError(f"k-mer grids have {len(KMER_BASES)} axes")
+    shape = _grid(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +104,84 @@ def sequence_kmers(sequences: DataFrame, k: int = 12) -> DataFrame:
     return sequences.select("seq_id", "seq").mapInArrow(run, f"seq_id {id_type}, kmer string")
 
 
+def piece_seams(pieces: DataFrame, k: int, key: Sequence[str] = ("file", "record")) -> DataFrame:
+    """``(*key, seq)``: the letters around every place where two pieces of a sequence meet.
+
+    The last k-1 letters before it and the first k-1 after it, taken from as many pieces as hold them, so that
+    every k-mer lies inside a piece or inside a seam.  Only these few letters of a piece move.
+    """
+    # Anything but the four letters stands for a letter that no k-mer holds.
+    edge = lambda part: F.regexp_replace(part.cast("string"), "[^ACGT]", "N")
+    n = F.length("seq")
+    size = F.least(n, F.lit(k - 1))
+    edges = pieces.where(n > 0).select(
+        *key, "block", "part",
+        edge(F.substring("seq", F.lit(1), size)).alias("head"),
+        edge(F.substring("seq", n - size + 1, size)).alias("tail"),
+    )
+    order = Window.partitionBy(*key).orderBy("block", "part")
+    joined = lambda c, frame: F.array_join(F.collect_list(c).over(frame), "")
+    around = edges.select(
+        *key,
+        joined("tail", order.rowsBetween(-(k - 2), 0)).alias("left"),
+        joined("head", order.rowsBetween(1, k - 1)).alias("right"),
+    )
+    seam = F.concat(F.right("left", F.lit(k - 1)), F.left("right", F.lit(k - 1)))
+    return around.where("right <> ''").select(*key, seam.cast("binary").alias("seq"))
+
+
+def _from_pieces(pieces: DataFrame, k: int, key: Sequence[str], values, value_type: pa.DataType, column: str) -> DataFrame:
+    """Distinct ``(*key, column)`` of what ``values`` finds in the letters of pieces and seams."""
+    ship(pieces.sparkSession)
+    whole = pieces.select(*key, "seq")
+    if k > 1:
+        whole = whole.unionByName(piece_seams(pieces, k, key))
+    fields = [pieces.schema[c] for c in key]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(len(key))):
+                found = values(np.frombuffer(raw.as_buffer(), np.uint8)) if raw.is_valid else ()
+                if len(found):
+                    ids = [pa.repeat(batch.column(c)[i], len(found)) for c in range(len(key))]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(found, value_type)], names=[*key, column])
+
+    kind = "string" if pa.types.is_string(value_type) else "bigint"
+    return whole.mapInArrow(run, f"{schema}, {column} {kind}").distinct()
+
+
+def piece_kmers(pieces: DataFrame, k: int = 12, key: Sequence[str] = ("file", "record")) -> DataFrame:
+    """``(*key, kmer)``, distinct, of sequences in pieces ``(*key, block, part, seq)`` of any length.
+
+    A sequence is worked on by as many tasks as its pieces lie in.
+    """
+
+    def words(text: np.ndarray) -> np.ndarray:
+        starts = _windows(text, k)
+        if not len(starts):
+            return starts
+        view = np.lib.stride_tricks.sliding_window_view(text, k)[starts]
+        return np.unique(np.ascontiguousarray(view).view(f"S{k}").ravel()).astype("U")
+
+    return _from_pieces(pieces, k, key, words, pa.string(), "kmer")
+
+
+def piece_cells(
+    pieces: DataFrame, k: int = 12, shape: Sequence[int] = (64, 64, 64), key: Sequence[str] = ("file", "record")
+) -> DataFrame:
+    """``(*key, cell)``, distinct: the grid cells of all k-mers of sequences in pieces."""
+    shape = _grid(shape)
+    return _from_pieces(pieces, k, key, lambda text: _cells_of(text, k, shape), pa.int64(), "cell")
+
+
+def piece_records(pieces: DataFrame, key: Sequence[str] = ("file", "record")) -> DataFrame:
+    """``(*key, header, n_letters)``, one row per sequence; a letter of several bytes counts once."""
+    return pieces.groupBy(*key).agg(
+        F.max("header").alias("header"), F.sum(F.length(F.col("seq").cast("string"))).cast("long").alias("n_letters")
+    )
+
+
 def sequence_profile(sequences: DataFrame, k: int = 12) -> DataFrame:
     """Length and number of distinct k-mers of every sequence."""
     counts = sequence_kmers(sequences, k).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_kmers"))
