@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,27 @@ def map_arrow(
 ) -> DataFrame:
     """``mapInArrow`` with the package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_returning_memory(function), schema)
+
+
+def _returning_memory(function: Callable) -> Callable:
+    """A worker lives on after its task; what Arrow keeps for later would count against the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], function: Callable[[tuple, pa.Table], pa.Table], schema: str
+) -> DataFrame:
+    """``groupBy(keys).applyInArrow`` with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(function, schema)
 
 
 def text_or_empty(col: Column | str) -> Column:
@@ -59,8 +80,25 @@ def ragged_gather(
     return values[np.arange(total) + shift], ends
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows some hundred at a time, where a row may be large in Python."""
+def in_slices(
+    batches: Iterator[pa.RecordBatch], rows: int = 256, column: int | None = None, most: int = 2 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The same rows some hundred at a time, where a row may be large in Python.
+
+    With ``column``, a text or binary one, a slice also ends before it holds more than ``most`` bytes of it;
+    a longer value is a slice of its own.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        if column is None:
+            edges = [*range(0, batch.num_rows, rows), batch.num_rows]
+        else:
+            edges, size = [0], 0
+            for i, n in enumerate(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)):
+                size += int(n)
+                if i > edges[-1] and (size > most or i - edges[-1] == rows):
+                    edges.append(i)
+                    size = int(n)
+            edges.append(batch.num_rows)
+        for start, end in zip(edges, edges[1:], strict=False):
+            if end > start:
+                yield batch.slice(start, end - start)

@@ -16,10 +16,14 @@ qualifying pair can be missed, whatever the distribution of shingles.
 The boundary is the size at which the weighted number of entries of both kinds together is least, from the
 counted sizes of all sets.
 
+Most entries are alone in their list.  Entries travel packed, some thousand to a row, by ranges of their key;
+of a list that a task fills with more than ``LOCAL`` sets these are chained where they are and only that many go
+on, so a list that a third of all sets share is never brought together.
+
 Lists give pairs in two rounds, both checked on the whole sets.  First neighbours in a list, by size: one
 pair per entry.  Then, for lists whose sets are still in different components, blocks of the sets that such
-lists hold together scan each other's inverted lists of shingles.  No pair is written down unless it links
-two components.
+lists hold together scan each other's inverted lists of shingles, shortened to 32 bits, which can only add a
+pair; what they find is checked on the whole sets.  No pair is written down unless it may link two components.
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import free_name, in_slices, map_arrow, ragged_gather, text_or_empty
+from gridkin.llm.common import free_name, in_slices, map_arrow, map_groups, ragged_gather, text_or_empty
 from gridkin.llm.components import components
+from gridkin.operators.shipping import ship
 from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
 
 WIDTH = 3
@@ -50,6 +55,13 @@ HEAVY_WEIGHT = 4
 # Sets in a block of a cluster.
 BLOCK = 256
 WORDS_REMEMBERED = 150_000
+# Bits of a list's key; lists that fall together only add pairs to be checked.
+KEY_BITS = 48
+# Entries that a task packs at a time, that a range of keys shall hold, and that a set has (a guess, for the
+# number of ranges only).
+PACKED, RANGE, ENTRIES = 1 << 19, 1 << 21, 128
+# Sets of one list that go on from one pack.
+LOCAL = 4
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -92,7 +104,7 @@ class Shingler:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(width)
-    for batch in in_slices(batches):
+    for batch in in_slices(batches, column=1):
         found = [shingle(t) for t in batch[1].to_pylist()]
         yield pa.record_batch(
             {
@@ -190,27 +202,115 @@ def _heavy_keys(x: np.ndarray, spread: np.ndarray, place: int, segments: int) ->
     return np.concatenate(out)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], boundary: int, classes: Sequence[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _keys_of(x: np.ndarray, boundary: int, classes: Sequence[tuple[int, int]], lows: np.ndarray) -> np.ndarray:
+    """Distinct keys of the lists that a set enters."""
+    n, parts = len(x), [np.zeros(0, _U)]
+    if SMALLEST <= n <= boundary:
+        parts.append(np.array(_light_keys(x, boundary), _U))
+    if n >= SMALLEST and 100 * n // PERCENT > boundary:
+        spread = _mix(x + _ODD[2])
+        own = int(np.searchsorted(lows, n, "right")) - 1
+        parts.append(_heavy_keys(x, spread, own, classes[own][1]))
+        if own and n > boundary:
+            parts.append(_heavy_keys(x, spread, own - 1, classes[own - 1][1]))
+    return np.unique(np.concatenate(parts) >> _U(64 - KEY_BITS))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit values, all first bytes before all second ones: what the values share compresses away."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed_sorted(x: np.ndarray) -> bytes:
+    return planes(np.diff(x, prepend=_U(0)))
+
+
+def from_packed_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw), dtype=_U)
+
+
+def _entry_order(key: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return np.lexsort((row, n, key))
+
+
+def _chains(key: np.ndarray, n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries in order: whether one follows another of its list, and the length of its list."""
+    follows = np.concatenate([[False], key[1:] == key[:-1]])
+    starts = np.flatnonzero(~follows)
+    return follows, np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+
+
+_FILED = "part int, keys binary, ns binary, rows binary, chained binary"
+_LISTED = "key long, row long, n long, before long, n_before long"
+
+
+def _filed(batches: Iterator[pa.RecordBatch], boundary: int, classes: Sequence[tuple[int, int]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Entries of some thousand sets at a time, packed by ranges of their key."""
     lows = np.array([low for low, _ in classes])
-    for batch in in_slices(batches):
-        rows = []
-        for raw in batch[2]:
+    keys, sizes, rows, held = [], [], [], 0
+    for batch in in_slices(batches, column=2):
+        for row, raw in zip(batch[0].to_pylist(), batch[2], strict=True):
             x = np.frombuffer(raw.as_buffer(), _U)
-            n = len(x)
-            parts = []
-            if SMALLEST <= n <= boundary:
-                parts.append(np.array(_light_keys(x, boundary), _U))
-            if n >= SMALLEST and 100 * n // PERCENT > boundary:
-                spread = _mix(x + _ODD[2])
-                own = int(np.searchsorted(lows, n, "right")) - 1
-                parts.append(_heavy_keys(x, spread, own, classes[own][1]))
-                if own and n > boundary:
-                    parts.append(_heavy_keys(x, spread, own - 1, classes[own - 1][1]))
-            rows.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, _U))
-        edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        flat = np.concatenate([*rows, np.zeros(0, _U)]).view(np.int64)
-        keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
-        yield pa.record_batch([batch[0], batch[1], keys], names=["row", "n", "keys"])
+            keys.append(_keys_of(x, boundary, classes, lows))
+            sizes.append(len(x))
+            rows.append(row)
+            held += len(keys[-1])
+            if held >= PACKED:
+                yield _pack(keys, sizes, rows, parts)
+                keys, sizes, rows, held = [], [], [], 0
+    if held:
+        yield _pack(keys, sizes, rows, parts)
+
+
+def _pack(keys: list[np.ndarray], sizes: list[int], rows: list[int], parts: int) -> pa.RecordBatch:
+    counts = [len(k) for k in keys]
+    key, n, row = np.concatenate(keys), np.repeat(np.array(sizes, _U), counts), np.repeat(np.array(rows, _U), counts)
+    order = _entry_order(key, n, row)
+    key, n, row = key[order], n[order], row[order]
+    follows, length = _chains(key, n, row)
+    starts = np.flatnonzero(~follows)
+    place = np.arange(len(key)) - np.repeat(starts, length[starts])
+    many = length > LOCAL
+    # Evenly spaced by size, the first and the last among them.
+    goes_on = ~many | (place * (LOCAL - 1) // np.maximum(length - 1, 1) > (place - 1) * (LOCAL - 1) // np.maximum(length - 1, 1))
+    chained = np.flatnonzero(many & follows)
+    part = (key * _U(parts) >> _U(KEY_BITS)).astype(np.int64) if parts < 1 << 16 else (key >> _U(16)).astype(np.int64) * parts >> KEY_BITS - 16
+    edges, chain_edges = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(part[chained], np.arange(parts + 1))
+    out = {name: [] for name in ("part", "keys", "ns", "rows", "chained")}
+    for p in range(parts):
+        inside = slice(edges[p], edges[p + 1])
+        if inside.start == inside.stop:
+            continue
+        go = np.flatnonzero(goes_on[inside]) + inside.start
+        at = chained[chain_edges[p] : chain_edges[p + 1]]
+        out["part"].append(p)
+        out["keys"].append(packed_sorted(key[go]))
+        out["ns"].append(planes(n[go]))
+        out["rows"].append(planes(row[go]))
+        out["chained"].append(planes(np.concatenate([key[at], row[at], n[at], row[at - 1], n[at - 1]])))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def _listed(key: tuple, table: pa.Table) -> pa.Table:
+    """Entries of one range of keys that share their list with another set.
+
+    Each with the one before it, -1 for the first.
+    """
+    lists = [np.concatenate([f(x) for x in table[c].to_pylist()]) for c, f in (("keys", from_packed_sorted), ("ns", from_planes), ("rows", from_planes))]
+    order = _entry_order(*lists)
+    key, n, row = (x[order] for x in lists)
+    follows, length = _chains(key, n, row)
+    at = np.flatnonzero(length > 1)
+    own = np.stack([key[at], row[at], n[at], row[at - 1], n[at - 1]]).astype(np.int64)
+    own[3, ~follows[at]] = -1
+    chains = [from_planes(x).reshape(5, -1).astype(np.int64) for x in table["chained"].to_pylist()]
+    out = np.concatenate([own, *chains], axis=1)
+    return pa.table(dict(zip(("key", "row", "n", "before", "n_before"), map(pa.array, out), strict=True)))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +389,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return kept
     # Ids on several rows: look at each row's own content again.
     names = [free_name(docs.columns, c) for c in ("n", "content", "component")]
+    ship(docs.sparkSession)
     rows = docs.join(repeated, key == F.col("_out"), "left_semi").withColumns(
         dict(zip(names[:2], _content_of(F.coalesce("text", F.lit("")), width), strict=True))
     )
@@ -325,25 +426,14 @@ def class_components(sets: DataFrame) -> DataFrame:
     boundary = choose_boundary({r["n"]: r["k"] for r in sizes})
     cut = size_classes(classes.agg(F.max("n")).first()[0] or 0)
 
-    filed = map_arrow(
-        sets.where(F.col("n") >= SMALLEST).select("row", "n", "elements"),
-        lambda b: _keys(b, boundary, cut),
-        "row long, n long, keys array<long>",
-    )
-    entries = filed.join(classes.select("row"), "row", "left_semi").select("row", "n", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("n", "row")
-    lists = write_and_read(
-        entries.select(
-            "key", "row", "n",
-            F.lag("row").over(order).alias("before"),
-            F.lag("n").over(order).alias("n_before"),
-            F.lead("row").over(order).alias("after"),
-        )
-        .where(F.col("before").isNotNull() | F.col("after").isNotNull())
-        .drop("after"),
-        "lists",
-    )
-    neighbours = lists.where(F.col("before").isNotNull() & _fits("n_before", "n"))
+    # One set of each class; a counted list of at most a million longs is broadcast.
+    n_classes = classes.count()
+    own = classes.where(F.col("n") >= SMALLEST).select("row")
+    own = sets.select("row", "n", "elements").join(F.broadcast(own) if n_classes <= BROADCAST_ROWS else own, "row", "left_semi")
+    parts = max(-(-n_classes * ENTRIES // RANGE), 16)
+    filed = map_arrow(own, lambda b: _filed(b, boundary, cut, parts), _FILED)
+    lists = write_and_read(map_groups(filed, ["part"], _listed, _LISTED), "lists")
+    neighbours = lists.where((F.col("before") >= 0) & _fits("n_before", "n"))
     first = _pairs(neighbours.select(F.col("before").alias("a"), F.col("row").alias("b")))
     roots = components(checked(first, sets))
     top = components(_links_between(lists, roots, sets))
@@ -365,15 +455,12 @@ def _links_between(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     block against block, each block pair in its own task-sized group, and only links leave it.
     """
     known = roots.select(F.col("node").alias("row"), "root")
-    marked = (
-        lists.select("key", "row", "before")
-        .join(known, "row", "left")
-        .withColumn("root", F.coalesce("root", "row"))
-    )
+    marked = lists.select("key", "row", "before").join(known, "row", "left")
+    marked = marked.withColumn("root", F.coalesce("root", "row"))
     mixed = (
         marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     )
-    held = marked.join(mixed, "key", "left_semi").where(F.col("before").isNotNull())
+    held = marked.join(mixed, "key", "left_semi").where(F.col("before") >= 0)
     clusters = components(held.select(F.col("before").alias("a"), F.col("row").alias("b")))
     clusters = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -387,39 +474,73 @@ def _links_between(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
         "clusters",
     )
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    placed = (
-        sets.select("row", "elements")
-        .join(side, "row")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-            "block", "root", "elements",
-        )
+    named = sets.select("row", "n", "elements").join(side, "row")
+    short = map_arrow(
+        named.select("row", "cluster", "blocks", "block", "root", "n", "elements"),
+        _shortened,
+        "row long, cluster long, blocks int, block int, root long, n long, short binary",
+    )
+    placed = short.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "block", "row", "root", "n", "short",
     )
-    found = placed.groupBy("cluster", "lo", "hi").applyInArrow(_scan_block, "a long, b long")
-    return write_and_read(found, "links")
+    links = _confirmed(placed, sets, every=False)
+    return links if links is not None else _confirmed(placed, sets, every=True)
+
 
+def _confirmed(placed: DataFrame, sets: DataFrame, every: bool) -> DataFrame | None:
+    """Links between roots that hold on the whole sets, stored.
 
-def _scan_block(key: tuple, rows: pa.Table) -> pa.Table:
-    """Scan the inverted lists of one block with the sets of another; linked roots, each pair once."""
+    Unless ``every`` pair of sets is asked for, one pair of each two roots is tried, and the result is None if
+    one of them does not hold: then another pair of the same roots might.
+    """
+    found = map_groups(placed, ["cluster", "lo", "hi"], lambda k, t: _scan_block(k, t, every), "a long, b long, x long, y long")
+    if every:
+        tried = write_and_read(found, "found")
+    else:
+        tried = write_and_read(
+            found.groupBy("a", "b").agg(F.min(F.struct("x", "y")).alias("p")).select("a", "b", "p.*"), "found"
+        )
+    pairs = tried.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    sound = checked(write_and_read(pairs, "pairs"), sets)
+    if not every and sound.count() < pairs.count():
+        return None
+    sound = sound.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return write_and_read(tried.join(sound, ["x", "y"], "left_semi").select("a", "b").distinct(), "links")
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements by their first 32 bits, as packed differences."""
+    for batch in in_slices(batches, column=6):
+        short = [packed_sorted(np.frombuffer(x.as_buffer(), _U) >> _U(32)) for x in batch[6]]
+        names = [*batch.schema.names[:-1], "short"]
+        yield pa.record_batch([*batch.columns[:-1], pa.array(short, pa.binary())], names=names)
+
+
+def _scan_block(key: tuple, rows: pa.Table, every: bool = False) -> pa.Table:
+    """Scan the inverted lists of one block with the sets of another.
+
+    ``(a, b, x, y)``: roots and the pair of sets that may link them; one pair for each two roots, or ``every``.
+    """
     lo, hi = key[1].as_py(), key[2].as_py()
-    block, root = rows["block"].to_numpy(), rows["root"].to_numpy()
-    raw = rows["elements"].combine_chunks()
+    block, root, row, n = (rows[c].to_numpy() for c in ("block", "root", "row", "n"))
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    out: set[tuple[int, int]] = set()
+    out: dict[tuple, tuple] = {}
     if len(left) and len(right) and (root[left].min() != root[right].max() or root[left].max() != root[right].min()):
-        parts = [np.frombuffer(x.as_buffer(), _U) for x in raw]
-        n = np.array([len(x) for x in parts])
+        raw = rows["short"].to_pylist()
         of = np.repeat(np.arange(len(right)), n[right])
-        elements = np.concatenate([parts[i] for i in right])
+        elements = np.concatenate([from_packed_sorted(raw[i]) for i in right])
         order = np.argsort(elements, kind="stable")
         of, elements = of[order], elements[order]
         for i in left:
-            start, end = np.searchsorted(elements, parts[i], "left"), np.searchsorted(elements, parts[i], "right")
+            own = from_packed_sorted(raw[i])
+            start, end = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
             listed, _ = ragged_gather(of, start, end - start)
             shared = np.bincount(listed, minlength=len(right))
             linked = 100 * shared >= PERCENT * (n[i] + n[right] - shared)
             for j in right[linked & (root[right] != root[i])]:
-                out.add((min(root[i], root[j]), max(root[i], root[j])))
-    pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                a, b = sorted((int(root[i]), int(root[j])))
+                x, y = sorted((int(row[i]), int(row[j])))
+                out.setdefault((a, b, x, y) if every else (a, b), (a, b, x, y))
+    found = np.array(sorted(out.values()), np.int64).reshape(-1, 4)
+    return pa.table({name: pa.array(found[:, i]) for i, name in enumerate("abxy")})
