@@ -17,10 +17,13 @@ from gridkin.operators.families import (
 )
 from gridkin.operators.library import LibraryFamily
 from gridkin.operators.signatures import plane_minima, plane_ranks, signatures
+from gridkin.operators.sketches import merged, sketch_signatures, sketches
+from gridkin.operators.storage import write_and_read
 
 K = 32
 BANDS = 8
 KRON_K = 16
+TT_K, TT_RANK = 8, 3
 PRIME = 2147483647
 
 
@@ -78,13 +81,30 @@ def kron_axis_ranks(spark, sf):
 
 
 def tt_signature(spark, sf):
-    return joined(signatures(src.text_sets(spark, sf, 32**3), TTFamily(K, 42, src.TEXT_SHAPE)))
+    sets = src.text_sets(spark, sf, 32**3)
+    return joined(signatures(sets, TTFamily(TT_K, 42, src.TEXT_SHAPE, TT_RANK, "md5")))
 
 
 def library_signature(spark, sf):
     return joined(signatures(src.text_sets(spark, sf), LibraryFamily(K)))
 
 
+def merged_sketches(spark, sf):
+    """Suppliers' parts sketched in three instalments, stored, and merged one after the other."""
+    rows = src.supplier_rows(spark, sf)
+    third = F.pmod(F.xxhash64("set_id", "cell"), F.lit(3))
+    whole = None
+    for i in range(3):
+        part = sketches(rows.where(third == i), ClassicFamily(K))
+        whole = write_and_read(merged(part if whole is None else whole.unionByName(part)), "sketches")
+    total = F.aggregate("ranks", F.lit(0.0), lambda a, b: a + b)
+    return joined_with(sketch_signatures(whole), whole.select("set_id", total.alias("total_rank")))
+
+
+def joined_with(sigs, more):
+    return joined(sigs).join(more, "set_id")
+
+
 def signature_estimate(spark, sf):
     """Estimated similarity of each supplier's parts to the next supplier's."""
     sigs = signatures(src.supplier_rows(spark, sf), ClassicFamily(K))
@@ -144,8 +164,8 @@ def factors_sql(k: int, shape) -> str:
       cells_of_axes AS (SELECT m, unnest(range(n)) AS i FROM axes),
       factors AS (
         SELECT m AS mode, j.j AS plane, i AS idx,
-               -ln(greatest((('0x' || substr(md5('42:' || m || ':' || j.j || ':' || i), 1, 13))::BIGINT
-                   + 1) / 4503599627370496.0, 1e-10)) AS e
+               -ln((('0x' || substr(md5('42:' || m || ':' || j.j || ':' || i), 1, 13))::BIGINT + 1)
+                   / 4503599627370496.0) AS e
         FROM cells_of_axes CROSS JOIN range({k}) j(j))"""
 
 
@@ -162,6 +182,36 @@ def kron_minima_sql(cells: str, k: int, shape) -> str:
       kron_sigs AS (SELECT set_id, list(m.c ORDER BY plane) AS sig FROM kron_best GROUP BY 1)"""
 
 
+def tt_minima_sql(cells: str, k: int, shape, rank: int) -> str:
+    """CTE ``tt_sigs``: cores of three axes drawn as the family draws them, contracted from left to right."""
+    bonds = [(1, rank), (rank, rank), (rank, 1)]
+    cores = []
+    for mode, ((lo, hi), n) in enumerate(zip(bonds, shape, strict=True)):
+        uniform = [
+            f"(('0x' || substr(md5('42:tt:{mode}:' || e.e || ':{half}'), 1, 13))::BIGINT + 1) / 4503599627370496.0"
+            for half in (0, 1)
+        ]
+        # Entry e of (plane, left, index, right) in row-major order.
+        cores.append(f"""
+      core{mode} AS MATERIALIZED (
+        SELECT e // {lo * n * hi} AS plane, (e // {hi}) % {n} AS idx,
+               list(v::FLOAT::DOUBLE ORDER BY (e // {n * hi}) % {lo}, e % {hi}) AS c
+        FROM (SELECT e.e, sqrt(-2 * ln({uniform[0]})) * cos(2 * pi() * {uniform[1]}) / sqrt({lo}) AS v
+              FROM range({k * lo * n * hi}) e(e)) GROUP BY 1, 2)""")
+    left = [" + ".join(f"a.c[{r + 1}] * b.c[{r * rank + s + 1}]" for r in range(rank)) for s in range(rank)]
+    total = " + ".join(f"({left[s]}) * z.c[{s + 1}]" for s in range(rank))
+    n1, n2 = shape[1], shape[2]
+    return f"""{",".join(cores)},
+      tt_ranks AS (
+        SELECT cell, a.plane, {total} AS r
+        FROM (SELECT DISTINCT cell FROM {cells})
+        JOIN core0 a ON a.idx = cell // {n1 * n2}
+        JOIN core1 b ON b.idx = (cell // {n2}) % {n1} AND b.plane = a.plane
+        JOIN core2 z ON z.idx = cell % {n2} AND z.plane = a.plane),
+      tt_best AS (SELECT set_id, plane, min({{'r': r, 'c': cell}}) AS m FROM {cells} JOIN tt_ranks USING (cell) GROUP BY 1, 2),
+      tt_sigs AS (SELECT set_id, list(m.c ORDER BY plane) AS sig FROM tt_best GROUP BY 1)"""
+
+
 def _all_documents(sigs: str, k: int) -> str:
     """Documents without a shingle get zeros."""
     zeros = ",".join(["0"] * k)
@@ -187,6 +237,7 @@ QUERIES = {
     "kron_signature": kron_signature,
     "kron_axis_ranks": kron_axis_ranks,
     "tt_signature": tt_signature,
+    "merged_sketches": merged_sketches,
     "mllib_minhash": library_signature,
     "signature_estimate": signature_estimate,
     "lsh_bands": lsh_bands,
@@ -211,6 +262,11 @@ SQL = {
       FROM factors JOIN used USING (idx) WHERE mode = 2""",
     "kron_signature": f"""WITH {src.text_sets_sql(32**3)},
       {kron_minima_sql('text_cells', KRON_K, src.TEXT_SHAPE)} {_all_documents('kron_sigs', KRON_K)}""",
+    "tt_signature": f"""WITH {src.text_sets_sql(32**3)},
+      {tt_minima_sql('text_cells', TT_K, src.TEXT_SHAPE, TT_RANK)} {_all_documents('tt_sigs', TT_K)}""",
+    "merged_sketches": f"""WITH {src.SUPPLIERS_SQL}, {minima_sql('supplier_sets', K)}
+      SELECT set_id, array_to_string(list(m.c ORDER BY plane), ',') AS sig, sum(m.r)::DOUBLE AS total_rank
+      FROM best GROUP BY 1""",
     "kron_axis_ranks": f"""WITH {src.SUPPLIERS_SQL},
       folded AS (SELECT set_id, cell % 4096 AS cell FROM supplier_sets),
       {kron_minima_sql('folded', 4, (16, 16, 16))}

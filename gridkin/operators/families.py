@@ -30,6 +30,11 @@ def _md5_int(text: str, digits: int) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
 
 
+def _md5_uniform(*path: int | str) -> float:
+    """A multiple of 2**-52 in (0, 1]."""
+    return (_md5_int(":".join(map(str, path)), 13) + 1) / (1 << 52)
+
+
 @dataclass(frozen=True)
 class Family:
     """Settings shared by all hash families."""
@@ -185,20 +190,13 @@ class KronFamily(Family):
     @cached_property
     def factors(self) -> list[np.ndarray]:
         """Per axis a (k, length) table."""
-        out = []
-        rng = np.random.default_rng(self.seed)
-        for mode, n in enumerate(self.shape):
-            if self.source == "numpy":
-                u = rng.random((self.k, n))
-            else:
-                u = np.array(
-                    [
-                        [(_md5_int(f"{self.seed}:{mode}:{j}:{i}", 13) + 1) / (1 << 52) for i in range(n)]
-                        for j in range(self.k)
-                    ]
-                )
-            out.append(-np.log(np.clip(u, 1e-10, 1.0)))
-        return out
+        if self.source == "numpy":
+            rng = np.random.default_rng([self.seed, len(self.shape)])
+            return [rng.standard_exponential((self.k, n)) for n in self.shape]
+        return [
+            -np.log([[_md5_uniform(self.seed, mode, j, i) for i in range(n)] for j in range(self.k)])
+            for mode, n in enumerate(self.shape)
+        ]
 
     def kernel(self, planes: slice = slice(None)):
         return _KronKernel([f[planes] for f in self.factors], self.shape)
@@ -240,7 +238,7 @@ def kron_factors(spark: SparkSession, shape: Sequence[int], k: int, seed: int) -
         )
     )
     u = uniform(F.lit(seed), F.col("mode"), F.col("plane"), F.col("idx"))
-    return rows.withColumn("e", -F.ln(F.greatest(u, F.lit(1e-10))))
+    return rows.withColumn("e", -F.ln(u))
 
 
 def kron_axis_table(spark: SparkSession, family: KronFamily, mode: int) -> DataFrame:
@@ -268,16 +266,20 @@ def classic_planes(spark: SparkSession, k: int, seed: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class TTFamily(Family):
-    """Rank = chained product of one rank x rank Gaussian matrix per (axis, plane, index)."""
+    """Rank = chained product of one rank x rank Gaussian matrix per (axis, plane, index).
+
+    ``source`` picks the entries: ``numpy`` (seeded generator) or ``md5`` (portable to SQL).
+    """
 
     shape: tuple[int, ...] = (64, 64, 64)
     rank: int = 4
+    source: str = "numpy"
 
     method = "tt"
 
     @property
     def params_id(self) -> str:
-        return f"{super().params_id}:{'x'.join(map(str, self.shape))}:r={self.rank}"
+        return f"{super().params_id}:{'x'.join(map(str, self.shape))}:r={self.rank}:{self.source}"
 
     def bonds(self) -> list[tuple[int, int]]:
         """Left and right bond size of every core; the outer bonds are 1."""
@@ -291,24 +293,25 @@ class TTFamily(Family):
 
     @cached_property
     def cores(self) -> list[np.ndarray]:
-        """Per axis a (k, left, length, right) float32 stack.
+        """Per axis a (k, left, length, right) float32 stack of standard normal entries.
 
-        Draws run plane by plane, axis by axis; a core tall enough is replaced by the orthonormal
-        factor of its unfolding, which keeps products of many axes in range.
+        A core is divided by the root of its left bond, so that a product of any number of them keeps the
+        variance of one entry.
         """
-        rng = np.random.default_rng(self.seed + 1)
-        stacks = [
-            np.empty((self.k, lo, n, hi), np.float32)
-            for (lo, hi), n in zip(self.bonds(), self.shape, strict=True)
+        return [
+            (self._normal(mode, (self.k, lo, n, hi)) / np.sqrt(lo)).astype(np.float32)
+            for mode, ((lo, hi), n) in enumerate(zip(self.bonds(), self.shape, strict=True))
+        ]
+
+    def _normal(self, mode: int, size: tuple[int, ...]) -> np.ndarray:
+        if self.source == "numpy":
+            return np.random.default_rng([self.seed, self.rank, mode]).standard_normal(size)
+        # Box and Muller, from two uniform numbers an entry.
+        draws = [
+            [_md5_uniform(self.seed, "tt", mode, entry, half) for half in (0, 1)] for entry in range(int(np.prod(size)))
         ]
-        for j in range(self.k):
-            for stack in stacks:
-                lo, n, hi = stack.shape[1:]
-                draw = rng.standard_normal((lo, n, hi)).astype(np.float32)
-                if lo * n >= hi:
-                    draw = np.linalg.qr(draw.reshape(lo * n, hi))[0].reshape(lo, n, hi)
-                stack[j] = draw
-        return stacks
+        u, v = np.array(draws).T
+        return (np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)).reshape(size)
 
     def kernel(self, planes: slice = slice(None)):
         return _TTKernel([c[planes] for c in self.cores], self.shape)

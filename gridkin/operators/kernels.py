@@ -1,7 +1,7 @@
 """Arrow-batch argmin over planes: the inner loop of signature building.
 
-Winning cells are themselves set members, so a partial result is simply a smaller set.  That makes
-map-side combining a filter (`prune`) with the same schema as its input.
+What a task has seen of a large set is one row, its least ranks and their cells (`prune`); rows of small sets
+pass as they are.  `finish_sorted` merges both.
 """
 
 from __future__ import annotations
@@ -64,11 +64,30 @@ def _run_starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
 
 
+PRUNED = ["set_id", "cell", "best"]
+
+
+def packed_best(best: np.ndarray, cell: np.ndarray) -> bytes:
+    return best.tobytes() + cell.astype(np.int64).tobytes()
+
+
+def unpacked_best(raw: bytes, rank_type) -> tuple[np.ndarray, np.ndarray]:
+    half = len(raw) // 2
+    return np.frombuffer(raw[:half], rank_type), np.frombuffer(raw[half:], np.int64)
+
+
+def keep_lower(best, cell, other_best, other_cell) -> None:
+    """Element-wise minimum of (rank, cell), into the first pair."""
+    better = (other_best < best) | ((other_best == best) & (other_cell < cell))
+    best[better], cell[better] = other_best[better], other_cell[better]
+
+
 def prune(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep, of every large set seen by this task, only the cells that win some plane.
+    """``(set_id, cell, best)``: of every large set seen by this task one row with its winners, and no cell.
 
-    A set passes unchanged until the task has seen 2k cells of it, so output never exceeds input and a set
-    with very many rows leaves at most some 3k cells per task, however thinly they are spread over it.
+    A set passes unchanged, cell by cell, until the task has seen 2k cells of it, so output never exceeds input
+    and a set with very many rows leaves at most 2k cells and a few rows of winners per task, however thinly it
+    is spread over it.
     State for large sets lives until the task ends.  Both the state and the counts are of a bounded number
     of sets; forgetting a count only thins a set later.
     """
@@ -90,7 +109,8 @@ def prune(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         small = ~large[codes]
         if small.any():
             mask = pa.array(small)
-            yield pa.RecordBatch.from_arrays([ids.filter(mask), pa.array(cells[small])], schema=schema)
+            kept = ids.filter(mask)
+            yield pa.RecordBatch.from_arrays([kept, pa.array(cells[small]), pa.nulls(len(kept), pa.binary())], names=PRUNED)
         if not large.any():
             return
         codes, cells = codes[~small], cells[~small]
@@ -102,20 +122,16 @@ def prune(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key = keys[int(code)]
             old = state.get(key)
             if old is not None:
-                keep = (old[0] < best[row]) | ((old[0] == best[row]) & (old[1] < cell[row]))
-                best[row][keep], cell[row][keep] = old[0][keep], old[1][keep]
+                keep_lower(best[row], cell[row], *old)
             state[key] = (best[row].copy(), cell[row].copy())
 
     def flush(schema):
-        keys, values = [], []
-        for key, (_, cell) in state.items():
-            winners = np.unique(cell)
-            keys.extend([key] * len(winners))
-            values.append(winners)
+        if not state:
+            return
+        best = pa.array([packed_best(*pair) for pair in state.values()], pa.binary())
+        ids = pa.array(list(state), schema.field(0).type)
         state.clear()
-        if keys:
-            arrays = [pa.array(keys, schema.field(0).type), pa.array(np.concatenate(values))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), best], names=PRUNED)
 
     buffer, rows, schema = [], 0, None
     for batch in batches:
@@ -135,6 +151,37 @@ def prune(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from flush(schema)
 
 
+def sketch_rows(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least ranks and their cells for each (set, pane) of some hundred thousand rows (set_id, pane, at, cell)."""
+    kernel.prepare()
+    buffer, rows = [], 0
+    for batch in batches:
+        buffer.append(batch)
+        rows += batch.num_rows
+        if rows >= BUFFER_ROWS:
+            yield _sketched(kernel, buffer)
+            buffer, rows = [], 0
+    if rows:
+        yield _sketched(kernel, buffer)
+
+
+def _sketched(kernel, buffer: list[pa.RecordBatch]) -> pa.RecordBatch:
+    ids = _column(buffer, 0)
+    pane, at, cells = (_column(buffer, i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+    _, codes = _codes(ids)
+    order = np.lexsort((cells, pane, codes))
+    codes, pane, at, cells = codes[order], pane[order], at[order], cells[order]
+    starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (pane[1:] != pane[:-1])])
+    best, cell = segment_argmin(kernel, starts, cells)
+    edges = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * kernel.k)
+    lists = [pa.ListArray.from_arrays(edges, pa.array(x.ravel())) for x in (best.astype(np.float64), cell)]
+    heads = ids.take(pa.array(order[starts]))
+    latest = pa.array(np.maximum.reduceat(at, starts))
+    return pa.RecordBatch.from_arrays(
+        [heads, pa.array(pane[starts]), latest, *lists], names=["set_id", "pane", "at", "ranks", "cells"]
+    )
+
+
 def _emit(ids: pa.Array, sig: np.ndarray, schema: pa.Schema, kept=()) -> pa.RecordBatch:
     offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * sig.shape[1])
     lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(sig).ravel()))
@@ -146,22 +193,24 @@ def _output_schema(id_type: pa.DataType, kept=()) -> pa.Schema:
 
 
 def finish_sorted(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures from rows ``(set_id, cell)`` sorted by both; only the open set is held back."""
+    """Signatures from rows ``(set_id, cell, best)`` sorted by the first two; only the open set is held back.
+
+    A row has either a cell or winners.
+    """
     kernel.prepare()
     open_id = open_best = open_cell = schema = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, cells = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        ids = batch.column(0)
         schema = schema or _output_schema(ids.type)
         _, codes = _codes(ids)
         starts = _run_starts(codes)
-        best, cell = segment_argmin(kernel, starts, cells)
+        best, cell = _run_winners(kernel, batch, starts)
         heads = ids.take(pa.array(starts))
         if open_id is not None:
             if heads[0].equals(open_id):
-                keep = open_best <= best[0]
-                best[0][keep], cell[0][keep] = open_best[keep], open_cell[keep]
+                keep_lower(best[0], cell[0], open_best, open_cell)
             else:
                 yield _emit(pa.array([open_id.as_py()], ids.type), open_cell[None, :], schema)
         if len(starts) > 1:
@@ -171,6 +220,25 @@ def finish_sorted(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield _emit(pa.array([open_id.as_py()], schema.field(0).type), open_cell[None, :], schema)
 
 
+def _run_winners(kernel, batch: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least rank and its cell per plane of each run of rows."""
+    single = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+    if single.all():
+        return segment_argmin(kernel, starts, batch.column(1).to_numpy(zero_copy_only=False))
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+    worst = np.iinfo(np.int64).max if kernel.rank_type is np.int64 else np.inf
+    best = np.full((len(starts), kernel.k), worst, kernel.rank_type)
+    cell = np.zeros((len(starts), kernel.k), np.int64)
+    if single.any():
+        own = run[single]
+        firsts = _run_starts(own)
+        cells = batch.column(1).drop_null().to_numpy(zero_copy_only=False)
+        best[own[firsts]], cell[own[firsts]] = segment_argmin(kernel, firsts, cells)
+    for i in np.flatnonzero(~single):
+        keep_lower(best[run[i]], cell[run[i]], *unpacked_best(batch.column(2)[int(i)].as_py(), kernel.rank_type))
+    return best, cell
+
+
 def finish_rows(kernel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures from rows ``(set_id, cells ARRAY, ...)``; an empty set gets all zeros.
 

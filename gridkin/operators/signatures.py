@@ -27,7 +27,7 @@ def _id_type(df: DataFrame) -> str:
 def signatures(sets: DataFrame, family: Family, keep: Sequence[str] = ()) -> DataFrame:
     """``(set_id, params_id, sig)`` for long sets ``(set_id, cell)`` or row sets ``(set_id, cells)``.
 
-    Row sets never move.  Long sets move once, after each task has thinned its large sets to their
+    Row sets never move.  Long sets move once, after each task has reduced its large sets to one row of
     winners; duplicates do not matter, so no distinct is needed before.  Parameters beyond the
     broadcast limit are applied a slice of planes at a time.  ``keep`` names further columns of row
     sets that pass through.
@@ -80,7 +80,7 @@ def _plane_slice(
         raise ValueError("only row sets can carry further columns")
     thinned = sets.select("set_id", "cell").mapInArrow(
         lambda batches: kernels.prune(shared.value, batches),
-        f"set_id {_id_type(sets)}, cell bigint",
+        f"set_id {_id_type(sets)}, cell bigint, best binary",
     )
     return (
         thinned.repartition("set_id")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridkin.operators.accuracy import accuracy_metrics, error_summary, sample_pairs
 from gridkin.operators.families import ClassicFamily, KronFamily, TTFamily
@@ -91,6 +92,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, windowed_minima(batch, family).collect())) and len(got) == 16
 
 
+@pytest.mark.parametrize(("window", "slide"), [("1 hour", None), ("1 hour", "20 minutes"), ("50 minutes", "30 minutes")])
+def test_windows_over_panes_equal_windows_over_cells(spark, window, slide):
+    family = KronFamily(3, 1, (11, 11))
+    rows = [(f"2024-01-01 0{h}:{m:02d}:17", h % 2, (h * 60 + m) * 7 % 101) for h in range(4) for m in range(0, 60, 7)]
+    cells = spark.createDataFrame(rows, "ts string, set_id long, cell long").selectExpr("cast(ts as timestamp) ts", "set_id", "cell")
+    got = windowed_minima(cells, family, window=window, slide=slide).collect()
+    span = F.window("ts", window, slide) if slide else F.window("ts", window)
+    want = {}
+    kernel = family.kernel()
+    kernel.prepare()
+    for r in cells.select(span.alias("w"), "set_id", "cell").collect():
+        ranks = kernel.ranks(np.array([r.cell]))[:, 0]
+        for plane in range(3):
+            key = (r.w.start, r.set_id, plane)
+            want[key] = min(want.get(key, (np.inf, 0)), (ranks[plane], r.cell))
+    assert {(r.window_start, r.set_id, r.plane): r.cell for r in got} == {k: c for k, (_, c) in want.items()}
+
+
 def test_live_standings(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, algo in enumerate(["kron", "kron", "tt"]):
