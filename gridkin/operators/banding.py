@@ -9,7 +9,8 @@ leave it.  Both ways are exact, so nothing is capped or dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,14 @@ from gridkin.functions.compare import estimate
 from gridkin.operators.shipping import ship
 from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
 
+BUCKET = ("band", "key")
 HOT_BUCKET = 128
 BLOCK = 512
-MIN_FINE_ROWS = 3
+# A division of hot buckets should compare so many planes at once, and may give a set so many keys.
+WIDTH, LEAST_WIDTH = 5, 3
+MOST_KEYS = 512
+# A bucket is worth dividing from so many members per key on: below, comparing all of them costs less.
+WORTH = 16
 
 
 def even_bands(k: int, bands: int) -> list[tuple[int, int]]:
@@ -64,6 +70,34 @@ def complete_bands(k: int, threshold: float) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def divisions(k: int, threshold: float) -> list[list[tuple[int, ...]]]:
+    """Key sets for dividing a bucket, coarse to fine: each key is the planes that two sets must agree in.
+
+    A qualifying pair differs in at most ``e`` planes, so of ``m`` parts one holds at most ``e // m`` of these:
+    with the keys "this part, but for any ``e // m`` planes of it" a pair shares a key in any case.  Fewer parts
+    leave out more planes but compare longer ones.  The first division that compares ``WIDTH`` planes is given,
+    or the widest within ``MOST_KEYS`` keys, and the next finer one.
+    """
+    misses = k - ceil(threshold * k - 1e-9)
+    found: list[list[tuple[int, ...]]] = []
+    for left_out in range(misses + 1):
+        parts = min(misses // (left_out + 1) + 1, k)
+        edges = [k * p // parts for p in range(parts + 1)]
+        sizes = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
+        if min(sizes) <= left_out or sum(comb(n, left_out) for n in sizes) > MOST_KEYS:
+            break
+        keys = [
+            kept
+            for lo, hi in zip(edges, edges[1:], strict=False)
+            for kept in combinations(range(lo, hi), hi - lo - left_out)
+        ]
+        if found and min(map(len, found[0])) >= WIDTH:
+            return [found[0], keys]
+        found = [keys]
+    # Keys of one or two planes would list too many pairs that do not qualify.
+    return [keys for keys in found if min(map(len, keys)) >= LEAST_WIDTH]
+
+
 def band_slices(sigs: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
     """``(set_id, band, slice)``: each band's run of signature values."""
     runs = F.array(*[F.slice("sig", lo + 1, n) for lo, n in bands])
@@ -84,10 +118,10 @@ def band_keys(
     return packed.select("set_id", F.posexplode("keys").alias("band", "key"))
 
 
-def bucket_sizes(keys: DataFrame) -> DataFrame:
+def bucket_sizes(keys: DataFrame, bucket: Sequence[str] = BUCKET) -> DataFrame:
     """``(band, key, members)``; shared buckets only."""
     return (
-        keys.groupBy("band", "key")
+        keys.groupBy(*bucket)
         .agg(F.count(F.lit(1)).alias("members"))
         .where(F.col("members") > 1)
     )
@@ -98,10 +132,10 @@ def bucket_histogram(keys: DataFrame) -> DataFrame:
     return bucket_sizes(keys).groupBy("members").agg(F.count(F.lit(1)).alias("n_buckets"))
 
 
-def _listed_pairs(keys: DataFrame) -> DataFrame:
+def _listed_pairs(keys: DataFrame, bucket: Sequence[str]) -> DataFrame:
     """Pairs of ordinary buckets; every list holds at most HOT_BUCKET ids."""
     members = (
-        keys.groupBy("band", "key")
+        keys.groupBy(*bucket)
         .agg(F.array_sort(F.collect_list("set_id")).alias("ids"))
         .where(F.size("ids") > 1)
     )
@@ -205,45 +239,49 @@ def _sharing_pairs(
     only: DataFrame | None,
 ) -> DataFrame:
     """Pairs that share a band; those below the threshold may be missing."""
-    keys = band_keys(sigs, bands, only)
-    listed, members = _split_hot(keys)
-    if members is None:
-        return listed.distinct()
-    finer = complete_bands(k, threshold)
-    if threshold > 0 and k // len(finer) >= MIN_FINE_ROWS:
-        more, members = _split_hot(_finer_keys(members, sigs, finer))
-        listed = listed.unionByName(more)
-    if members is not None:
-        listed = listed.unionByName(_blocked_pairs(members, sigs, k, threshold))
-    return listed.distinct()
-
-
-def _split_hot(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of the ordinary buckets, and the members of the hot ones (none: None)."""
-    sizes = bucket_sizes(keys).where(F.col("members") > HOT_BUCKET)
-    hot = write_and_read(sizes, "hot-buckets")
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _listed_pairs(keys), None
+    found, hot, largest = _split_hot(band_keys(sigs, bands, only), BUCKET)
+    steps = divisions(k, threshold) if threshold > 0 else []
+    while largest:
+        bound = WORTH * len(steps[0]) if steps else largest
+        found = found.unionByName(_blocked_pairs(hot.where(F.col("members") <= bound), sigs, k, threshold))
+        if largest <= bound:
+            break
+        finer = _finer_keys(hot.where(F.col("members") > bound), sigs, steps.pop(0))
+        more, still, crowd = _split_hot(finer, (*BUCKET, "part"))
+        found = found.unionByName(more)
+        if not crowd:
+            break
+        # Only sets that still stand in a crowd go on, under the key they came with.
+        rest = write_and_read(still.select("set_id", *BUCKET).distinct(), "hot-members")
+        sizes = write_and_read(rest.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("members")), "hot-buckets")
+        hot, largest = rest.join(sizes, list(BUCKET)), sizes.agg(F.max("members")).first()[0]
+    return found.distinct()
+
+
+def _split_hot(keys: DataFrame, bucket: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs of the ordinary buckets, the members of the hot ones, and the size of the largest of these or 0."""
+    hot = write_and_read(bucket_sizes(keys, bucket).where(F.col("members") > HOT_BUCKET), "hot-buckets")
+    seen = hot.agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("largest")).first()
+    if seen["n"] == 0:
+        return _listed_pairs(keys, bucket), hot, 0
     # Small lists of hot keys go to every task; a long list is joined by shuffle, where adaptive
     # execution may split the hot keys.
-    side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    rest = keys.join(side, ["band", "key"], "left_anti")
-    return _listed_pairs(rest), keys.join(side, ["band", "key"])
+    side = F.broadcast(hot) if seen["n"] <= BROADCAST_ROWS else hot
+    rest = keys.join(side, list(bucket), "left_anti")
+    return _listed_pairs(rest, bucket), keys.join(side, list(bucket)), seen["largest"]
 
 
-def _finer_keys(
-    members: DataFrame, sigs: DataFrame, bands: Sequence[tuple[int, int]]
-) -> DataFrame:
-    """Divide hot buckets further along bands that no qualifying pair can miss.
+def _finer_keys(hot: DataFrame, sigs: DataFrame, division: Sequence[tuple[int, ...]]) -> DataFrame:
+    """``(set_id, band, key, part)``: members of hot buckets under every key of a division.
 
-    Members that only have one frequent slice in common part here, before any comparison.
+    Members that only have one frequent slice in common part here, before any comparison.  Keys that collide
+    only add pairs, which the estimate then rejects.
     """
-    inside = members.select("band", "key", "set_id").join(sigs.select("set_id", "sig"), "set_id")
-    keys = F.array(
-        *[F.xxhash64("band", "key", F.slice("sig", lo + 1, n), F.lit(lo)) for lo, n in bands]
+    inside = hot.select(*BUCKET, "set_id").join(sigs.select("set_id", "sig"), "set_id")
+    parts = F.array(
+        *[F.xxhash64(F.lit(i), *[F.get("sig", F.lit(plane)) for plane in kept]) for i, kept in enumerate(division)]
     )
-    return inside.select("set_id", F.posexplode(keys).alias("band", "key"))
+    return inside.select("set_id", *BUCKET, F.explode(parts).alias("part"))
 
 
 def estimated_pairs(pairs: DataFrame, sigs: DataFrame, threshold: float | None = None) -> DataFrame:

@@ -125,14 +125,59 @@ def test_hot_buckets_lose_and_add_nothing(spark, hot, block, monkeypatch):
     assert got == _brute(table, k, 0.7, bands)
 
 
-def test_hot_buckets_divided_further(spark, hot, monkeypatch):
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_hot_buckets_divided_further(spark, hot, monkeypatch, threshold):
     sigs, table, k = hot
     monkeypatch.setattr(banding, "HOT_BUCKET", 8)
     monkeypatch.setattr(banding, "BLOCK", 16)
+    monkeypatch.setattr(banding, "WORTH", 0)
     bands = banding.even_bands(k, 16)
-    assert k // len(banding.complete_bands(k, 0.85)) >= banding.MIN_FINE_ROWS
-    got = {(r.a, r.b): r.est for r in banding.similar_pairs(sigs, bands, k, 0.85).collect()}
-    assert got == _brute(table, k, 0.85, bands)
+    assert banding.divisions(k, threshold)
+    got = {(r.a, r.b): r.est for r in banding.similar_pairs(sigs, bands, k, threshold).collect()}
+    assert got == _brute(table, k, threshold, bands)
+
+
+@pytest.mark.parametrize(("k", "threshold"), [(128, 0.58), (128, 0.9), (32, 0.7), (16, 0.5), (128, 0.25), (64, 1.0)])
+def test_divisions_miss_no_qualifying_pair(k, threshold):
+    rng = np.random.default_rng(k)
+    steps = banding.divisions(k, threshold)
+    misses = k - int(np.ceil(threshold * k - 1e-9))
+    for keys in steps:
+        assert len(keys) <= banding.MOST_KEYS and min(map(len, keys)) >= banding.LEAST_WIDTH
+        sets = np.zeros((len(keys), k), bool)
+        for i, key in enumerate(keys):
+            sets[i, list(key)] = True
+        for _ in range(300):
+            differ = np.zeros(k, bool)
+            # Spread out, bunched together, and at random.
+            start, step = int(rng.integers(k)), int(rng.integers(1, 4))
+            at = rng.permutation(k)[:misses] if step == 3 else (start + step * np.arange(misses)) % k
+            differ[at] = True
+            assert not (sets & differ).any(1).all()
+    assert steps or k * threshold < 16 or threshold < 0.5
+
+
+def test_a_crowd_of_unlike_sets_makes_no_blocks(spark, monkeypatch):
+    """At the defaults of the verb: many sets that share one band and nothing else, and a few alike ones."""
+    k, n = 128, 8_000
+    rng = np.random.default_rng(0)
+    table = rng.integers(0, 1 << 40, (n, k))
+    table[:, :4] = 7
+    for i in range(0, 40, 2):
+        table[i + 1] = np.where(rng.random(k) < 0.25, table[i + 1], table[i])
+    rows = [(i, "p", row.tolist()) for i, row in enumerate(table)]
+    sigs = spark.createDataFrame(rows, "set_id long, params_id string, sig array<long>")
+    seen = []
+    blocked = banding._blocked_pairs
+
+    def counted(members, *args):
+        seen.append(members.count())
+        return blocked(members, *args)
+
+    monkeypatch.setattr(banding, "_blocked_pairs", counted)
+    found = banding.similar_pairs(sigs, banding.even_bands(k, 32), k, 0.58).collect()
+    assert sorted((r.a, r.b) for r in found) == [(i, i + 1) for i in range(0, 40, 2)]
+    assert sum(seen) == 0
 
 
 @pytest.mark.parametrize("limit", [8, 128, 10_000])
