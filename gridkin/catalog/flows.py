@@ -79,14 +79,14 @@ def flow_csv_scan(spark, sf):
         .alias(" Destination Port"),
     )
     raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
-    flows = read_flows(spark, path)
-    return flows.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum("src_ip").alias("sum_src"),
-        F.sum("dst_ip").alias("sum_dst"),
-        F.sum("port").alias("sum_port"),
-        F.count_distinct("src_ip").alias("n_src"),
+    # A second kind of file: other names first, without blanks, and with labels.
+    more = raw.select(
+        F.when(F.col("Flow ID") % 2 == 0, "even").otherwise("odd").alias("Label"),
+        *[F.col(c).alias(c.strip()) for c in reversed(raw.columns)],
     )
+    more.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    flows = read_flows(spark, path)
+    return flows.groupBy("label", "src_ip", "dst_ip", "port").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def freq_filter(spark, sf):
@@ -102,8 +102,17 @@ def distinct_counts(spark, sf):
 
 
 def filter_report(spark, sf):
-    raw = src.flow_rows(spark, sf)
-    return ops.filter_report(raw, ops.frequency_filter(raw, min_port=MIN_PORT, min_dst=MIN_DST))
+    return ops.frequency_report(src.flow_rows(spark, sf), min_port=MIN_PORT, min_dst=MIN_DST)
+
+
+def flow_windows(spark, sf):
+    """Cells of blocks of 2,000 filtered flow rows and of five equal blocks, by the verb."""
+    rows = src.flow_rows(spark, sf)
+    kwargs = {"min_port": MIN_PORT, "min_dst": MIN_DST}
+    by_size = flow_sets(rows, (50, 50, 50), ORDER, window_size=2000, **kwargs)
+    by_number = flow_sets(rows, (50, 50, 50), ORDER, n_windows=5, **kwargs)
+    named = lambda df, how: df.select(F.lit(how).alias("how"), "set_id", "cell")
+    return named(by_size, "size").unionByName(named(by_number, "number"))
 
 
 def row_positions(spark, sf):
@@ -170,6 +179,7 @@ QUERIES = {
     "row_index": row_positions,
     "count_windows": window_cells,
     "first_windows": first_windows,
+    "flow_windows": flow_windows,
     "halves_jaccard": halves_jaccard,
     "dedup_rows": dedup_rows,
 }
@@ -183,11 +193,12 @@ SQL = {
              CASE WHEN l_linenumber = 2 THEN 0 ELSE trunc(l_quantity)::BIGINT END AS port
       FROM lineitem""",
     "flow_csv_scan": f"""WITH raw AS (SELECT *, {RAW_IP_SQL} AS ip FROM lineitem),
-      parsed AS (SELECT {IP_SQL} AS src_ip, (l_suppkey % 256) * 16777216 + l_linenumber AS dst_ip,
+      parsed AS (SELECT l_orderkey, {IP_SQL} AS src_ip, (l_suppkey % 256) * 16777216 + l_linenumber AS dst_ip,
                  CASE WHEN l_returnflag = 'N' THEN 0 ELSE trunc(l_quantity) END::BIGINT AS port FROM raw)
-      SELECT 'unknown' AS label, count(*) AS n_rows, sum(src_ip)::BIGINT AS sum_src,
-             sum(dst_ip)::BIGINT AS sum_dst, sum(port)::BIGINT AS sum_port,
-             count(DISTINCT src_ip) AS n_src FROM parsed""",
+      SELECT label, src_ip, dst_ip, port, count(*) AS n_rows
+      FROM parsed, (VALUES (true), (false)) t(named),
+           LATERAL (SELECT CASE WHEN NOT named THEN 'unknown' WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label)
+      GROUP BY ALL""",
     "freq_filter": f"WITH {KEPT_SQL} SELECT src_ip, dst_ip, port, l_linenumber FROM kept",
     "value_counts": f"WITH {src.FLOW_ROWS_SQL} SELECT port, count(*) AS n_rows FROM flow_rows GROUP BY 1",
     "distinct_counts": f"WITH {src.FLOW_ROWS_SQL} SELECT {_COUNTS} FROM flow_rows",
@@ -213,6 +224,13 @@ SQL = {
       s AS (SELECT sum(in_a)::BIGINT AS n_a, sum(in_b)::BIGINT AS n_b, sum(in_a * in_b)::BIGINT AS inter
             FROM per_cell)
       SELECT *, round(inter::DOUBLE / (n_a + n_b - inter), 9) AS exact FROM s""",
+    "flow_windows": f"""WITH {KEPT_SQL},
+      placed AS (SELECT *, row_number() OVER (ORDER BY src_ip, l_linenumber, port, dst_ip) - 1 AS rn,
+                   ((src_ip % 50) * 50 + dst_ip % 50) * 50 + port % 50 AS cell FROM kept),
+      numbered AS (SELECT 'size' AS how, rn // 2000 AS w, cell FROM placed
+                   UNION SELECT 'number', rn // ((SELECT count(*) FROM kept) // 5), cell FROM placed
+                         WHERE rn < 5 * ((SELECT count(*) FROM kept) // 5))
+      SELECT how, 'w' || CASE WHEN w < 1000 THEN lpad(w::VARCHAR, 3, '0') ELSE w::VARCHAR END AS set_id, cell FROM numbered""",
     "dedup_rows": f"""WITH {src.FLOW_ROWS_SQL}
       SELECT src_ip, dst_ip, port, l_linenumber FROM flow_rows
       QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY l_linenumber, port) = 1""",

@@ -19,6 +19,7 @@ from gridkin.operators.signatures import signatures
 from gridkin.operators.storage import scratch_path, write_and_read
 from gridkin.plans.batches import batch_report, batch_summary, scored_batch
 from gridkin.plans.duplicates import (
+    all_similar_sets,
     copies,
     expand_copies,
     hashed_sets,
@@ -61,6 +62,19 @@ def near_duplicates_expanded(spark, sf):
     return full.withColumn("exact", F.round("exact", 9))
 
 
+def near_duplicates_default(spark, sf):
+    """The verb at its own defaults: bands from the threshold and the recall wanted at it."""
+    out = near_duplicate_pairs(
+        src.text_sets(spark, sf), fetch=lambda ids: src.text_sets(spark, sf, only=ids)
+    )
+    return out.select("a", "b", F.round("exact", 9).alias("exact"))
+
+
+def all_pairs_verb(spark, sf):
+    """Every pair of documents whose estimate reaches the threshold, by the verb; empty texts have no pair."""
+    return all_similar_sets(src.text_sets(spark, sf), THRESHOLD, ClassicFamily(K))
+
+
 def lsh_candidates(spark, sf):
     """Document pairs of distinct content sharing a band, at or above the floor."""
     sigs, groups = hashed_sets(src.text_sets(spark, sf), ClassicFamily(K))
@@ -296,6 +310,8 @@ _REPORT_SQL = f"""
 QUERIES = {
     "near_duplicates": near_duplicates,
     "near_duplicates_expanded": near_duplicates_expanded,
+    "near_duplicates_default": near_duplicates_default,
+    "all_pairs_verb": all_pairs_verb,
     "lsh_candidates": lsh_candidates,
     "top_pairs": top_pairs,
     "exact_jaccard": exact_pairs,
@@ -318,6 +334,26 @@ SQL = {
       FROM between_reps r JOIN groups x ON x.rep = r.a JOIN groups y ON y.rep = r.b
       UNION ALL SELECT x.set_id, y.set_id, 1.0, 1.0 FROM groups x JOIN groups y
       ON x.rep = y.rep AND x.set_id < y.set_id""",
+    # Brute force over every pair of different contents that has a cell in common.
+    "near_duplicates_default": f"""WITH {src.text_sets_sql()},
+      content AS (SELECT set_id, list(cell ORDER BY cell) AS c FROM text_cells GROUP BY 1),
+      groups AS (SELECT set_id, len(c) AS n, min(set_id) OVER (PARTITION BY c) AS rep FROM content),
+      rep_cells AS (SELECT t.* FROM text_cells t JOIN groups g USING (set_id) WHERE g.rep = g.set_id),
+      shared AS (SELECT x.set_id AS a, y.set_id AS b, count(*) AS inter
+                 FROM rep_cells x JOIN rep_cells y ON x.cell = y.cell AND x.set_id < y.set_id GROUP BY 1, 2)
+      SELECT a, b, round(inter::DOUBLE / (x.n + y.n - inter), 9) AS exact
+      FROM shared JOIN groups x ON x.set_id = a JOIN groups y ON y.set_id = b
+      WHERE inter::DOUBLE / (x.n + y.n - inter) >= 0.7
+      UNION ALL SELECT rep, set_id, 1.0 FROM groups WHERE rep <> set_id""",
+    "all_pairs_verb": f"""WITH {src.text_sets_sql()},
+      content AS (SELECT set_id, list(cell ORDER BY cell) AS c FROM text_cells GROUP BY 1),
+      groups AS (SELECT set_id, min(set_id) OVER (PARTITION BY c) AS rep FROM content),
+      rep_cells AS (SELECT t.* FROM text_cells t JOIN groups g USING (set_id) WHERE g.rep = g.set_id),
+      {minima_sql('rep_cells', K)}
+      SELECT x.set_id AS a, y.set_id AS b, avg((x.m.c = y.m.c)::INT) AS est
+      FROM best x JOIN best y ON x.plane = y.plane AND x.set_id < y.set_id
+      GROUP BY 1, 2 HAVING est >= {THRESHOLD}
+      UNION ALL SELECT rep, set_id, 1.0 FROM groups WHERE rep <> set_id""",
     "lsh_candidates": f"WITH {_duplicates_sql(THRESHOLD)} SELECT a, b, est FROM scored",
     "top_pairs": f"WITH {_duplicates_sql(0.7)} SELECT * FROM result ORDER BY exact DESC, a, b LIMIT 10",
     "exact_jaccard": f"""WITH {src.SUPPLIERS_SQL},

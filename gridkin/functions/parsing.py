@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 _WHOLE = r"^\s*[+-]?[0-9]+([eE][+-]?[0-9]+)?\s*$"
 _DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+# How workers print their progress and their result.
 PROGRESS = r"PROGRESS:\s*(\d+)/(\d+)"
 DONE = r"DONE:.*elapsed=([\d.]+)s.*mae=([\d.]+)"
 

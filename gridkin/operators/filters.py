@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridkin.operators.storage import write_and_read
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -18,6 +20,22 @@ def keep_frequent(df: DataFrame, col: str, more_than: int) -> DataFrame:
     return df.join(frequent, col, "left_semi")
 
 
+def frequent_values(
+    df: DataFrame, *, port: str = "port", dst: str = "dst_ip", min_port: int = 10, min_dst: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """Common ports, and destinations common among the rows of these, from one pass over the rows.
+
+    Rows are counted once per (port, destination), stored; both levels are sums of these counts.
+    """
+    lattice = write_and_read(df.groupBy(port, dst).agg(F.count(F.lit(1)).alias("_n")), "port-dst-counts")
+
+    def common(counts: DataFrame, col: str, more_than: int) -> DataFrame:
+        return counts.groupBy(col).agg(F.sum("_n").alias("_n")).where(F.col("_n") > more_than).select(col)
+
+    ports = write_and_read(common(lattice, port, min_port), "common-ports")
+    return ports, write_and_read(common(lattice.join(ports, port, "left_semi"), dst, min_dst), "common-dsts")
+
+
 def frequency_filter(
     df: DataFrame,
     *,
@@ -26,8 +44,41 @@ def frequency_filter(
     min_port: int = 10,
     min_dst: int = 100,
 ) -> DataFrame:
-    """Common ports first, then destinations common among the rows that are left."""
-    return keep_frequent(keep_frequent(df, port, min_port), dst, min_dst)
+    """Common ports first, then destinations common among the rows that are left.
+
+    The rows are read twice, once to count and once to filter.
+    """
+    ports, dsts = frequent_values(df, port=port, dst=dst, min_port=min_port, min_dst=min_dst)
+    return df.join(ports, port, "left_semi").join(dsts, dst, "left_semi")
+
+
+def frequency_report(
+    df: DataFrame,
+    cols: Sequence[str] = ("src_ip", "dst_ip", "port"),
+    *,
+    port: str = "port",
+    dst: str = "dst_ip",
+    min_port: int = 10,
+    min_dst: int = 100,
+) -> DataFrame:
+    """``filter_report`` of the frequency filter, with the rows read twice for both stages together."""
+    ports, dsts = frequent_values(df, port=port, dst=dst, min_port=min_port, min_dst=min_dst)
+    wanted = list(dict.fromkeys([*cols, port, dst]))
+    marked = (
+        df.select(*wanted)
+        .join(ports.withColumn("_p", F.lit(True)), port, "left")
+        .join(dsts.withColumn("_d", F.lit(True)), dst, "left")
+        .withColumn("_kept", F.coalesce(F.col("_p") & F.col("_d"), F.lit(False)))
+    )
+    both = marked.agg(
+        F.count(F.lit(1)).alias("raw_n_rows"),
+        F.count_if("_kept").alias("kept_n_rows"),
+        *[F.count_distinct(F.col(c)).alias(f"raw_n_{c}") for c in cols],
+        *[F.count_distinct(F.when(F.col("_kept"), F.col(c))).alias(f"kept_n_{c}") for c in cols],
+    )
+    names = ["n_rows", *[f"n_{c}" for c in cols]]
+    stage = lambda s: F.struct(F.lit(s).alias("stage"), *[F.col(f"{s}_{n}").alias(n) for n in names])
+    return both.select(F.inline(F.array(stage("raw"), stage("kept"))))
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

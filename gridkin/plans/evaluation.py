@@ -34,6 +34,8 @@ def scored_pairs(
         sigs = signatures(sets, family)
         if "cells" not in sets.columns:
             sigs = with_empty_sets(sigs, pair_ids(exact), family)
+        # Both ends of the pairs read it.
+        sigs = write_and_read(sigs, "signatures")
         rows.append(
             estimated_pairs(exact, sigs).withColumn("method", F.lit(family.method))
         )

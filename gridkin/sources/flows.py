@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,35 @@ FLOW_NAMES = {
 }
 
 
+# Every header stands in the first line of a file, so at its first place in the first block.
+_FIRST = "_metadata.file_block_start = 0"
+
+
+def file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(header, files)``: the first line of every file below a path, with the files that share it.
+
+    One row per kind of header.  Only first blocks are looked at.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).where(_FIRST).select("value", F.col("_metadata.file_path").alias("file"), row.alias("row"))
+    first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
 def read_flows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Scan flow files: every column as text, then normalised.
+    """Scan flow files: every column as text, then normalised; columns are found by name in every file.
 
-    A missing path raises Spark's ``PATH_NOT_FOUND``.
+    Files whose headers are alike are one scan.  A column that some files lack is null there, a label that is
+    lacking ``unknown``.  A missing path raises Spark's ``PATH_NOT_FOUND``.
     """
-    return normalise_flows(spark.read.option("header", True).csv(path))
+    kinds = file_headers(spark, path).collect()
+    if len(kinds) <= 1:
+        return normalise_flows(spark.read.option("header", True).csv(path))
+    scans = [
+        normalise_flows(spark.read.option("header", True).csv([unquote(f) for f in kind["files"]]))
+        for kind in sorted(kinds, key=lambda k: k["header"])
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def normalise_flows(raw: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 import oracle
+from gridkin import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = catalog.all_queries(), catalog.all_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables here")
 
@@ -23,7 +24,11 @@ def duck():
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {
-        "tt_signature", "mllib_minhash", "mllib_similarity_join", "sequence_similarity_families"}
+        "mllib_minhash", "mllib_similarity_join", "sequence_similarity_families"}
+
+
+def test_entry_points_hold_all_of_them():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -161,3 +161,13 @@ def test_metrics_of_equal_names_stay_apart(spark, tmp_path):
         (tmp_path / folder / "kron_1_metrics.json").write_text(json.dumps(metrics("kron", 2.0, 1000)))
     runs = run_files.read_run_metrics(spark, str(tmp_path)).collect()
     assert len({r._file for r in runs}) == 2
+
+
+def test_flow_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text(" Source IP, Destination IP, Destination Port\n1.1.1.1,2.2.2.2,80\n")
+    (tmp_path / "c.csv").write_text("Destination Port,Label,Source IP,Destination IP,Extra\n443,bad,3.3.3.3,4.4.4.4,x\n")
+    (tmp_path / "d.csv").write_text(" Source IP, Destination IP, Destination Port\n5.5.5.5,6.6.6.6,22\n")
+    flows = read_flows(spark, str(tmp_path))
+    got = sorted((r.src_ip_raw, r.dst_ip_raw, r.port, r.label, r.Extra) for r in flows.collect())
+    assert got == [("1.1.1.1", "2.2.2.2", 80, "unknown", None), ("3.3.3.3", "4.4.4.4", 443, "bad", "x"),
+                   ("5.5.5.5", "6.6.6.6", 22, "unknown", None)]
