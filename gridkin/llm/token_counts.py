@@ -10,6 +10,7 @@ number of blocks.
 from __future__ import annotations
 
 import base64
+import contextlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridkin.llm.common import map_arrow, text_or_empty
-from gridkin.operators.storage import scratch_path
+from gridkin.operators.storage import scratch_path, write_and_read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # The vocabulary leaves this id free; it ends a document.
 SEPARATOR = 50_256
 WIDTH = 2
 BLOCK = 1 << 20
+_SPLITS = "spark.sql.files.minPartitionNum"
 
 
 @cache
@@ -149,19 +151,40 @@ def document_token_counts(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens)`` of a table, by way of flat files in the shared folder.
 
     Row i of a task is document i of the task's file, which is how ids, that the files do not hold, come back.
-    ``docs`` must be a plain scan, so that it is dealt out to tasks in the same way when it is read again.  A
-    null text has no tokens; repeated rows and null ids stay as they are.
+    ``docs`` must be a plain scan of files.  How a scan is dealt out to tasks depends on the cores that there are
+    at the time, unless their number is given; so it is, for both reads.  If ids and files differ in their
+    documents all the same, that is an error.  A null text has no tokens; repeated rows and null ids stay as
+    they are; an empty table gives no rows; very long texts reach over several blocks; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
-    write_token_files(docs, folder)
+    with _same_splits(spark):
+        write_token_files(docs, folder)
+        place = F.monotonically_increasing_id()
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place")).select(
+            "doc_id",
+            F.shiftright("place", 33).alias("task"),
+            F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("document"),
+        )
+        ids = write_and_read(ids, "token-ids")
     counted = token_counts(spark, folder).select(
         F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long").alias("task"), "document", "n_tokens"
     )
-    place = F.monotonically_increasing_id()
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place")).select(
-        "doc_id",
-        F.shiftright("place", 33).alias("task"),
-        F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("document"),
-    )
+    counted = write_and_read(counted, "token-counts")
+    total = lambda df, name: df.groupBy("task").agg(F.count(F.lit(1)).alias(name))
+    # One row per task.
+    both = total(ids, "rows").join(total(counted, "found"), "task", "full")
+    if both.where(~F.col("rows").eqNullSafe(F.col("found"))).limit(1).count():
+        raise RuntimeError("the documents were dealt out differently when their ids were read")
     return ids.join(counted, ["task", "document"]).select("doc_id", "n_tokens")
+
+
+@contextlib.contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans planned meanwhile cut files for the same number of tasks, whatever executors come and go."""
+    before = spark.conf.get(_SPLITS, None)
+    spark.conf.set(_SPLITS, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SPLITS) if before is None else spark.conf.set(_SPLITS, before)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import map_arrow
+from gridkin.llm.common import map_arrow, map_groups
 from gridkin.operators.ranking import newest_per_group
 from gridkin.operators.storage import write_and_read
 
@@ -28,54 +28,51 @@ SCALE = 256.0
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 BINS = 512
-# Scores beyond this saturate (a score is a LONG).
+# Larger scores are refused (a score is a LONG).
 LIMIT = (1 << 62) - 1
-_PACKED = "block int, ids binary, lens binary, flat binary"
+_FIELDS = ("rows", "ids", "lens", "flat")
+_PACKED = "block int, rows binary, ids binary, lens binary, flat binary"
 
 
 def finite_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, vec)`` of the rows that take part, one per id.
+    """``(row, id, vec)`` of the rows that take part; ``row`` holds once the table is stored.
 
-    A null id, a null vector, and one with a null, NaN or infinite component take no part.  Of rows with the
-    same id the least vector counts (repeated rows are one row).
+    A null id, a null vector, and one with a null, NaN or infinite component take no part.
     """
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return (
-        rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
-        .where(~bad)
-        .groupBy("id")
-        .agg(F.min("vec").alias("vec"))
-    )
+    kept = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(~bad)
+    return kept.select(F.monotonically_increasing_id().alias("row"), "id", "vec")
 
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     """One row per block: ids, lengths and floor(256 x) of all components."""
-    order = np.argsort(rows["id"].to_numpy(), kind="stable")
+    order = np.lexsort((rows["row"].to_numpy(), rows["id"].to_numpy()))
     rows = rows.take(pa.array(order))
     vec = rows["vec"].combine_chunks()
     flat = np.floor(SCALE * vec.flatten().to_numpy(zero_copy_only=False))
     lens = np.diff(vec.offsets.to_numpy()).astype(np.int64)
-    packed = [rows["id"].to_numpy().astype(np.int64), lens, flat.astype(np.float64)]
+    packed = [*(rows[c].to_numpy().astype(np.int64) for c in ("row", "id")), lens, flat.astype(np.float64)]
     return pa.table(
         {"block": pa.array([key[0].as_py()], pa.int32())}
-        | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("ids", "lens", "flat"), packed, strict=True)}
+        | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(_FIELDS, packed, strict=True)}
     )
 
 
 def packed_blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    return vectors.select(block.alias("block"), "id", "vec").groupBy("block").applyInArrow(_pack, _PACKED)
+    block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")
+    return map_groups(vectors.select(block.alias("block"), "row", "id", "vec"), ["block"], _pack, _PACKED)
 
 
-def _matrices(ids: bytes, lens: bytes, flat: bytes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By vector length: row numbers, ids and matrix."""
-    ids, lens, flat = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64), np.frombuffer(flat, np.float64)
+def _matrices(rows: bytes, ids: bytes, lens: bytes, flat: bytes) -> dict[int, tuple[np.ndarray, ...]]:
+    """By vector length: places in the block, ids, rows and matrix."""
+    source, ids, lens = (np.frombuffer(x, np.int64) for x in (rows, ids, lens))
+    flat = np.frombuffer(flat, np.float64)
     starts = np.cumsum(lens) - lens
     out = {}
     for n in np.unique(lens):
         rows = np.flatnonzero(lens == n)
-        out[int(n)] = rows, ids[rows], flat[starts[rows][:, None] + np.arange(n)]
+        out[int(n)] = rows, ids[rows], source[rows], flat[starts[rows][:, None] + np.arange(n)]
     return out
 
 
@@ -85,20 +82,23 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if left.shape[1] * largest[0] * largest[1] < 2.0**53:
         return (left @ right.T).astype(np.int64)
     whole = [np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (left, right)]
-    return np.clip(whole[0] @ whole[1].T, -LIMIT, LIMIT).astype(np.int64)
+    found = whole[0] @ whole[1].T
+    if found.size and max(abs(found.min()), abs(found.max())) > LIMIT:
+        raise ValueError("a score does not fit 62 bits")
+    return found.astype(np.int64)
 
 
 def _scored(cell: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(query rows, candidate ids, scores, which count) for a few hundred queries at a time."""
-    queries = _matrices(cell["q_ids"], cell["q_lens"], cell["q_flat"])
-    candidates = _matrices(cell["ids"], cell["lens"], cell["flat"])
-    for n, (rows, ids, matrix) in queries.items():
+    queries = _matrices(*[cell[f"q_{c}"] for c in _FIELDS])
+    candidates = _matrices(*[cell[c] for c in _FIELDS])
+    for n, (rows, _, own, matrix) in queries.items():
         if n not in candidates:
             continue
-        _, other, right = candidates[n]
+        _, other, others, right = candidates[n]
         for start in range(0, len(rows), 256):
             part = slice(start, start + 256)
-            yield rows[part], other, _products(matrix[part], right), ids[part][:, None] != other[None, :]
+            yield rows[part], other, _products(matrix[part], right), own[part][:, None] != others[None, :]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -132,7 +132,8 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int, span: int) -> Iterato
 
 def _at_least(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for cell in _cells(batches):
-        lo, q_ids = np.array(cell["lo"], np.int64), np.frombuffer(cell["q_ids"], np.int64)
+        lo = np.array(cell["lo"], np.int64)
+        q_ids, q_rows = (np.frombuffer(cell[c], np.int64) for c in ("q_ids", "q_rows"))
         for rows, ids, scores, counts in _scored(cell):
             i, j = np.nonzero(counts & (scores >= lo[rows][:, None]))
             order = np.lexsort((ids[j], -scores[i, j], i))
@@ -141,6 +142,7 @@ def _at_least(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             i, j = i[place < k], j[place < k]
             yield pa.record_batch(
                 {
+                    "query": pa.array(q_rows[rows[i]], pa.int64()),
                     "query_id": pa.array(q_ids[rows[i]], pa.int64()),
                     "vec_id": pa.array(ids[j], pa.int64()),
                     "score": pa.array(scores[i, j], pa.int64()),
@@ -154,8 +156,8 @@ def top_k(
     """``(query_id, rank, vec_id, score)``: the k best candidates of every query row, rank from 1.
 
     Queries are the rows where ``is_query`` (an expression over ``id``) holds; candidates are all other rows
-    of the same vector length.  The score is the integer inner product of floor(256 x); it saturates beyond
-    ``LIMIT``.  A query with fewer than k candidates gets all of them, one without any gets no row.  An empty
+    of the same vector length, also those that repeat its id; rows that share an id are queries each.  The score is the integer inner product of floor(256 x); one beyond ``LIMIT`` is an
+    error.  A query with fewer than k candidates gets all of them, one without any gets no row.  An empty
     table gives no row.  Other columns are ignored.
     """
     if k < 1:
@@ -172,7 +174,7 @@ def top_k(
 
     candidates = write_and_read(packed_blocks(stored, n_c), "candidate-blocks")
     queries = write_and_read(packed_blocks(stored.where(is_query), n_q), "query-blocks").select(
-        F.col("block").alias("q"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "lens", "flat")]
+        F.col("block").alias("q"), *[F.col(c).alias(f"q_{c}") for c in _FIELDS]
     )
     tasks = max(min(n_c * n_q, 20_000), 1)
     right = (
@@ -216,9 +218,9 @@ def top_k(
         state = write_and_read(state, "kth-scores")
         span = width
     best = map_arrow(
-        cells(state), lambda batches: _at_least(batches, k), "query_id long, vec_id long, score long"
+        cells(state), lambda batches: _at_least(batches, k), "query long, query_id long, vec_id long, score long"
     )
     order = [F.desc("score"), F.col("vec_id")]
-    ranked = newest_per_group(best, ["query_id"], order, k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    ranked = newest_per_group(best, ["query"], order, k)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
     return ranked.select("query_id", rank.alias("rank"), "vec_id", "score")

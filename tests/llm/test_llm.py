@@ -75,18 +75,25 @@ def test_query_equals_sql(spark, name):
 
 def test_topk_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(60)]
-    rows += [(60, None), (61, [1.0, None]), (62, [float("nan"), 1.0]), (63, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in topk.top_k(df, F.col("id") % 10 == 0, 5).orderBy("query_id", "rank").collect()]
+    rows += [(60, None), (61, [1.0, None]), (62, [float("nan"), 1.0]), (63, [1.0]), (None, [1.0, 1.0])]
+    rows += [(0, [1.0, 0.0]), (1, [9.0, 9.0]), (10, [1.0, 9.0])]  # ids on two rows: all are candidates and queries
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(
+        {c: F.lit("x") for c in ("id", "vec", "score", "rank", "row", "query")}
+    )
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 10 == 0, 5).collect())
+    ok = [(i, np.floor(256 * np.array(v))) for i, v in [*rows[:60], *rows[-3:]]]
     want = []
-    ok = {i: np.floor(256 * np.array(v)) for i, v in rows[:60]}
-    for q in range(0, 60, 10):
-        best = sorted((-int(ok[q] @ v), i) for i, v in ok.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert got == want
+    for at, (q, v) in enumerate(ok):
+        if q % 10 == 0:
+            best = sorted((-int(v @ w), i) for j, (i, w) in enumerate(ok) if j != at)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.col("id") % 10 == 0, 5).count() == 0
+    long = spark.createDataFrame([(i, [float(i)] * 50_000) for i in range(3)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(long, F.col("id") == 0, 2).orderBy("rank").collect()] == [1, 2]
     big = spark.createDataFrame([(0, [1e300]), (1, [1e300]), (2, [-1e300])], "vec_id long, embedding array<double>")
-    assert [r.score for r in topk.top_k(big, F.col("id") == 0, 2).orderBy("rank").collect()] == [topk.LIMIT, -topk.LIMIT]
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(big, F.col("id") == 0, 2).collect()
 
 
 def test_token_files_across_blocks(spark, tmp_path):
