@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import held_out, map_arrow, text_or_empty
+from gridkin.llm.common import held_out, map_arrow, map_groups, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 WORD_MARK = "▁"
@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 # Labelled texts per language that probabilities are learned from, and languages, at most.
 TEXTS_PER_LANGUAGE = 400
 LANGUAGES = 500
+# Parts of a language that are ranked before the whole.
+RANKED_PARTS = 32
 ROUNDS = 4
 # Share of probability that is spread over all pieces, and the cost of a character outside the vocabulary.
 SMOOTHING = 0.01
@@ -94,6 +96,14 @@ class Pieces:
             out.append(found)
         return out
 
+    def ends(self, word: str) -> np.ndarray:
+        """For one word: the piece of length L that ends before place e, at (L - 1, e)."""
+        lattice = self.lattice([word])
+        out = np.full((len(lattice), len(word) + 1), self.none)
+        for length, found in enumerate(lattice, 1):
+            out[length - 1, length:] = found[0]
+        return out
+
     def edges(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end the (start, piece) of the pieces that end there; for long words."""
         n = len(word)
@@ -130,6 +140,28 @@ def forward_long(edges: list[list[tuple[int, int]]], logp: np.ndarray) -> np.nda
     return alpha[-1]
 
 
+def expected_long(ends: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in one word under one language, in logs throughout."""
+    longest, n = ends.shape[0], ends.shape[1] - 1
+    weight = logp[ends]
+    # Places before the word are never reached.
+    alpha, beta = np.full(longest + n + 1, -np.inf), np.full(n + longest + 1, -np.inf)
+    alpha[longest] = 0.0
+    beta[n] = 0.0
+    with np.errstate(invalid="ignore"):
+        for e in range(1, n + 1):
+            alpha[longest + e] = np.logaddexp.reduce(alpha[longest + e - 1 : e - 1 : -1] + weight[:, e])
+        back = np.full((longest, n + longest), -np.inf)  # by start
+        for length in range(1, longest + 1):
+            back[length - 1, : n + 1 - length] = weight[length - 1, length:]
+        for a in range(n - 1, -1, -1):
+            beta[a] = np.logaddexp.reduce(beta[a + 1 : a + 1 + longest] + back[:, a])
+        starts = np.arange(n + 1)[None, :] - np.arange(1, longest + 1)[:, None]
+        share = np.exp(alpha[longest + starts] + weight + beta[: n + 1] - beta[0])
+    share[(starts < 0) | ~np.isfinite(share)] = 0.0
+    return np.bincount(ends.ravel(), share.ravel(), minlength=len(logp))
+
+
 def forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
     """Probability of every prefix: positions by words by languages.  ``p`` ends with unknown and none."""
     words, n = lattice[0].shape
@@ -161,6 +193,7 @@ def learn_language(counts: Counter[str], pieces: Pieces, rounds: int = ROUNDS) -
     size = pieces.unknown
     words = sorted(w for w in counts if len(w) <= SHORT)
     times = np.array([counts[w] for w in words], float)
+    long = [(pieces.ends(w), counts[w]) for w in sorted(counts) if len(w) > SHORT]
     groups = [(np.array(g), pieces.lattice([words[i] for i in g])) for g in by_length(words)]
     p = _with_ends(np.full(size, 1 / size))
     for _ in range(rounds):
@@ -176,6 +209,10 @@ def learn_language(counts: Counter[str], pieces: Pieces, rounds: int = ROUNDS) -
                     into = p[piece] * beta[start + length]
                     beta[start] += into
                     expected += np.bincount(piece, alpha[start] * into, minlength=size + 2)
+        with np.errstate(divide="ignore"):
+            logp = np.log(p)
+        for ends, n in long:
+            expected += n * expected_long(ends, logp)
         total = expected[:size].sum()
         share = expected[:size] / total if total else np.full(size, 1 / size)
         p = _with_ends((1 - SMOOTHING) * share + SMOOTHING / size)
@@ -213,17 +250,17 @@ def learn(docs: DataFrame, path: str | None = None, per_language: int = TEXTS_PE
     keyed = labelled.withColumn("mark", F.xxhash64("text"))
     slim = keyed.select("lang", "doc_id", "mark").join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = slim.distinct().withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    # First within parts of a language, so that what one task ranks does not grow with the language.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(RANKED_PARTS))
+    within = F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))
+    some = slim.distinct().withColumn("within", within).where(F.col("within") <= per_language).drop("within")
+    chosen = some.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
     # At most LANGUAGES * per_language rows of a few numbers.
     sample = keyed.join(F.broadcast(chosen), ["lang", "doc_id", "mark"], "left_semi").dropDuplicates(
         ["lang", "doc_id", "mark"]
     )
-    rows = (
-        sample.select("lang", "text")
-        .groupBy("lang")
-        .applyInArrow(lambda key, table: _language(key, table, path), "lang string, p binary")
-        .collect()
-    )
+    texts = sample.select("lang", "text")
+    rows = map_groups(texts, ["lang"], lambda key, table: _language(key, table, path), "lang string, p binary").collect()
     rows = sorted(rows, key=lambda r: r["lang"].encode())
     p = np.stack([np.frombuffer(r["p"]) for r in rows], 1) if rows else np.zeros((pieces_of(path).none + 1, 0))
     return Model([r["lang"] for r in rows], p, path)

@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import held_out, map_arrow, text_or_empty
+from gridkin.llm.common import held_out, in_slices, map_arrow, text_or_empty
 
 PASSAGE = 64
-# Labelled documents learned from, at most, and passages of each of them; longer documents are not learned from.
+# Labelled documents learned from, at most, and passages of each of them; of a longer one so many, evenly spaced.
 SAMPLE = 4_000
 SAMPLE_PASSAGES = 256
 BUCKETS = 24
@@ -172,10 +172,11 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = ROUNDS,
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = PassageEncoder()
-    for batch in batches:
+    for batch in in_slices(batches, column=2):
         x, counts = encoder(batch[2].to_pylist())
-        ends = np.cumsum(counts)
-        raw = [x[e - c : e].tobytes() if c <= SAMPLE_PASSAGES else None for c, e in zip(counts, ends, strict=True)]
+        starts = np.cumsum(counts) - counts
+        some = [np.unique(np.linspace(0, c - 1, min(c, SAMPLE_PASSAGES)).astype(int)) for c in counts]
+        raw = [x[start + at].tobytes() for start, at in zip(starts, some, strict=True)]
         yield pa.record_batch([batch[0], batch[1], pa.array(raw, pa.binary())], names=["doc_id", "quality", "x"])
 
 
@@ -195,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     # At most ``sample`` ids.
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    encoded = map_arrow(joined, _encoded, "doc_id long, quality int, x binary").where(F.col("x").isNotNull())
+    encoded = map_arrow(joined, _encoded, "doc_id long, quality int, x binary")
     rows = encoded.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
     parts = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
     x = np.concatenate([*parts, np.zeros((0, FEATURES), np.float32)])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def _repeated(words: Column) -> Column:
 
     Window hashes are sorted to bring equal windows together.  The fast form sorts plain longs, the hash with
     its last bits given to the place; where two neighbours agree in the hash bits but not in their words, or
-    a text has too many words, whole hashes are sorted with their places beside them.
+    a text has too many words, the words are sorted with the hashes.  Both compare words.
     """
     mask = (1 << PLACE_BITS) - 1
     starts = F.sequence(F.lit(0), F.size(words) - 3)
@@ -97,9 +98,19 @@ def _repeated(words: Column) -> Column:
         ),
     )
     slow = let(
-        F.array_sort(F.transform(starts, lambda i: F.struct(_window_hash(words, i).alias("h"), i.alias("i")))),
+        F.array_sort(
+            F.transform(
+                starts,
+                lambda i: F.struct(
+                    _window_hash(words, i).alias("h"), *[F.get(words, i + k).alias(f"w{k}") for k in range(3)], i.alias("i")
+                ),
+            )
+        ),
         lambda s: F.transform(
-            F.filter(_neighbours(s), lambda p: p["0"]["h"] == p["1"]["h"]),
+            F.filter(
+                _neighbours(s),
+                lambda p: reduce(lambda x, y: x & y, [p["0"][c] == p["1"][c] for c in ("h", "w0", "w1", "w2")]),
+            ),
             lambda p: F.struct(p["0"]["i"].alias("a"), p["1"]["i"].alias("b")),
         ),
     )
@@ -115,10 +126,7 @@ def _repeated(words: Column) -> Column:
 
 
 def text_stats(text: Column) -> Column:
-    """Struct of ``STATS``, all long; a null text counts as empty.
-
-    Only texts that leave the fast form of ``_repeated`` rest on 64-bit hashes being different.
-    """
+    """Struct of ``STATS``, all long; a null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
     count = lambda t, pattern: F.regexp_count(t, F.lit(pattern))
     trimmed = lambda t: F.btrim(t, F.lit(" \t\n\x0b\f\r"))
