@@ -152,6 +152,7 @@ QUERIES = {
 SQL = {
     "op1_topk": OP1_SQL,
     "op5_quotation": OP5_SQL,
+    "op9_jaccard_join": twins.JACCARD_JOIN,
     "op11_filter_audit": twins.FILTER_AUDIT,
     "op12_vector_codes": twins.VECTOR_CODES,
     "op13_personal_data": twins.PERSONAL_DATA,

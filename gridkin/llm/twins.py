@@ -150,3 +150,28 @@ g AS (
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
   coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, least_score
 FROM d LEFT JOIN g USING (rid)""".replace(repr(personal_data.NAMES), repr(list(personal_data.NAMES)))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Every pair of different sets that share a shingle, then everything that links reach.
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORDS}') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
+  FROM w),
+c AS MATERIALIZED (SELECT rid, doc_id, len(s) AS n, min(rid) OVER (PARTITION BY s) AS rep, s FROM s),
+e AS MATERIALIZED (SELECT rid, n, unnest(s) AS g FROM c WHERE rid = rep),
+i AS (
+  SELECT a.rid AS x, b.rid AS y FROM e a JOIN e b ON a.g = b.g AND a.rid < b.rid
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT x, y FROM i UNION ALL SELECT y, x FROM i),
+r AS (SELECT rid AS root, rid AS node FROM c WHERE rid = rep UNION SELECT r.root, l.y FROM r JOIN l ON l.x = r.node),
+least_of AS (SELECT rep, min(doc_id) AS least FROM c GROUP BY 1),
+m AS (SELECT root, min(least) AS least FROM r JOIN least_of ON rep = node GROUP BY 1)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE least END AS component_id
+FROM c JOIN m ON root = rep"""
