@@ -22,6 +22,8 @@ from gridkin.operators.storage import write_and_read
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
+# Offsets that are tried for a source.
+OFFSETS = 16
 RESULTS = ("size", "source_size", "target", "copies")
 
 
@@ -86,28 +88,42 @@ def mix(
     )
     sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(place).alias("first"))
     targets = source_targets(sources.select("source", "source_size"), weights, most)
-    drawn = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull())
-    starts = sources.select(F.col("source").alias("s"), "first")
-    table = write_and_read(
-        targets.join(starts, F.col("source").eqNullSafe(F.col("s"))).select(
-            F.col("source").alias("s"),
+    starts = sources.select(F.col("source").alias("_mix_s"), F.col("first").alias("_mix_first"))
+    rates = write_and_read(
+        targets.join(starts, F.col("source").eqNullSafe(F.col("_mix_s"))).select(
+            F.col("source").alias("_mix_s"),
             "source_size",
             "target",
-            "first",
+            "_mix_first",
             F.coalesce(
                 F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(most)), F.lit(0.0)
-            ).alias("rate"),
-            # A multiple of 2**-20 in [0, 1).
-            (F.pmod(drawn, F.lit(1 << 20)) / float(1 << 20)).alias("offset"),
+            ).alias("_mix_rate"),
         ),
         "source-rates",
     )
-    joined = placed.join(table, F.col("source").eqNullSafe(F.col("s")))
-    step = F.col(place) - F.col("first")
-    upto = lambda n: F.floor(F.col("offset") + F.col("rate") * n)
-    copies = F.least(upto(step + 1) - upto(step), F.ceil(F.lit(most)))
+    step = F.col(place) - F.col("_mix_first")
+
+    def copies(offset: Column) -> Column:
+        upto = lambda n: F.floor(offset + F.col("_mix_rate") * n)
+        return F.least(upto(step + 1) - upto(step), F.ceil(F.lit(most)))
+
+    def offset(j: int) -> Column:
+        """A multiple of 2**-20 in [0, 1)."""
+        drawn = F.xxhash64(F.lit(seed), F.lit(j), F.coalesce("_mix_s", F.lit("")), F.col("_mix_s").isNull())
+        return F.pmod(drawn, F.lit(1 << 20)) / float(1 << 20)
+
+    # Of some offsets drawn for a source the one whose documents come nearest to its target.
+    tried = placed.select("source", "size", place).join(rates, F.col("source").eqNullSafe(F.col("_mix_s")))
+    taken = tried.groupBy("_mix_s").agg(
+        F.first("target").alias("wanted"), *[F.sum(copies(offset(j)) * F.col("size")).alias(f"t{j}") for j in range(OFFSETS)]
+    )
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("wanted")), F.lit(j).alias("j")) for j in range(OFFSETS)]))
+    chosen = taken.select(F.col("_mix_s").alias("_mix_of"), F.get(F.array(*[offset(j) for j in range(OFFSETS)]), nearest["j"]).alias("_mix_offset"))
+    table = write_and_read(rates.join(chosen, F.col("_mix_s").eqNullSafe(F.col("_mix_of"))).drop("_mix_of"), "source-offsets")
+    joined = placed.join(table, F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_copies", copies(F.col("_mix_offset")))
+    copies_column = F.col("_mix_copies")
     return joined.select(
-        *[F.col(f"`{c}`") for c in rest], "size", "source_size", "target", copies.cast("long").alias("copies")
+        *[F.col(f"`{c}`") for c in rest], "size", "source_size", "target", copies_column.cast("long").alias("copies")
     )
 
 
