@@ -160,6 +160,17 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_stored_intermediates_can_be_removed(spark, tmp_path, monkeypatch):
+    from gridkin.operators import storage
+
+    assert storage.stored_folder(spark).endswith(spark.sparkContext.applicationId)
+    monkeypatch.setattr(storage, "stored_folder", lambda s: str(tmp_path / "own"))
+    storage.write_and_read(spark.range(3), "numbers")
+    assert list((tmp_path / "own").glob("numbers-*"))
+    storage.remove_stored(spark)
+    assert not (tmp_path / "own").exists()
+
+
 def test_missing_table_raises(spark):
     with pytest.raises(AnalysisException):
         spark.read.parquet("/nonexistent/pairs")
