@@ -15,17 +15,23 @@ from gridkin.operators.storage import write_and_read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep."""
+    """Documents that the base rules and the learned list keep, each repeated row by itself; null texts go."""
     return quality_rules.kept_documents(docs, quality_rules.learned_rules(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; documents without words stay."""
+    """Of each group of linked documents the one with the smallest id, of repeated rows of that id one.
+
+    Documents without words, which link with nothing, and rows without an id stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts replaced by a mark; ``n_chars``, where there is one, follows the text."""
+    """Secrets in the texts replaced by a mark; ``n_chars``, where there is one, follows the text.
+
+    No document goes; a null text stays null.
+    """
     redacted = secret_scan.redact(docs)
     if "n_chars" not in docs.columns:
         return redacted
@@ -34,12 +40,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it; a null source is a source, a null text has size 0."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The other columns of the documents with ``ids``, and their number ``n_tokens``."""
+    """The other columns of the documents with ``ids``, and their number ``n_tokens``; a null text has none."""
     lexicon = bpe.ship_lexicon(bpe.word_counts(docs))
     ids = free_name([c for c in docs.columns if c != "text"], "ids")
     encoded = bpe.encode(docs, ids_col=ids, lexicon=lexicon)
@@ -59,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents; an empty table passes through all of them."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
