@@ -345,6 +345,18 @@ SQL = {
       FROM shared JOIN groups x ON x.set_id = a JOIN groups y ON y.set_id = b
       WHERE inter::DOUBLE / (x.n + y.n - inter) >= 0.7
       UNION ALL SELECT rep, set_id, 1.0 FROM groups WHERE rep <> set_id""",
+    "mllib_similarity_join": f"""WITH {src.text_sets_sql()},
+      content AS (SELECT set_id, list(cell ORDER BY cell) AS c FROM text_cells GROUP BY 1),
+      groups AS (SELECT set_id, len(c) AS n, min(set_id) OVER (PARTITION BY c) AS rep FROM content),
+      rep_cells AS (SELECT t.* FROM text_cells t JOIN groups g USING (set_id) WHERE g.rep = g.set_id),
+      {minima_sql('rep_cells', 8, library=True)},
+      found AS (SELECT DISTINCT x.set_id AS a, y.set_id AS b FROM best x JOIN best y
+                ON x.plane = y.plane AND x.m.c = y.m.c AND x.set_id < y.set_id),
+      shared AS (SELECT a, b, count(*) AS inter FROM found JOIN rep_cells x ON x.set_id = a
+                 JOIN rep_cells y ON y.set_id = b AND x.cell = y.cell GROUP BY 1, 2)
+      SELECT a, b, round(inter::DOUBLE / (x.n + y.n - inter), 9) AS exact
+      FROM shared JOIN groups x ON x.set_id = a JOIN groups y ON y.set_id = b
+      WHERE inter::DOUBLE / (x.n + y.n - inter) >= 0.7""",
     "all_pairs_verb": f"""WITH {src.text_sets_sql()},
       content AS (SELECT set_id, list(cell ORDER BY cell) AS c FROM text_cells GROUP BY 1),
       groups AS (SELECT set_id, min(set_id) OVER (PARTITION BY c) AS rep FROM content),

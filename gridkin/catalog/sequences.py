@@ -11,11 +11,11 @@ import string
 from pyspark.sql import functions as F
 
 from gridkin.catalog import inputs as src
-from gridkin.catalog.signatures import minima_sql
+from gridkin.catalog.signatures import kron_minima_sql, minima_sql, tt_minima_sql
 from gridkin.functions.hashing import poly_hash
 from gridkin.functions.text import is_dna
 from gridkin.operators.filters import spread
-from gridkin.operators.families import ClassicFamily
+from gridkin.operators.families import ClassicFamily, KronFamily, TTFamily
 from gridkin.operators.sequences import (
     kmer_table,
     piece_kmers,
@@ -32,6 +32,7 @@ LETTERS = string.ascii_lowercase + string.ascii_uppercase
 BASES = ("ACGT" * 7)[:26] * 2
 K = 12
 SHAPE = (64, 64, 64)
+FAMILY_SHAPE = (32, 32, 32)
 PRIME = 2147483647
 
 
@@ -153,7 +154,10 @@ def sequence_anchor(spark, sf):
 
 def sequence_anchor_all(spark, sf):
     """The same under all three families."""
-    out = sequence_similarity(_sequences(spark, sf), 0, kmer=K, shape=SHAPE)
+    families = [
+        ClassicFamily(32), KronFamily(16, 42, FAMILY_SHAPE, "md5"), TTFamily(8, 42, FAMILY_SHAPE, 2, "md5")
+    ]
+    out = sequence_similarity(_sequences(spark, sf), 0, kmer=K, shape=FAMILY_SHAPE, families=families)
     return out.groupBy("method").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("error"), 6).alias("mae"),
         F.round(F.max("error"), 6).alias("max_error"),
@@ -211,6 +215,29 @@ _ANCHOR_SQL = f"""WITH {_CELLS_SQL}, {minima_sql('seq_cells', 32)},
              CASE WHEN j > 0.5 THEN 'HIGH' WHEN j > 0.2 THEN 'MED' ELSE 'LOW' END AS similarity
       FROM valued"""
 
+_FAMILY_CELLS_SQL = _CELLS_SQL.replace("% 64", "% 32").replace("* 64", "* 32")
+
+
+def _estimates_sql(best: str, method: str, planes: int) -> str:
+    return f"""
+      SELECT y.doc_id AS set_id, '{method}' AS method, avg((coalesce(a.m.c, 0) = coalesce(b.m.c, 0))::INT) AS est
+      FROM documents y CROSS JOIN range({planes}) p(plane)
+      LEFT JOIN {best} a ON a.set_id = 0 AND a.plane = p.plane
+      LEFT JOIN {best} b ON b.set_id = y.doc_id AND b.plane = p.plane
+      WHERE y.doc_id <> 0 GROUP BY 1"""
+
+
+_FAMILIES_SQL = f"""WITH {_FAMILY_CELLS_SQL}, {minima_sql('seq_cells', 32)},
+      {kron_minima_sql('seq_cells', 16, FAMILY_SHAPE)}, {tt_minima_sql('seq_cells', 8, FAMILY_SHAPE, 2)},
+      own AS (SELECT cell FROM seq_cells WHERE set_id = 0),
+      counted AS (SELECT set_id, count(*) AS n, count(own.cell) AS inter
+                  FROM seq_cells LEFT JOIN own USING (cell) GROUP BY 1),
+      ests AS ({" UNION ALL ".join(_estimates_sql(*f) for f in (("best", "classic", 32), ("kron_best", "kron", 16), ("tt_best", "tt", 8)))}),
+      errors AS (SELECT method, abs(est - coalesce(inter::DOUBLE / (n + (SELECT count(*) FROM own) - inter), 0.0)) AS error
+                 FROM ests LEFT JOIN counted USING (set_id))
+      SELECT method, count(*) AS n_pairs, round(avg(error), 6) AS mae, round(max(error), 6) AS max_error
+      FROM errors GROUP BY 1"""
+
 QUERIES = {
     "kmer_sets": kmer_sets,
     "kmer_table_short": kmer_table_short,
@@ -255,5 +282,6 @@ SQL = {
         SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)
       SELECT 'doc ' || doc_id AS header, length(seq) AS n_letters, md5(seq) AS digest FROM letters""",
     "sequence_similarity": _ANCHOR_SQL,
+    "sequence_similarity_families": _FAMILIES_SQL,
     "long_sequence_similarity": _ANCHOR_SQL.replace(_TEXT_SQL, _LETTERS_SQL),
 }

@@ -15,7 +15,7 @@ from gridkin.operators.families import (
     classic_planes,
     kron_factors,
 )
-from gridkin.operators.library import LibraryFamily
+from gridkin.operators.library import LIBRARY_PRIME, LibraryFamily
 from gridkin.operators.signatures import plane_minima, plane_ranks, signatures
 from gridkin.operators.sketches import merged, sketch_signatures, sketches
 from gridkin.operators.storage import write_and_read
@@ -134,7 +134,7 @@ def planes_sql(k: int) -> str:
         FROM range({k}) j(j))"""
 
 
-def minima_sql(cells: str, k: int, mixed: bool = True) -> str:
+def minima_sql(cells: str, k: int, mixed: bool = True, library: bool = False) -> str:
     """CTEs ``planes``, ``placed`` and ``best(set_id, plane, rank, cell)`` over a cell table."""
     if mixed:
         x1 = f"((cell % {PRIME}) + (((cell // {PRIME}) % {PRIME}) * 1664525) % {PRIME} + 1013904223) % {PRIME}"
@@ -144,16 +144,21 @@ def minima_sql(cells: str, k: int, mixed: bool = True) -> str:
           placed AS (SELECT set_id, cell, (((x2 * x2) % {PRIME}) * x1) % {PRIME} AS x FROM squared)"""
     else:
         placed = f"placed AS (SELECT set_id, cell, cell AS x FROM {cells})"
-    return f"""{planes_sql(k)},
+    planes, rank = planes_sql(k), f"(a * x + b) % {PRIME}"
+    if library:
+        drawn = zip(*LibraryFamily(k).coefficients, strict=True)
+        planes = f"planes(plane, a, b) AS (VALUES {', '.join(f'({j}, {a}::BIGINT, {b}::BIGINT)' for j, (a, b) in enumerate(drawn))})"
+        rank = f"((x + 1) * a + b) % {LIBRARY_PRIME}"
+    return f"""{planes},
       {placed},
       best AS (
-        SELECT set_id, plane, min({{'r': (a * x + b) % {PRIME}, 'c': cell}}) AS m
+        SELECT set_id, plane, min({{'r': {rank}, 'c': cell}}) AS m
         FROM placed CROSS JOIN planes GROUP BY 1, 2)"""
 
 
-def signature_sql(cells: str, k: int, mixed: bool = True) -> str:
+def signature_sql(cells: str, k: int, mixed: bool = True, library: bool = False) -> str:
     """Adds ``sigs(set_id, sig LIST)``."""
-    return f"""{minima_sql(cells, k, mixed)},
+    return f"""{minima_sql(cells, k, mixed, library)},
       sigs AS (SELECT set_id, list(m.c ORDER BY plane) AS sig FROM best GROUP BY 1)"""
 
 
@@ -264,6 +269,8 @@ SQL = {
       {kron_minima_sql('text_cells', KRON_K, src.TEXT_SHAPE)} {_all_documents('kron_sigs', KRON_K)}""",
     "tt_signature": f"""WITH {src.text_sets_sql(32**3)},
       {tt_minima_sql('text_cells', TT_K, src.TEXT_SHAPE, TT_RANK)} {_all_documents('tt_sigs', TT_K)}""",
+    "mllib_minhash": f"""WITH {src.text_sets_sql()}, {signature_sql('text_cells', K, library=True)}
+      {_all_documents('sigs', K)}""",
     "merged_sketches": f"""WITH {src.SUPPLIERS_SQL}, {minima_sql('supplier_sets', K)}
       SELECT set_id, array_to_string(list(m.c ORDER BY plane), ',') AS sig, sum(m.r)::DOUBLE AS total_rank
       FROM best GROUP BY 1""",

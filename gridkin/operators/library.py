@@ -1,73 +1,91 @@
-"""Spark ML's MinHash as the library baseline.
+"""The hash functions of Spark ML's MinHash as the library baseline.
 
-Sets become sparse 0/1 vectors by hashing their cells on a very wide index, JVM-side.  Nothing falls
-back to exact similarity silently.
+The library draws its coefficients from its seed with a public generator; here they make a hash family like the
+others, so sets of any size, long ones too, go through the same kernels, and pairs through the same buckets
+instead of a join that lists every two rows of a bucket.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
+import numpy as np
+from pyspark.ml.feature import MinHashLSH
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.operators.families import Family
+from gridkin.functions.hashing import premix
+from gridkin.operators.banding import even_bands, similar_pairs
+from gridkin.operators.families import ClassicFamily, _ClassicKernel
+from gridkin.operators.overlap import exact_jaccard
+from gridkin.operators.signatures import signatures
 from gridkin.operators.storage import write_and_read
 
-WIDTH = 1 << 30
+# The library's prime, and the steps of the generator that it draws from.
+LIBRARY_PRIME = 2038074743
+_STEP, _ADD, _STATE = 0x5DEECE66D, 0xB, (1 << 48) - 1
+
+
+def _drawn(seed: int, bound: int, n: int) -> list[int]:
+    """Numbers below ``bound`` as the library's generator gives them; 31 bits each, too high ones drawn again."""
+    state, out = (seed ^ _STEP) & _STATE, []
+    while len(out) < n:
+        state = (state * _STEP + _ADD) & _STATE
+        bits = state >> 17
+        if bits - bits % bound + bound <= 1 << 31:
+            out.append(bits % bound)
+    return out
 
 
 @dataclass(frozen=True)
-class LibraryFamily(Family):
-    """Marks the library's own hash functions; they have no parameters here."""
+class LibraryFamily(ClassicFamily):
+    """The library's ``((1 + x) a + b) mod prime`` on scattered cell ids, which lie within its index range."""
 
     method = "library"
 
-    def nbytes(self) -> int:
-        return 8 * self.k
-
-
-def _vectors(sets: DataFrame) -> DataFrame:
-    # Stored first: the library's functions reject empty vectors, and inside one plan the optimizer may
-    # run them ahead of this filter.
-    words = write_and_read(
-        sets.where(F.size("cells") > 0).select(
-            "set_id", F.col("cells").cast("array<string>").alias("words")
-        ),
-        "words",
-    )
-    hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=WIDTH, binary=True)
-    return hashed.transform(words).select("set_id", "features")
-
-
-def library_signatures(sets: DataFrame, family: LibraryFamily) -> DataFrame:
-    """``(set_id, params_id, sig)`` of non-empty row sets under the library's hash functions."""
-    vectors = _vectors(sets)
-    lsh = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=family.k, seed=family.seed)
-    planes = lsh.fit(vectors).transform(vectors).select(
-        "set_id", F.posexplode("hashes").alias("plane", "h")
-    )
-    value = F.get(vector_to_array("h"), F.lit(0)).cast("long")
-    packed = F.array_sort(F.collect_list(F.struct("plane", value.alias("value"))))
-    return (
-        planes.groupBy("set_id")
-        .agg(F.transform(packed, lambda s: s["value"]).alias("sig"))
-        .select("set_id", F.lit(family.params_id).alias("params_id"), "sig")
-    )
+    @cached_property
+    def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
+        drawn = np.array(_drawn(self.seed, LIBRARY_PRIME - 1, 2 * self.k), np.int64)
+        return drawn[0::2] + 1, drawn[1::2]
+
+    def kernel(self, planes: slice = slice(None)):
+        a, b = self.coefficients
+        return _LibraryKernel(a[planes], b[planes], self.mixed)
+
+    def rank(self, cell: Column, a: Column, b: Column) -> Column:
+        x = premix(cell) if self.mixed else cell
+        return ((x + 1) * a + b) % F.lit(LIBRARY_PRIME).cast("long")
+
+
+class _LibraryKernel(_ClassicKernel):
+    def ranks(self, cells: np.ndarray) -> np.ndarray:
+        if self.mixed:
+            cells = self._mix(cells)
+        elif len(cells) and int(cells.max()) >= LIBRARY_PRIME:
+            raise ValueError("cell id beyond the prime of the library; use mixed=True")
+        value = self._value[:, : len(cells)]
+        np.multiply(self.a[:, None], cells[None, :] + 1, out=value)
+        value += self.b[:, None]
+        np.remainder(value, LIBRARY_PRIME, out=value)
+        return value
+
+
+def library_hashes(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """``(set_id, hashes)`` of the library itself, from 0/1 vectors ``(set_id, features)``, none of them empty."""
+    lsh = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=k, seed=seed)
+    out = lsh.fit(vectors).transform(vectors)
+    return out.select("set_id", F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("long")).alias("hashes"))
 
 
 def library_pairs(sets: DataFrame, threshold: float, tables: int = 8, seed: int = 42) -> DataFrame:
-    """``(a, b, exact)`` pairs found by the library's similarity join, a < b.
+    """``(a, b, exact)``, a < b, of the pairs that share one of the library's hashes and reach the threshold.
 
-    Hand it sets of distinct content: the join lists every pair that shares a hash value.
+    Hand it row sets of distinct content without the empty ones.
     """
-    vectors = _vectors(sets)
-    lsh = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed)
-    model = lsh.fit(vectors)
-    joined = model.approxSimilarityJoin(vectors, vectors, 1.0 - threshold + 1e-12, "distance")
-    a, b = F.col("datasetA.set_id"), F.col("datasetB.set_id")
-    return joined.where(a < b).select(
-        a.alias("a"), b.alias("b"), (F.lit(1.0) - F.col("distance")).alias("exact")
-    )
+    family = LibraryFamily(tables, seed)
+    sigs = write_and_read(signatures(sets, family), "signatures")
+    # An estimate of 1 / tables is one shared hash.
+    found = write_and_read(similar_pairs(sigs, even_bands(tables, tables), tables, 1 / tables), "library-pairs")
+    return exact_jaccard(found.select("a", "b"), sets).where(F.col("exact") >= threshold).select("a", "b", "exact")

@@ -16,7 +16,6 @@ from gridkin.operators.families import (
     axis_coordinates,
     kron_axis_table,
 )
-from gridkin.operators.library import LibraryFamily, library_signatures
 from gridkin.operators.shipping import ship
 
 
@@ -32,10 +31,6 @@ def signatures(sets: DataFrame, family: Family, keep: Sequence[str] = ()) -> Dat
     broadcast limit are applied a slice of planes at a time.  ``keep`` names further columns of row
     sets that pass through.
     """
-    if isinstance(family, LibraryFamily):
-        if "cells" not in sets.columns:
-            raise ValueError("the library needs a whole set in one vector; give row sets")
-        return library_signatures(sets, family)
     slices = -(-family.nbytes() // BROADCAST_LIMIT)
     width = -(-family.k // min(slices, family.k))
     planes = [slice(lo, lo + width) for lo in range(0, family.k, width)]

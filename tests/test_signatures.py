@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from gridkin.operators import kernels
 from gridkin.operators.cells import exploded
 from gridkin.operators.families import PRIME, ClassicFamily, KronFamily, TTFamily
-from gridkin.operators.library import LibraryFamily
+from gridkin.operators.library import LibraryFamily, library_hashes
 from gridkin.operators.sketches import merged, sketch_signatures, sketches
 from gridkin.operators.signatures import signatures, signatures_by_join, with_empty_sets
 
@@ -241,10 +241,23 @@ def test_structured_sets_favour_premixed_family(spark):
 def test_library_baseline(spark):
     rows = as_rows(spark, {0: range(100), 1: range(100), 2: range(50, 150), 3: []})
     sigs = sig_of(signatures(rows, LibraryFamily(64)))
-    assert set(sigs) == {0, 1, 2} and sigs[0] == sigs[1]
+    assert sigs[0] == sigs[1] and set(sigs[3]) == {0}
     assert abs(_agreement(sigs, 0, 2) - 1 / 3) < 0.25
-    with pytest.raises(ValueError, match="row sets"):
-        signatures(exploded(rows), LibraryFamily(64))
+    assert sig_of(signatures(exploded(rows), LibraryFamily(64))) == {i: s for i, s in sigs.items() if i < 3}
+
+
+@pytest.mark.parametrize("seed", [42, 0, -7, 123456789012])
+def test_library_family_equals_the_library(spark, seed):
+    from pyspark.ml.linalg import Vectors
+
+    sets = {i: sorted(np.random.default_rng(i).choice(1 << 30, 50, replace=False).tolist()) for i in range(4)}
+    rows = [(i, Vectors.sparse(1 << 30, cells, [1.0] * len(cells))) for i, cells in sets.items()]
+    vectors = spark.createDataFrame(rows, ["set_id", "features"])
+    family = LibraryFamily(16, seed, mixed=False)
+    kernel = family.kernel()
+    kernel.prepare()
+    for r in library_hashes(vectors, 16, seed).collect():
+        assert list(r.hashes) == kernel.ranks(np.array(sets[r.set_id])).min(1).tolist()
 
 
 def test_tensor_train_rejects_cells_outside_the_grid(monkeypatch):
