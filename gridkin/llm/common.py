@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridkin.operators.shipping import ship
+from gridkin.operators.storage import write_and_read
 
 # The white space that separates words, as a Java and Python pattern.
 SPACES = r"[\x20\x09-\x0D]+"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,24 +41,53 @@ def map_arrow(
     return df.mapInArrow(_returning_memory(function), schema)
 
 
-def _returning_memory(function: Callable) -> Callable:
-    """A worker lives on after its task; what Arrow keeps for later would count against the next one."""
+def _return_memory() -> None:
+    """A worker lives on after its task; what its allocators keep for later would count against the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
 
+def _returning_memory(function: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _return_memory()
 
     return run
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Jobs run meanwhile hand rows to Python so many at a time: for rows of some kilobytes each."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def stored_in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """``write_and_read`` of what Python makes of large rows."""
+    with small_batches(df.sparkSession):
+        return write_and_read(df, name)
+
+
 def map_groups(
     df: DataFrame, keys: list[str], function: Callable[[tuple, pa.Table], pa.Table], schema: str
 ) -> DataFrame:
     """``groupBy(keys).applyInArrow`` with the package at hand in the workers."""
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(function, schema)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return function(key, table)
+        finally:
+            _return_memory()
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def text_or_empty(col: Column | str) -> Column:

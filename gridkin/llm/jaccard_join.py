@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import free_name, in_slices, map_arrow, map_groups, ragged_gather, text_or_empty
+from gridkin.llm.common import free_name, in_slices, map_arrow, map_groups, ragged_gather, stored_in_small_batches, text_or_empty
 from gridkin.llm.components import components
 from gridkin.operators.shipping import ship
 from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
@@ -59,7 +59,7 @@ WORDS_REMEMBERED = 150_000
 KEY_BITS = 48
 # Entries that a task packs at a time, that a range of keys shall hold, and that a set has (a guess, for the
 # number of ranges only).
-PACKED, RANGE, ENTRIES = 1 << 19, 1 << 21, 128
+PACKED, RANGE, ENTRIES = 1 << 18, 1 << 19, 128
 # Sets of one list that go on from one pack.
 LOCAL = 4
 _U = np.uint64
@@ -120,7 +120,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(row, doc_id, n, content, elements)``, stored: one row per document, ``row`` unique."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     made = map_arrow(plain, lambda b: _sets(b, width), "doc_id long, n long, content binary, elements binary")
-    return write_and_read(made.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    return stored_in_small_batches(made.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
 def size_classes(largest: int) -> list[tuple[int, int]]:
@@ -333,7 +333,7 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = found.select(F.col("row").alias("a"), F.col("elements").alias("x"))
     right = found.select(F.col("row").alias("b"), F.col("elements").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return write_and_read(map_arrow(both, _shared, "a long, b long"), "links")
+    return stored_in_small_batches(map_arrow(both, _shared, "a long, b long"), "links")
 
 
 def _fits(n: str, m: str) -> F.Column:
@@ -352,7 +352,8 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     doc_id that links reach, the document itself included.  A text with fewer words than ``width`` is one
     shingle; a null text or one without words has none and links with nothing.  Repeated rows are documents
     of equal content and so linked; a null doc_id stays null and is never the smallest of a component that
-    has others.  Other columns are ignored.  Elements are 64-bit hashes of shingles.
+    has others.  An empty table gives no rows, texts of any length are taken whole, and other columns are
+    ignored, whatever their names.  Elements are 64-bit hashes of shingles.
     """
     sets = shingle_sets(docs, width)
     found = class_components(sets).select("content", "component_id")
@@ -432,7 +433,7 @@ def class_components(sets: DataFrame) -> DataFrame:
     own = sets.select("row", "n", "elements").join(F.broadcast(own) if n_classes <= BROADCAST_ROWS else own, "row", "left_semi")
     parts = max(-(-n_classes * ENTRIES // RANGE), 16)
     filed = map_arrow(own, lambda b: _filed(b, boundary, cut, parts), _FILED)
-    lists = write_and_read(map_groups(filed, ["part"], _listed, _LISTED), "lists")
+    lists = stored_in_small_batches(map_groups(filed, ["part"], _listed, _LISTED), "lists")
     neighbours = lists.where((F.col("before") >= 0) & _fits("n_before", "n"))
     first = _pairs(neighbours.select(F.col("before").alias("a"), F.col("row").alias("b")))
     roots = components(checked(first, sets))
@@ -496,9 +497,9 @@ def _confirmed(placed: DataFrame, sets: DataFrame, every: bool) -> DataFrame | N
     """
     found = map_groups(placed, ["cluster", "lo", "hi"], lambda k, t: _scan_block(k, t, every), "a long, b long, x long, y long")
     if every:
-        tried = write_and_read(found, "found")
+        tried = stored_in_small_batches(found, "found")
     else:
-        tried = write_and_read(
+        tried = stored_in_small_batches(
             found.groupBy("a", "b").agg(F.min(F.struct("x", "y")).alias("p")).select("a", "b", "p.*"), "found"
         )
     pairs = tried.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

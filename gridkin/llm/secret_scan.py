@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm.common import free_name, map_arrow, text_or_empty
-from gridkin.operators.storage import write_and_read
+from gridkin.llm.common import free_name, in_slices, map_arrow, small_batches, stored_in_small_batches, text_or_empty
 
 # The base patterns.  A match that is too short is dropped after it has been found.
 ASSIGN = re.compile(
@@ -55,6 +54,8 @@ _CODES = [np.array([a.find(chr(c)) for c in range(128)]) for a in ALPHABETS]
 # Length classes: first length of each.
 CLASSES = (20, 24, 32, 40, 64, 128)
 NULL_STRINGS = 4_000
+# Bytes of text that letter pairs are counted in at a time.
+PIECE = 1 << 20
 FALSE_SHARE = 0.01
 # Below this a candidate is not random for its own alphabet, whatever text does.
 RANDOM_AT_LEAST = 0.001
@@ -97,20 +98,24 @@ def _length_class(n: int) -> int:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
+    for batch in in_slices(batches, 1 << 16, 0, PIECE):
         text = batch[0]
-        if not len(text):
-            continue
         offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
-        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        keep = (data > 0x20) & (data < 0x80)
-        first = np.concatenate([[0], np.cumsum(keep)])[offsets[1:-1] - offsets[0]]
-        data = data[keep]
-        codes = data[:-1].astype(np.int32) << 8 | data[1:]
-        # A pair does not reach from one document into the next.
-        inner = np.ones(len(codes), bool)
-        inner[first[(first > 0) & (first <= len(codes))] - 1] = False
-        total += np.bincount(codes[inner], minlength=1 << 16)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        firsts = offsets[:-1]
+        last = 0  # the character before the next one, 0 where a document begins
+        for start in range(int(offsets[0]), int(offsets[-1]), PIECE):
+            end = min(start + PIECE, int(offsets[-1]))
+            part = data[start:end]
+            keep = (part > 0x20) & (part < 0x80)
+            # A pair does not reach from one document into the next: a mark of 0 stands before each.
+            part = np.where(keep, part, 1)
+            marks = firsts[(firsts >= start) & (firsts < end)] - start
+            part = np.insert(part, marks, 0)
+            part = np.concatenate([[last], part[part != 1]]).astype(np.uint16)
+            last = int(part[-1])
+            codes = part[:-1] << 8 | part[1:]
+            total += np.bincount(codes[(part[:-1] > 0) & (part[1:] > 0)], minlength=1 << 16)
     seen = np.flatnonzero(total)
     yield pa.record_batch({"pair": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
 
@@ -127,7 +132,9 @@ def null_scores(pairs: DataFrame, seed: int = 1) -> np.ndarray:
     Strings are drawn from the pair counts; without any counts all characters are equally likely.
     """
     counts = np.zeros((256, 256))
-    for row in pairs.collect():
+    with small_batches(pairs.sparkSession):
+        rows = pairs.collect()
+    for row in rows:
         counts[row["pair"] >> 8, row["pair"] & 255] = row["n"]
     counts = counts[0x21:0x7F, 0x21:0x7F] + 1e-9
     common = np.argsort(-counts.sum(1), kind="stable")
@@ -203,7 +210,7 @@ def scored_candidates(
 def _scan(batches: Iterator[pa.RecordBatch], null: np.ndarray) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     guess = pa.struct([(n, pa.int32()) for n in ("start", "end", "length_class", "rank")])
-    for batch in batches:
+    for batch in in_slices(batches, column=1):
         base, found = [], []
         for text in batch[1].to_pylist():
             runs = candidates(text)
@@ -224,7 +231,7 @@ def scan(docs: DataFrame, null: np.ndarray) -> DataFrame:
         "doc_id long, base array<struct<start:int,kind:int,end:int>>, "
         "found array<struct<start:int,end:int,length_class:int,rank:int>>"
     )
-    return write_and_read(map_arrow(plain, lambda b: _scan(b, null), schema), "secret-scan")
+    return stored_in_small_batches(map_arrow(plain, lambda b: _scan(b, null), schema), "secret-scan")
 
 
 def accepted_ranks(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[int]:
@@ -265,7 +272,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``, one row per document.
 
     A null or empty text has no spans; repeated rows are scanned each; a null doc_id stays null; other
-    columns are ignored.  ``spans`` also holds the accepted candidates, as kind ``random``.
+    columns are ignored, whatever their names; texts of any length are scanned whole; an empty table gives no
+    rows.  ``spans`` also holds the accepted candidates, as kind ``random``.
     """
     null = null_scores(letter_pairs(docs))
     scanned = scan(docs, null)
@@ -284,7 +292,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch], null: np.ndarray, limits: list[int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, column=-1):
         texts = []
         for text in batch[-1].to_pylist():
             if text is None:
