@@ -112,8 +112,8 @@ def run_throughput(spark, sf):
 
 
 def _metrics(spark, sf):
-    """Purchases as runs: method by user, level by day part."""
-    events = _events(spark, sf).where(F.col("event_type") == "purchase")
+    """Events as runs: method by user, level by day part."""
+    events = _events(spark, sf)
     seconds = F.round("value", 2)
     return events.select(
         F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("algo"),
@@ -181,6 +181,30 @@ def telemetry_points(spark, sf):
     return ops.telemetry_points(_stored_telemetry(spark, sf))
 
 
+def telemetry_files(spark, sf):
+    """Telemetry as one JSON file per record, all found below a folder and flattened."""
+    path = scratch_path(spark, "telemetry-files")
+    _telemetry(spark, sf).write.option("maxRecordsPerFile", 1).json(path)
+    return ops.telemetry_points(files.read_telemetry(spark, path, "*.json"))
+
+
+def run_files(spark, sf):
+    """Nations as runs over their suppliers' accounts, one JSON file each, beside files that cannot be read."""
+    path = scratch_path(spark, "run-files")
+    supplier = src.table(spark, sf, "supplier")
+    nations = supplier.groupBy("s_nationkey").agg(
+        F.count(F.lit(1)).cast("int").alias("n_pairs"),
+        F.round(F.max("s_acctbal"), 2).cast("double").alias("elapsed_s"),
+        F.min("s_suppkey").alias("timestamp"),
+    )
+    runs = nations.select(F.concat(F.lit("n"), "s_nationkey").alias("algo"), "n_pairs", "elapsed_s", "timestamp")
+    runs.write.option("maxRecordsPerFile", 1).json(path)
+    supplier.select(F.lit("{").alias("value")).distinct().write.mode("append").text(f"{path}/broken.json")
+    return files.read_run_metrics(spark, path, "*").where(F.col("algo").isNotNull()).select(
+        "algo", "n_pairs", "elapsed_s", "timestamp"
+    )
+
+
 def final_results(spark, sf):
     return ops.final_results(_stored_telemetry(spark, sf))
 
@@ -253,6 +277,8 @@ QUERIES = {
     "throughput": run_throughput,
     "run_metrics_scan": run_metrics_scan,
     "telemetry_points": telemetry_points,
+    "telemetry_files": telemetry_files,
+    "run_files": run_files,
     "final_results": final_results,
     "run_report": run_history,
     "manifest_labels": manifest_labels,
@@ -305,15 +331,19 @@ SQL = {
              '30×30×30' AS shape, (user_id % 50)::INTEGER AS n_pairs, round(value, 2) AS elapsed_s,
              event_id AS memory_kb, timestamp, event_id::VARCHAR AS first_pair,
              NULL::DOUBLE AS first_kron
-      FROM ev WHERE event_type = 'purchase'""",
+      FROM ev""",
     "telemetry_points": f"WITH {_POINTS_SQL} SELECT * FROM points",
+    "telemetry_files": f"WITH {_POINTS_SQL} SELECT * FROM points",
+    "run_files": """SELECT 'n' || s_nationkey AS algo, count(*)::INTEGER AS n_pairs,
+             round(max(s_acctbal), 2)::DOUBLE AS elapsed_s, min(s_suppkey) AS timestamp
+      FROM supplier GROUP BY s_nationkey""",
     "final_results": f"""WITH {_POINTS_SQL}
       SELECT race_id, algo, max(t) AS elapsed_s, 0.1::DOUBLE AS mae FROM points GROUP BY 1, 2""",
     "run_report": f"""WITH {_POINTS_SQL},
       races AS (SELECT race_id, max(t)::BIGINT AS race_ts, max(t) AS duration FROM points GROUP BY 1),
       runs AS (SELECT 'm' || (user_id % 3) AS algo, '30×30×30' AS shape, (user_id % 50)::INTEGER AS n_pairs,
                       round(value, 2) AS elapsed_s, timestamp AS run_ts, event_id AS run_file
-               FROM ev WHERE event_type = 'purchase'),
+               FROM ev),
       near AS (SELECT * FROM races JOIN runs ON abs(race_ts - run_ts) < 180),
       ranked AS (SELECT *, ['🥇', '🥈', '🥉', '4th'][least(4, row_number() OVER (
                    PARTITION BY race_id, race_ts ORDER BY coalesce(elapsed_s, 999), run_file))] AS medal

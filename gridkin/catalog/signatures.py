@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gridkin.catalog import inputs as src
 from gridkin.functions.compare import estimate
+from gridkin.functions.grid import unflatten
 from gridkin.operators import banding
 from gridkin.operators.cells import exploded
 from gridkin.operators.families import (
@@ -14,6 +17,7 @@ from gridkin.operators.families import (
     TTFamily,
     classic_planes,
     kron_factors,
+    tt_cores,
 )
 from gridkin.operators.library import LIBRARY_PRIME, LibraryFamily
 from gridkin.operators.signatures import plane_minima, plane_ranks, signatures
@@ -59,15 +63,38 @@ def family_parameters(spark, sf):
 
 
 def kron_parameters(spark, sf):
-    """Factors of the axis positions in use by the documents."""
+    """Factors of the positions on all axes that are in use by the documents."""
+    factors = kron_factors(spark, src.TEXT_SHAPE, 4, 42)
+    return factors.join(_positions_in_use(spark, sf), ["mode", "idx"]).select(
+        "mode", "idx", "plane", F.round("e", 9).alias("e"), "n_cells"
+    )
+
+
+def _positions_in_use(spark, sf):
+    """``(mode, idx, n_cells)``."""
     cells = exploded(src.text_sets(spark, sf, 32**3))
-    used = cells.select((F.col("cell") % 32).cast("int").alias("idx")).groupBy("idx").count()
-    factors = kron_factors(spark, src.TEXT_SHAPE, 4, 42).where(F.col("mode") == 2)
-    return factors.join(used.withColumnRenamed("count", "n_cells"), "idx").select(
-        "idx", "plane", F.round("e", 9).alias("e"), "n_cells"
+    axes = F.array(*[c.cast("int") for c in unflatten("cell", src.TEXT_SHAPE)])
+    places = cells.select(F.posexplode(axes).alias("mode", "idx"))
+    return places.groupBy("mode", "idx").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def tt_parameters(spark, sf):
+    """Entries of the cores at the positions in use by the documents."""
+    family = TTFamily(2, 42, src.TEXT_SHAPE, TT_RANK, "md5")
+    cores = [tt_cores(spark, family, m).withColumn("mode", F.lit(m)) for m in range(len(src.TEXT_SHAPE))]
+    table = reduce(lambda a, b: a.unionByName(b), cores)
+    return table.join(_positions_in_use(spark, sf), ["mode", "idx"]).select(
+        "mode", "idx", "plane", "entry", F.round("value", 6).alias("value"), "n_cells"
     )
 
 
+def tt_axis_ranks(spark, sf):
+    """Least rank per set and plane, contracted axis by axis through joins."""
+    cells = src.supplier_sets(spark, sf).select("set_id", (F.col("cell") % 4096).alias("cell"))
+    ranks = plane_ranks(cells, TTFamily(4, 42, (16, 16, 16), 2, "md5"))
+    return ranks.groupBy("set_id", "plane").agg(F.round(F.min("rank"), 9).alias("rank"))
+
+
 def kron_signature(spark, sf):
     sets = src.text_sets(spark, sf, 32**3)
     return joined(signatures(sets, KronFamily(KRON_K, 42, src.TEXT_SHAPE, "md5")))
@@ -224,6 +251,9 @@ def _all_documents(sigs: str, k: int) -> str:
       FROM documents LEFT JOIN {sigs} ON set_id = doc_id"""
 
 
+_USED_SQL = """used AS (
+        SELECT mode, CASE mode WHEN 0 THEN cell // 1024 WHEN 1 THEN (cell // 32) % 32 ELSE cell % 32 END AS idx,
+               count(*) AS n_cells FROM text_cells CROSS JOIN range(3) m(mode) GROUP BY 1, 2)"""
 _TEXT_SIGS = f"{src.text_sets_sql()}, {signature_sql('text_cells', K)}"
 _ALL_SIGS = f"""{_TEXT_SIGS},
       all_sigs AS (SELECT doc_id AS set_id, coalesce(sig, list_transform(range({K}), lambda i: 0)) AS sig
@@ -242,6 +272,8 @@ QUERIES = {
     "kron_signature": kron_signature,
     "kron_axis_ranks": kron_axis_ranks,
     "tt_signature": tt_signature,
+    "tt_params": tt_parameters,
+    "tt_axis_ranks": tt_axis_ranks,
     "merged_sketches": merged_sketches,
     "mllib_minhash": library_signature,
     "signature_estimate": signature_estimate,
@@ -262,9 +294,19 @@ SQL = {
              count(DISTINCT m.c) AS n_winners
       FROM best JOIN planes USING (plane) GROUP BY 1""",
     "kron_params": f"""WITH {src.text_sets_sql(32**3)}, {factors_sql(4, src.TEXT_SHAPE)},
-      used AS (SELECT cell % 32 AS idx, count(*) AS n_cells FROM text_cells GROUP BY 1)
-      SELECT idx::INTEGER AS idx, plane::INTEGER AS plane, round(e, 9) AS e, n_cells
-      FROM factors JOIN used USING (idx) WHERE mode = 2""",
+      {_USED_SQL}
+      SELECT mode::INTEGER AS mode, idx::INTEGER AS idx, plane::INTEGER AS plane, round(e, 9) AS e, n_cells
+      FROM factors JOIN used USING (mode, idx)""",
+    "tt_params": f"""WITH {src.text_sets_sql(32**3)},
+      {tt_minima_sql('text_cells', 2, src.TEXT_SHAPE, TT_RANK)}, {_USED_SQL},
+      cores AS ({" UNION ALL ".join(f"SELECT {m} AS mode, * FROM core{m}" for m in range(3))})
+      SELECT mode::INTEGER AS mode, idx::INTEGER AS idx, plane::INTEGER AS plane, entry::INTEGER AS entry,
+             round(c[entry + 1], 6) AS value, n_cells
+      FROM cores JOIN used USING (mode, idx), LATERAL (SELECT unnest(range(len(c))) AS entry)""",
+    "tt_axis_ranks": f"""WITH {src.SUPPLIERS_SQL},
+      folded AS (SELECT set_id, cell % 4096 AS cell FROM supplier_sets),
+      {tt_minima_sql('folded', 4, (16, 16, 16), 2)}
+      SELECT set_id, plane::INTEGER AS plane, round(m.r, 9) AS rank FROM tt_best""",
     "kron_signature": f"""WITH {src.text_sets_sql(32**3)},
       {kron_minima_sql('text_cells', KRON_K, src.TEXT_SHAPE)} {_all_documents('kron_sigs', KRON_K)}""",
     "tt_signature": f"""WITH {src.text_sets_sql(32**3)},

@@ -379,3 +379,48 @@ class _TTKernel(_Kernel):
 def axis_coordinates(cells: DataFrame, shape: Sequence[int]) -> DataFrame:
     """Add ``i0..i{d-1}`` to a cell table."""
     return cells.withColumns({f"i{m}": c for m, c in enumerate(unflatten("cell", shape))})
+
+
+def tt_cores(spark: SparkSession, family: TTFamily, mode: int) -> DataFrame:
+    """The md5-derived core of one axis, ``(plane, idx, entry, value)``, computed by Spark.
+
+    ``entry`` counts the matrix of an index row by row, left bond first.
+    """
+    if family.source != "md5":
+        raise ValueError("only md5-derived cores have a table form")
+    (lo, hi), n = family.bonds()[mode], family.shape[mode]
+    number = F.col("id")
+    plane, left = F.floor(number / (lo * n * hi)), F.floor(number / (n * hi)) % lo
+    index, right = F.floor(number / hi) % n, number % hi
+    u, v = (uniform(F.lit(family.seed), F.lit("tt"), F.lit(mode), number, F.lit(half)) for half in (0, 1))
+    normal = F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(6.283185307179586) * v) / F.sqrt(F.lit(float(lo)))
+    return spark.range(family.k * lo * n * hi).select(
+        plane.cast("int").alias("plane"),
+        index.cast("int").alias("idx"),
+        (left * hi + right).cast("int").alias("entry"),
+        normal.cast("float").cast("double").alias("value"),
+    )
+
+
+def tt_axis_table(spark: SparkSession, family: TTFamily, mode: int) -> DataFrame:
+    """``(idx, core ARRAY<ARRAY<DOUBLE>>)`` of one axis: per plane the entries of the index's matrix."""
+    matrix = F.transform(F.array_sort(F.collect_list(F.struct("entry", "value"))), lambda s: s["value"])
+    planes = tt_cores(spark, family, mode).groupBy("idx", "plane").agg(matrix.alias("m"))
+    packed = F.array_sort(F.collect_list(F.struct("plane", "m")))
+    return planes.groupBy("idx").agg(F.transform(packed, lambda s: s["m"]).alias("core"))
+
+
+def contracted(left: Column, core: Column, lo: int, hi: int) -> Column:
+    """Row vectors of all planes times the matrices of one axis, summed in the order of the left bond."""
+
+    def times(vector: Column, matrix: Column) -> Column:
+        columns = []
+        for s in range(hi):
+            terms = [F.get(vector, F.lit(r)) * F.get(matrix, F.lit(r * hi + s)) for r in range(lo)]
+            total = terms[0]
+            for term in terms[1:]:
+                total = total + term
+            columns.append(total)
+        return F.array(*columns)
+
+    return F.zip_with(left, core, times)

@@ -13,8 +13,11 @@ from gridkin.operators.families import (
     ClassicFamily,
     Family,
     KronFamily,
+    TTFamily,
     axis_coordinates,
+    contracted,
     kron_axis_table,
+    tt_axis_table,
 )
 from gridkin.operators.shipping import ship
 
@@ -97,7 +100,7 @@ def signatures_by_join(cells: DataFrame, family: Family) -> DataFrame:
     """The same signatures from built-in expressions and joins only.
 
     Needs no broadcast and no Python, at the price of one row per cell and plane before the
-    map-side aggregate.  Covers the classic family and the md5-derived factored one.
+    map-side aggregate.  Covers the classic family and the md5-derived factored ones.
     """
     return _gather_planes(plane_minima(cells, family), family)
 
@@ -130,6 +133,17 @@ def plane_ranks(cells: DataFrame, family: Family) -> DataFrame:
             term = F.col(f"e{mode}")
             total = term if total is None else F.zip_with(total, term, lambda x, y: x + y)
         return rows.select("set_id", "cell", F.posexplode(total).alias("plane", "rank"))
+    if isinstance(family, TTFamily) and family.source == "md5":
+        # One join and one vector times matrix per axis; the vector of a cell has the bond's length.
+        rows = axis_coordinates(cells.select("set_id", "cell"), family.shape)
+        for mode, (lo, hi) in enumerate(family.bonds()):
+            table = tt_axis_table(cells.sparkSession, family, mode).select(
+                F.col("idx").cast("long").alias(f"i{mode}"), "core"
+            )
+            rows = rows.join(table, f"i{mode}")
+            step = contracted(F.col("v"), F.col("core"), lo, hi) if mode else F.col("core")
+            rows = rows.withColumn("v", step).drop("core", f"i{mode}")
+        return rows.select("set_id", "cell", F.posexplode(F.transform("v", lambda x: F.get(x, F.lit(0)))).alias("plane", "rank"))
     raise ValueError(f"{family.params_id} has no table form; use signatures()")
 
 
