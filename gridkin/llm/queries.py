@@ -64,29 +64,6 @@ def op5_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.conversations(mails).select("conv_id", "root", "depth", "turn", "parent", "role", F.md5("text").alias("text_md5"))
 
 
-OP5_SQL = """
-WITH RECURSIVE m AS (
-  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS raw,
-         trim(coalesce(text, ''), chr(32) || chr(9) || chr(13) || chr(10)) AS text
-  FROM conversations),
-said AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS said FROM m),
-q AS (SELECT conv_id, turn + 1 AS turn, min(raw) AS raw FROM m GROUP BY ALL),
-asked AS (
-  SELECT conv_id, turn, lower(trim(regexp_replace(trim(raw, chr(32) || chr(9) || chr(13) || chr(10)), '\\s+', ' ', 'g'))) AS said
-  FROM q),
-link AS (
-  SELECT a.conv_id, a.turn, max(s.turn) AS parent
-  FROM asked a JOIN said s ON a.conv_id = s.conv_id AND a.said = s.said AND s.turn < a.turn
-  WHERE a.said <> '' GROUP BY ALL),
-t AS (SELECT m.*, link.parent FROM m LEFT JOIN link USING (conv_id, turn)),
-chain AS (
-  SELECT conv_id, turn, parent, turn AS root, 0::BIGINT AS depth FROM t WHERE parent IS NULL
-  UNION
-  SELECT t.conv_id, t.turn, t.parent, c.root, c.depth + 1 FROM t JOIN chain c ON t.conv_id = c.conv_id AND t.parent = c.turn)
-SELECT t.conv_id, c.root, c.depth, t.turn, t.parent, t.role, md5(t.text) AS text_md5
-FROM t JOIN (SELECT DISTINCT conv_id, turn, root, depth FROM chain) c ON t.conv_id = c.conv_id AND t.turn = c.turn"""
-
-
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("n"))
@@ -151,7 +128,7 @@ QUERIES = {
 }
 SQL = {
     "op1_topk": OP1_SQL,
-    "op5_quotation": OP5_SQL,
+    "op5_quotation": twins.QUOTATION,
     "op9_jaccard_join": twins.JACCARD_JOIN,
     "op11_filter_audit": twins.FILTER_AUDIT,
     "op12_vector_codes": twins.VECTOR_CODES,

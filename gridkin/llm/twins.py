@@ -175,3 +175,60 @@ least_of AS (SELECT rep, min(doc_id) AS least FROM c GROUP BY 1),
 m AS (SELECT root, min(least) AS least FROM r JOIN least_of ON rep = node GROUP BY 1)
 SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE least END AS component_id
 FROM c JOIN m ON root = rep"""
+
+
+QUOTATION = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS raw FROM conversations),
+q AS (SELECT conv_id, turn, min(raw) AS raw FROM m GROUP BY ALL),
+mails AS (
+  SELECT m.conv_id, m.turn, m.role, CASE m.turn % 3
+      WHEN 0 THEN concat_ws(chr(10), '>> ' || replace(b.raw, chr(10), chr(10) || '>> '), '> ' || replace(a.raw, chr(10), chr(10) || '> '), m.raw)
+      WHEN 1 THEN concat_ws(chr(10), '> ' || string_split(a.raw, chr(10))[1], m.raw, '> ' || string_split(a.raw, chr(10))[-1])
+      ELSE concat_ws(chr(10), '> > ' || replace(b.raw, chr(10), chr(10) || '> > '), m.raw) END AS mail
+  FROM m LEFT JOIN q a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 LEFT JOIN q b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2),
+lines AS (
+  SELECT conv_id, turn, role, unnest(string_split(mail, chr(10))) AS line,
+         generate_subscripts(string_split(mail, chr(10)), 1) AS i FROM mails),
+bare AS (
+  SELECT *, len(regexp_extract_all(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '>')) AS level,
+         regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS text FROM lines),
+said AS (
+  SELECT *, CASE WHEN regexp_matches(text, '^[^\n]{1,200} wrote:[ \t]*$') THEN ''
+                 ELSE lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) END AS s FROM bare),
+own AS (
+  SELECT conv_id, turn, role, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0
+           AND NOT regexp_matches(line, '^[^\n]{1,200} wrote:[ \t]*$')), chr(32) || chr(9) || chr(13) || chr(10)), '') AS text
+  FROM said GROUP BY ALL),
+starts AS (
+  SELECT *, (s <> '' AND coalesce(lag(s) OVER w = '' OR lag(level) OVER w <> level, true))::INTEGER AS fresh
+  FROM said WINDOW w AS (PARTITION BY conv_id, turn, role ORDER BY i)),
+runs AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn, role ORDER BY i) AS passage FROM starts),
+kept AS (SELECT * FROM runs WHERE s <> ''),
+whole AS (
+  SELECT conv_id, turn, role, level, passage, string_agg(s, ' ' ORDER BY i) AS s FROM kept GROUP BY ALL),
+units AS (
+  SELECT conv_id, turn, level, passage, true AS whole, s FROM whole
+  UNION ALL SELECT conv_id, turn, level, passage, false, s FROM kept),
+cited AS (
+  SELECT u.conv_id, u.turn, u.level, u.passage, u.whole, u.s, max(h.turn) AS parent
+  FROM units u JOIN (SELECT DISTINCT conv_id, turn, s FROM units WHERE level = 0) h
+    ON u.conv_id = h.conv_id AND u.s = h.s AND h.turn < u.turn
+  WHERE u.level > 0 GROUP BY ALL),
+used AS (
+  SELECT c.*, (SELECT count(*) FROM kept k WHERE k.conv_id = c.conv_id AND k.turn = c.turn AND k.level = c.level
+                 AND k.passage = c.passage AND k.s = c.s) AS times
+  FROM cited c WHERE whole OR NOT EXISTS (
+    SELECT 1 FROM cited w WHERE w.whole AND w.conv_id = c.conv_id AND w.turn = c.turn AND w.level = c.level AND w.passage = c.passage)),
+scored AS (
+  SELECT conv_id, turn, level, parent, sum(length(s) * CASE WHEN whole THEN 1 ELSE times END) AS n FROM used GROUP BY ALL),
+link AS (
+  SELECT conv_id, turn, parent FROM scored
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, parent DESC) = 1),
+t AS (SELECT own.*, link.parent FROM own LEFT JOIN link USING (conv_id, turn)),
+chain AS (
+  SELECT conv_id, turn, parent, turn AS root, 0::BIGINT AS depth FROM t WHERE parent IS NULL
+  UNION
+  SELECT t.conv_id, t.turn, t.parent, c.root, c.depth + 1 FROM t JOIN chain c ON t.conv_id = c.conv_id AND t.parent = c.turn)
+SELECT t.conv_id, c.root, c.depth, t.turn, t.parent, t.role, md5(t.text) AS text_md5
+FROM t JOIN (SELECT DISTINCT conv_id, turn, root, depth FROM chain) c ON t.conv_id = c.conv_id AND t.turn = c.turn"""
