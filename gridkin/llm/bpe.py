@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridkin.operators.storage import write_and_read
 from gridkin.llm.common import free_name, map_arrow, ragged_gather, text_or_empty
 from gridkin.llm.lexicon import Lexicon, write_lexicon
 
@@ -258,19 +259,37 @@ def word_counts(docs: DataFrame, text_col: str = "text", path: str | None = None
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, n_words: int) -> DataFrame:
+    """``(word)``: about ``n_words`` of the most frequent ones, without a sort.
+
+    A histogram of the counts, in steps of a tenth, tells the step in which the last of these words lies; all
+    words above it are taken, and of that step those whose hash falls into the share that is wanted.
+    """
+    rows = counts.where(F.octet_length("word").between(1, LEXICON_BYTES))
+    rows = write_and_read(rows.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 7).cast("int")), "word-counts")
+    # At most 63 * 7 steps.
+    steps = sorted(map(tuple, rows.groupBy("step").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    seen, last, share = 0, None, 1.0
+    for step, k in steps:
+        last = step
+        if seen + k >= n_words:
+            share = (n_words - seen) / k
+            break
+        seen += k
+    if last is None:
+        return rows.select("word")
+    part = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return rows.where((F.col("step") > last) | ((F.col("step") == last) & part)).select("word")
+
+
 def ship_lexicon(counts: DataFrame, n_words: int = LEXICON_WORDS, path: str | None = None) -> str:
     """Compile the most frequent words and send the file to all executors; returns its name there.
 
-    At most ``n_words`` words of at most ``LEXICON_BYTES`` bytes: a few MB whatever the corpus.
+    About ``n_words`` words of at most ``LEXICON_BYTES`` bytes reach the driver: a few MB whatever the corpus.
     """
     vocab = vocabulary(path or public_tokenizers.path(VOCABULARY))
-    top = (
-        counts.where(F.octet_length("word").between(1, LEXICON_BYTES))
-        .orderBy(F.desc("n"), "word")
-        .limit(n_words)
-        .collect()
-    )
-    entries = {r["word"].encode(): vocab.merge(r["word"].encode()) for r in top if r["word"] not in vocab.specials}
+    words = [r["word"] for r in frequent_words(counts, n_words).collect()]
+    entries = {w.encode(): vocab.merge(w.encode()) for w in words if w not in vocab.specials}
     file = Path(tempfile.mkdtemp(prefix="gridkin-lexicon-")) / f"lexicon-{uuid.uuid4().hex}.bin"
     write_lexicon(file, entries)
     counts.sparkSession.sparkContext.addFile(str(file))
@@ -352,7 +371,12 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str, lexicon: str | None)
 
 
 def round_trip_digests(docs: DataFrame, lexicon: str | None, path: str | None = None) -> DataFrame:
-    """Encode and decode every text and keep the digests only: ids joined by blanks, and decoded text."""
+    """Encode and decode every text and keep the digests only: ids joined by blanks, and decoded text.
+
+    ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, one row per document.  A null text counts as empty and has
+    no ids; texts of any length are encoded whole; repeated rows are encoded each; a null doc_id stays null; an
+    empty table gives no rows; other columns are ignored, whatever their names.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     return map_arrow(
