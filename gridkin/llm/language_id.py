@@ -343,7 +343,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, one row per document; only the text is looked at.
 
     A null text, one without any letter, and every text under a model without languages is ``und`` with
-    score 0.  Repeated rows are predicted each; a null doc_id stays null.
+    score 0.  Of languages with equal scores the first by code point is taken.  Texts of any length are scored
+    whole; repeated rows are predicted each; a null doc_id stays null; an empty table gives no rows.
     """
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), text_or_empty("text").alias("text")

@@ -222,7 +222,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per document, from its whole text alone.
 
-    A null text is scored as an empty one; repeated rows are scored each; a null doc_id stays null.
+    A null text is scored as an empty one; texts of any length are scored over all their passages; repeated rows
+    are scored each; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), text_or_empty("text").alias("text")

@@ -301,7 +301,8 @@ def verdict(stats: Column, rules: Sequence[Rule]) -> Column:
 def quality(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``(doc_id, statistics, base_failed, kept)``: one row per document, repeated rows included.
 
-    A null or empty text has no words and fails; a null doc_id stays null; other columns are ignored.
+    A null or empty text has no words and fails; texts of any length are taken whole; a null doc_id stays null; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_stats(F.col("text")).alias("s"))
     return rows.select(
