@@ -74,7 +74,7 @@ def test_row_and_long_forms_match_definition(spark, family):
     assert sig_of(signatures(long.union(long).repartition(3), family)) == expected
 
 
-@pytest.mark.parametrize("family", [FAMILIES[0], FAMILIES[3]], ids=[NAMES[0], NAMES[3]])
+@pytest.mark.parametrize("family", [FAMILIES[0], FAMILIES[3], TTFamily(8, 0, SHAPE, 3, "md5"), LibraryFamily(16)])
 def test_join_form_matches_kernel(spark, family):
     rows = as_rows(spark, random_sets(4, 0.02))
     assert sig_of(signatures_by_join(exploded(rows), family)) == sig_of(signatures(rows, family))
