@@ -59,12 +59,3 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_rows(stored: DataFrame, per_task: int = 20_000) -> DataFrame:
-    """Cut a stored table of small rows into tasks by row count.
-
-    Splits by bytes would give a few tasks millions of rows that each cost much work later on.
-    """
-    tasks = -(-stored.count() // per_task)
-    return stored.repartition(max(tasks, stored.sparkSession.sparkContext.defaultParallelism))
