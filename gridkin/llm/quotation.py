@@ -178,9 +178,11 @@ def conversations(messages: DataFrame) -> DataFrame:
     replies = linked(messages)
     links = replies.where(F.col("parent").isNotNull()).select("conv_id", "turn", "parent").distinct()
     up = links.select("conv_id", "turn", F.col("parent").alias("to"), F.lit(1).cast("long").alias("steps"))
+    done = None
     while True:
-        far = up.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        up = write_and_read(
+        known = up if done is None else up.unionByName(done)
+        far = known.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        jumped = write_and_read(
             up.join(far, ["conv_id", "to"], "left").select(
                 "conv_id",
                 "turn",
@@ -190,10 +192,13 @@ def conversations(messages: DataFrame) -> DataFrame:
             ),
             "chains",
         )
-        if up.where("moved").limit(1).count() == 0:
+        # Only messages that have not come to the beginning of their chain go on.
+        ended = jumped.where(~F.col("moved")).drop("moved")
+        done = ended if done is None else done.unionByName(ended)
+        up = jumped.where("moved").drop("moved")
+        if up.limit(1).count() == 0:
             break
-        up = up.drop("moved")
-    ends = up.select("conv_id", "turn", F.col("to").alias("root"), F.col("steps").alias("depth"))
+    ends = done.select("conv_id", "turn", F.col("to").alias("root"), F.col("steps").alias("depth"))
     return replies.join(ends, ["conv_id", "turn"], "left").select(
         "conv_id",
         F.coalesce("root", "turn").alias("root"),
