@@ -26,7 +26,6 @@ from gridkin.sources.tables import document_sets  # noqa: E402
 
 HEADLINE = (
     "near_duplicates",
-    "near_duplicates_default",
     "lsh_candidates",
     "exact_jaccard",
     "all_pairs_threshold",
@@ -36,8 +35,6 @@ HEADLINE = (
     "count_windows",
     "halves_jaccard",
     "poly_hash_cells",
-    "fasta_pieces",
-    "merged_sketches",
     "accuracy_by_scope",
     "pair_report",
     "recent_points",
