@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridkin.operators.storage import write_and_read
-from gridkin.llm.common import free_name, map_arrow, ragged_gather, text_or_empty
+from gridkin.llm.common import free_name, in_slices, map_arrow, ragged_gather, stored_in_small_batches, text_or_empty
 from gridkin.llm.lexicon import Lexicon, write_lexicon
 
 VOCABULARY = "word_bpe_49k.json"
@@ -240,7 +239,128 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     def rows() -> pa.RecordBatch:
         return pa.record_batch({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    for batch in batches:
+    for batch in in_slices(batches, 1024, 0):
+        for part in _chunks(batch[0].to_pylist()):
+            for text in part:
+                counts.update(vocab.cut(text))
+            if len(counts) > 2 * REMEMBERED:
+                yield rows()
+                counts.clear()
+    if counts:
+        yield rows()
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``(word, n)`` over all texts, as the vocabulary cuts them; null counts as empty."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    texts = docs.select(text_or_empty(text_col).alias("text"))
+    partial = map_arrow(texts, lambda b: _counted(b, path), "word string, n long")
+    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, n_words: int) -> DataFrame:
+    """``(word)``: about ``n_words`` of the most frequent ones, without a sort.
+
+    A histogram of the counts, in steps of a tenth, tells the step in which the last of these words lies; all
+    words above it are taken, and of that step those whose hash falls into the share that is wanted.
+    """
+    rows = counts.where(F.octet_length("word").between(1, LEXICON_BYTES))
+    rows = stored_in_small_batches(rows.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 7).cast("int")), "word-counts")
+    # At most 63 * 7 steps.
+    steps = sorted(map(tuple, rows.groupBy("step").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    seen, last, share = 0, None, 1.0
+    for step, k in steps:
+        last = step
+        if seen + k >= n_words:
+            share = (n_words - seen) / k
+            break
+        seen += k
+    if last is None:
+        return rows.select("word")
+    part = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return rows.where((F.col("step") > last) | ((F.col("step") == last) & part)).select("word")
+
+
+def ship_lexicon(counts: DataFrame, n_words: int = LEXICON_WORDS, path: str | None = None) -> str:
+    """Compile the most frequent words and send the file to all executors; returns its name there.
+
+    About ``n_words`` words of at most ``LEXICON_BYTES`` bytes reach the driver: a few MB whatever the corpus.
+    """
+    vocab = vocabulary(path or public_tokenizers.path(VOCABULARY))
+    words = [r["word"] for r in frequent_words(counts, n_words).collect()]
+    entries = {w.encode(): vocab.merge(w.encode()) for w in words if w not in vocab.specials}
+    file = Path(tempfile.mkdtemp(prefix="gridkin-lexicon-")) / f"lexicon-{uuid.uuid4().hex}.bin"
+    write_lexicon(file, entries)
+    counts.sparkSession.sparkContext.addFile(str(file))
+    return file.name
+
+
+_encoders: dict[tuple[str, str | None], Encoder] = {}
+
+
+def _encoder(path: str, lexicon: str | None) -> Encoder:
+    """The latest one stays in the process, with the words it remembers."""
+    if (path, lexicon) not in _encoders:
+        _encoders.clear()
+        opened = Lexicon(SparkFiles.get(lexicon)) if lexicon else None
+        _encoders[path, lexicon] = Encoder(vocabulary(path), opened)
+    return _encoders[path, lexicon]
+
+
+def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's end (one more edge than texts)."""
+        cut = [self.vocab.cut(t) for t in texts]
+        words = [w for c in cut for w in c]
+        if len(self._code) > REMEMBERED:
+            self._forget()
+        if new := set(words).difference(self._code):
+            self._learn(sorted(new))
+        codes = np.fromiter(map(self._code.__getitem__, words), np.int64, len(words))
+        ids, ends = ragged_gather(self._ids, self._starts[codes], self._lengths[codes])
+        per_text = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+        return ids, np.concatenate([[0], ends]).astype(np.int64)[per_text]
+
+
+def decoded(vocab: Vocabulary, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Tokens joined by a blank, as the library does for a vocabulary without a decoder.
+
+    Ids that the vocabulary does not have are left out.
+    """
+    return _joined(vocab, vocab.pieces, ids, edges)
+
+
+def _joined(vocab: Vocabulary, parts: tuple, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    good = (ids >= 0) & (ids < len(vocab.known))
+    good[good] = vocab.known[ids[good]]
+    edges = np.concatenate([[0], np.cumsum(good)])[edges]
+    ids = ids[good]
+    flat, starts, lengths = parts
+    out, ends = ragged_gather(flat, starts[ids], lengths[ids])
+    at = np.concatenate([[0], ends])[edges]
+    raw = out.tobytes()
+    return [raw[a : b - 1] if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of whole texts of about ``CHUNK`` characters; a longer text is a run of its own."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > CHUNK:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
+def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    vocab, counts = vocabulary(path), Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    for batch in in_slices(batches, 1024, 0):
         for part in _chunks(batch[0].to_pylist()):
             for text in part:
                 counts.update(vocab.cut(text))
@@ -266,7 +386,7 @@ def frequent_words(counts: DataFrame, n_words: int) -> DataFrame:
     words above it are taken, and of that step those whose hash falls into the share that is wanted.
     """
     rows = counts.where(F.octet_length("word").between(1, LEXICON_BYTES))
-    rows = write_and_read(rows.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 7).cast("int")), "word-counts")
+    rows = stored_in_small_batches(rows.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 7).cast("int")), "word-counts")
     # At most 63 * 7 steps.
     steps = sorted(map(tuple, rows.groupBy("step").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     seen, last, share = 0, None, 1.0
@@ -351,7 +471,7 @@ def encode(
 def _digests(batches: Iterator[pa.RecordBatch], path: str, lexicon: str | None) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path, lexicon)
     vocab = encoder.vocab
-    for batch in batches:
+    for batch in in_slices(batches, 1024, 1):
         at = 0
         for part in _chunks(batch[1].to_pylist()):
             ids, edges = encoder.encode(part)
