@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,10 @@ from gridkin.functions.grid import flatten
 from gridkin.functions.hashing import KMER_BASES, PRIME, poly_hash
 from gridkin.functions.text import kmers
 from gridkin.operators.shipping import ship
+from gridkin.operators.storage import BROADCAST_ROWS, write_and_read
+
+# Cells of sequences that are handed on together.
+SLICE_CELLS = 1 << 19
 
 
 def kmer_table(sequences: DataFrame, k: int = 12) -> DataFrame:
@@ -39,14 +45,43 @@ def _windows(text: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(seen[k:] - seen[:-k] == k) if len(text) >= k else np.empty(0, np.int64)
 
 
+def _folded(value: np.ndarray) -> np.ndarray:
+    """Remainders modulo 2^31-1 of numbers below 2^62 + 2^31, in place, by folding the high bits twice."""
+    for _ in range(2):
+        high = value >> 31
+        value &= PRIME
+        value += high
+    value[value == PRIME] = 0
+    return value
+
+
+def _window_hashes(letters: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Polynomial hash of every k letters in a row: runs of 1, 2, 4, ... letters are put together."""
+    run, size, out, done = letters, 1, None, 0
+    while True:
+        if k & size:
+            # What is done lies before the run.
+            if out is None:
+                out = run
+            else:
+                n = len(letters) - done - size + 1
+                out = _folded(out[:n] * pow(base, size, PRIME) + run[done : done + n])
+            done += size
+        if done == k:
+            return out
+        n = len(letters) - 2 * size + 1
+        run = _folded(run[:n] * pow(base, size, PRIME) + run[size : size + n])
+        size *= 2
+
+
 def _cells_of(text: np.ndarray, k: int, shape: Sequence[int]) -> np.ndarray:
     starts = _windows(text, k)
+    if not len(starts):
+        return np.empty(0, np.int64)
+    letters = text.astype(np.int64)
     cell = np.zeros(len(starts), np.int64)
     for base, n in zip(KMER_BASES, shape, strict=True):
-        h = np.zeros(len(starts), np.int64)
-        for step in range(k):
-            h = (h * base + text[starts + step]) % PRIME
-        cell = cell * n + h % n
+        cell = cell * n + _window_hashes(letters, k, base)[starts] % n
     return np.unique(cell)
 
 
@@ -64,16 +99,20 @@ def sequence_sets(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            found = [
-                _cells_of(np.frombuffer(t.as_py() or b"", np.uint8), k, shape) for t in texts
-            ]
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, batch.column(2)], names=["set_id", "cells", "n_letters"]
-            )
+            texts, start, found, held = batch.column(1).cast(pa.large_binary()), 0, [], 0
+            for end, text in enumerate(texts, 1):
+                found.append(_cells_of(np.frombuffer(text.as_py() or b"", np.uint8), k, shape))
+                held += len(found[-1])
+                # A batch may hold very many letters; what is found in it goes on in slices.
+                if held < SLICE_CELLS and end < len(texts):
+                    continue
+                offsets = np.concatenate([[0], np.cumsum([len(c) for c in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), lists, part.column(2)], names=["set_id", "cells", "n_letters"]
+                )
+                start, found, held = end, [], 0
 
     rows = sequences.select("seq_id", "seq", F.length("seq").alias("n_letters"))
     return rows.mapInArrow(run, f"set_id {id_type}, cells array<bigint>, n_letters int")
@@ -131,11 +170,12 @@ def piece_seams(pieces: DataFrame, k: int, key: Sequence[str] = ("file", "record
 
 
 def _from_pieces(pieces: DataFrame, k: int, key: Sequence[str], values, value_type: pa.DataType, column: str) -> DataFrame:
-    """Distinct ``(*key, column)`` of what ``values`` finds in the letters of pieces and seams."""
+    """Distinct ``(*key, column)`` of what ``values`` finds in the letters of pieces and seams.
+
+    What ``values`` finds in one piece is distinct, so a sequence that lies in one piece, and so has no seam, is
+    not shuffled; only what sequences of several pieces hold is compared among these.
+    """
     ship(pieces.sparkSession)
-    whole = pieces.select(*key, "seq")
-    if k > 1:
-        whole = whole.unionByName(piece_seams(pieces, k, key))
     fields = [pieces.schema[c] for c in key]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
@@ -148,7 +188,20 @@ def _from_pieces(pieces: DataFrame, k: int, key: Sequence[str], values, value_ty
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(found, value_type)], names=[*key, column])
 
     kind = "string" if pa.types.is_string(value_type) else "bigint"
-    return whole.mapInArrow(run, f"{schema}, {column} {kind}").distinct()
+    schema = f"{schema}, {column} {kind}"
+    whole = pieces.select(*key, "seq")
+    if k == 1:
+        return whole.mapInArrow(run, schema).distinct()
+    seams = write_and_read(piece_seams(pieces, k, key), "piece-seams")
+    several = write_and_read(seams.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct(), "in-pieces")
+    side = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    joined = whole.join(side, same, "left_semi").unionByName(seams)
+    return (
+        whole.join(side, same, "left_anti")
+        .mapInArrow(run, schema)
+        .unionByName(joined.mapInArrow(run, schema).distinct())
+    )
 
 
 def piece_kmers(pieces: DataFrame, k: int = 12, key: Sequence[str] = ("file", "record")) -> DataFrame:
