@@ -52,8 +52,12 @@ def _customer_sequences(spark, sf):
 def _kmer_summary():
     """How many, the first, the last, and a sum over all of them that no other set of k-mers is likely to have."""
     number = F.conv(F.substring(F.md5("kmer"), 1, 10), 16, 10).cast("long")
+    # Numbers to the base of four are in the order of the letters; unlike strings they are aggregated in place,
+    # without a sort of all k-mers.
+    place = F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long")
+    kmer = lambda n: F.translate(F.lpad(F.conv(n.cast("string"), 10, 4), K, "0"), "0123", "ACGT")
     return [
-        F.count(F.lit(1)).alias("n_kmers"), F.min("kmer").alias("first"), F.max("kmer").alias("last"),
+        F.count(F.lit(1)).alias("n_kmers"), kmer(F.min(place)).alias("first"), kmer(F.max(place)).alias("last"),
         F.sum(number).alias("digest"),
     ]
 
