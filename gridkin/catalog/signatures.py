@@ -52,12 +52,12 @@ def classic_linear(spark, sf):
 
 def classic_planes_native(spark, sf):
     """Built-in expressions only: winning rank and cell of each plane."""
-    return plane_minima(src.supplier_sets(spark, sf), ClassicFamily(K))
+    return plane_minima(src.supplier_rows(spark, sf), ClassicFamily(K))
 
 
 def family_parameters(spark, sf):
     """Coefficients of the planes that actually decide some supplier's signature."""
-    best = plane_minima(src.supplier_sets(spark, sf), ClassicFamily(8))
+    best = plane_minima(src.supplier_rows(spark, sf), ClassicFamily(8))
     wins = best.groupBy("plane").agg(F.count_distinct("cell").alias("n_winners"))
     return classic_planes(spark, 8, 42).join(wins, "plane")
 
