@@ -17,6 +17,7 @@ from gridkin.operators import kernels
 from gridkin.operators.cells import exploded
 from gridkin.operators.families import Family
 from gridkin.operators.shipping import ship
+from gridkin.operators.signatures import thinned_rows
 
 _BEST = "ranks array<double>, cells array<bigint>"
 
@@ -35,12 +36,18 @@ def pane_sketches(rows: DataFrame, family: Family) -> DataFrame:
 
 
 def sketches(sets: DataFrame, family: Family) -> DataFrame:
-    """``(set_id, params_id, ranks, cells)`` of long or row sets; several rows a set, to be ``merged``.
+    """``(set_id, params_id, ranks, cells)`` of long or row sets, one row a set, to be ``merged`` with others.
 
-    Repeated cells do not matter.  An empty set has no row.
+    Repeated cells do not matter.  An empty set has no row.  A set of which a task holds few cells moves as these
+    cells: a sketch for each would be larger than what it stands for.
     """
-    rows = exploded(sets).select("set_id", F.lit(0).cast("long").alias("pane"), F.lit(0).cast("long").alias("at"), "cell")
-    return pane_sketches(rows, family).select("set_id", F.lit(family.params_id).alias("params_id"), "ranks", "cells")
+    ship(sets.sparkSession)
+    shared = sets.sparkSession.sparkContext.broadcast(family.kernel())
+    kind = sets.schema["set_id"].dataType.simpleString()
+    whole = thinned_rows(exploded(sets), shared).mapInArrow(
+        lambda batches: kernels.finish_sketches(shared.value, batches), f"set_id {kind}, {_BEST}"
+    )
+    return whole.select("set_id", F.lit(family.params_id).alias("params_id"), "ranks", "cells")
 
 
 def merged(parts: DataFrame) -> DataFrame:
