@@ -11,6 +11,7 @@ from gridkin.functions.grid import flatten, unflatten
 from gridkin.operators import cells as ops
 from gridkin.operators.overlap import shared_cells
 from gridkin.operators.projection import project_sets, project_vectors
+from gridkin.plans.duplicates import copies
 from gridkin.plans.sizing import sketch_sizing
 from gridkin.sources.tables import with_default_ids
 
@@ -63,7 +64,7 @@ def active_cells(spark, sf):
 
 def perturb_sets(spark, sf):
     """Customer baskets with urgent orders' suppliers added and returned parts dropped."""
-    base = src.customer_baskets(spark, sf)
+    base = src.customer_rows(spark, sf)
     lines = src.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"
     )
@@ -89,8 +90,7 @@ def set_overlap(spark, sf):
 
 def copy_groups(spark, sf):
     """Documents of equal shingle content under their lowest id."""
-    keys = ops.content_keys(src.text_sets(spark, sf)).where(F.col("n_cells") > 0)
-    return ops.copy_groups(keys)
+    return copies(src.text_sets(spark, sf))
 
 
 def sizing_report(spark, sf):
