@@ -79,6 +79,19 @@ def library_hashes(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return out.select("set_id", F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("long")).alias("hashes"))
 
 
+def _alike_in_size(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose sizes allow the threshold: no similarity is above the ratio of the two sizes.
+
+    One shared hash is far from the threshold, so most pairs go before any set is sent to be compared.
+    """
+    n = F.size("cells")
+    sizes = write_and_read(sets.groupBy("set_id").agg(F.min(n).alias("lo"), F.max(n).alias("hi")), "set-sizes")
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("set_id").alias(end), F.struct("lo", "hi").alias(f"_{end}")), end)
+    fits = F.least("_a.hi", "_b.hi") / F.greatest("_a.lo", "_b.lo") >= threshold
+    return pairs.where(fits).drop("_a", "_b")
+
+
 def library_pairs(sets: DataFrame, threshold: float, tables: int = 8, seed: int = 42) -> DataFrame:
     """``(a, b, exact)``, a < b, of the pairs that share one of the library's hashes and reach the threshold.
 
@@ -87,5 +100,6 @@ def library_pairs(sets: DataFrame, threshold: float, tables: int = 8, seed: int
     family = LibraryFamily(tables, seed)
     sigs = write_and_read(signatures(sets, family), "signatures")
     # An estimate of 1 / tables is one shared hash.
-    found = write_and_read(similar_pairs(sigs, even_bands(tables, tables), tables, 1 / tables), "library-pairs")
+    found = similar_pairs(sigs, even_bands(tables, tables), tables, 1 / tables)
+    found = write_and_read(_alike_in_size(found, sets, threshold), "library-pairs")
     return exact_jaccard(found.select("a", "b"), sets).where(F.col("exact") >= threshold).select("a", "b", "exact")
