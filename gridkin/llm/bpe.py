@@ -430,7 +430,7 @@ def _encoder(path: str, lexicon: str | None) -> Encoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, lexicon: str | None) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path, lexicon)
-    for batch in batches:
+    for batch in in_slices(batches, 1024, -1):
         at = 0
         for part in _chunks(batch[-1].to_pylist()):
             ids, edges = encoder.encode(part)

@@ -174,3 +174,21 @@ def test_pairs_of_unlike_sizes_are_not_compared(spark, rows):
     sets = spark.createDataFrame([(1, [1] * 7), (2, [1] * 10), (3, [1] * 11)], "set_id long, cells array<long>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     assert rows(_alike_in_size(pairs, sets, 0.7).select("a", "b")) == [(1, 2), (2, 3)]
+
+
+def test_texts_go_to_the_encoder_in_slices(spark, monkeypatch):
+    """Pipeline, encode."""
+    import pyarrow as pa
+    from gridkin.llm import bpe
+
+    seen = []
+
+    class Counting:
+        def encode(self, texts):
+            seen.append(len(texts))
+            return [], [0] * (len(texts) + 1)
+
+    monkeypatch.setattr(bpe, "_encoder", lambda path, lexicon: Counting())
+    batch = pa.record_batch({"doc_id": pa.array(range(3000)), "text": pa.array(["a b"] * 3000)})
+    out = list(bpe._encoded(iter([batch]), "", None))
+    assert max(seen) <= 1024 and sum(b.num_rows for b in out) == 3000
