@@ -271,3 +271,24 @@ def test_library_join_is_exact(spark):
     sets = {0: range(100), 1: range(5, 100), 2: range(500, 600)}
     found = library_pairs(as_rows(spark, sets), 0.5).collect()
     assert [(r.a, r.b, round(r.exact, 4)) for r in found] == [(0, 1, 0.95)]
+
+
+def _crowd(spark):
+    """100 signatures of 64 planes that agree in plane 0 alone, and a copy of the first."""
+    rows = [(i, "p", [7] + [1000 * i + j for j in range(1, 64)]) for i in range(100)]
+    return spark.createDataFrame([*rows, (100, "p", rows[0][2])], "set_id long, params_id string, sig array<long>")
+
+
+def test_signatures_are_never_broadcast_to_join_them(spark):
+    pairs = spark.createDataFrame([(0, 100)], "a long, b long")
+    out = banding.estimated_pairs(pairs, _crowd(spark), 0.25)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(0, 100, 1.0)]
+
+
+def test_exhaustive_buckets_leave_only_pairs_that_may_qualify(spark):
+    sigs = _crowd(spark)
+    bands = banding.complete_bands(64, 0.25)
+    found = banding._sharing_pairs(sigs, bands, 64, 0.25, None, screened=True)
+    assert [tuple(r) for r in found.collect()] == [(0, 100)]
+    assert [tuple(r) for r in banding.exhaustive_pairs(sigs, 64, 0.25).collect()] == [(0, 100, 1.0)]
