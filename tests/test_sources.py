@@ -6,6 +6,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from gridkin.operators import filters
+from gridkin.operators import runs as ops
 from gridkin.operators.families import ClassicFamily, KronFamily
 from gridkin.operators.runs import final_results, last_progress, telemetry_points
 from gridkin.operators.sequences import kmer_cell, kmer_table, sequence_kmers, sequence_profile, sequence_sets
@@ -171,3 +173,22 @@ def test_flow_files_are_read_by_name(spark, tmp_path):
     got = sorted((r.src_ip_raw, r.dst_ip_raw, r.port, r.label, r.Extra) for r in flows.collect())
     assert got == [("1.1.1.1", "2.2.2.2", 80, "unknown", None), ("3.3.3.3", "4.4.4.4", 443, "bad", "x"),
                    ("5.5.5.5", "6.6.6.6", 22, "unknown", None)]
+
+
+def test_runs_are_sorted_for_their_directories_in_small_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filters, "TASK_ROWS", 100)
+    runs = spark.range(1000).coalesce(1).select(F.lit("m").alias("algo"), F.col("id").alias("timestamp"))
+    run_files.write_run_metrics(runs, str(tmp_path / "runs"))
+    assert len(list((tmp_path / "runs").rglob("*.json"))) == 10
+    assert run_files.read_run_table(spark, str(tmp_path / "runs")).select("timestamp").distinct().count() == 1000
+
+
+def test_large_leaderboard_is_ranked_in_small_tasks_and_joined_without_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(filters, "TASK_ROWS", 100)
+    monkeypatch.setattr(ops, "HASHED_FROM", 100)
+    runs = spark.range(1000).select((F.col("id") % 20).alias("race"), F.col("id").alias("run"), F.lit(1.0).alias("s"))
+    out = ops.leaderboard(runs, ["race"], "run", "s")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "REPARTITION_BY_NUM, [plan_id" in plan
+    medals = {r.run: r.medal for r in out.collect()}
+    assert medals == {i: [*ops.MEDALS, ops.OTHER_RANK][min(i // 20, 3)] for i in range(1000)}
