@@ -12,6 +12,7 @@ from gridkin.operators.families import ClassicFamily
 from gridkin.operators.library import library_pairs
 from gridkin.operators.overlap import anchor_estimate, anchor_overlap, exact_jaccard, shared_cells
 from gridkin.operators.signatures import signatures
+from gridkin.plans import duplicates
 from gridkin.plans.duplicates import (
     all_similar_pairs,
     copies,
@@ -292,3 +293,11 @@ def test_exhaustive_buckets_leave_only_pairs_that_may_qualify(spark):
     found = banding._sharing_pairs(sigs, bands, 64, 0.25, None, screened=True)
     assert [tuple(r) for r in found.collect()] == [(0, 100)]
     assert [tuple(r) for r in banding.exhaustive_pairs(sigs, 64, 0.25).collect()] == [(0, 100, 1.0)]
+
+
+def test_hashed_sets_are_not_made_again(spark, rows, monkeypatch):
+    sets = as_rows(spark, families_of_sets())
+    hashed = duplicates.hashed_sets(sets, ClassicFamily(64))
+    want = rows(near_duplicate_pairs(sets, 0.5, family=ClassicFamily(64), bands=16))
+    monkeypatch.setattr(duplicates, "hashed_sets", None)
+    assert rows(near_duplicate_pairs(sets, 0.5, family=ClassicFamily(64), bands=16, hashed=hashed)) == want
