@@ -307,3 +307,15 @@ def test_vector_projection_at_both_sizes(spark, limit, monkeypatch):
         wrong = spark.createDataFrame([(1, bad)], "id long, v array<double>")
         with pytest.raises(Exception, match="must have 3 components"):
             projection.project_vectors(wrong, "id", "v", 3, k=2).collect()
+
+
+def test_classic_ranks_are_the_residues_in_half_the_width():
+    kernel = ClassicFamily(20).kernel()
+    kernel.prepare()
+    cells = np.array([0, 1, 2**31 - 2, 2**31 - 1, 2**31, 2**60 - 1, 2**62, -1, -(2**40)])
+    ranks = kernel.ranks(cells)
+    assert ranks.dtype == np.uint32
+    p = 2**31 - 1
+    mixed = [((c % p + (c // p) % p * 1664525 + 1013904223) % p) ** 5 % p for c in cells.tolist()]
+    want = [[(a * x + b) % p for x in mixed] for a, b in zip(kernel.a.tolist(), kernel.b.tolist(), strict=True)]
+    assert ranks.tolist() == want
