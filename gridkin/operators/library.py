@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridkin.functions.hashing import premix
 from gridkin.operators.banding import even_bands, similar_pairs
-from gridkin.operators.families import ClassicFamily, _ClassicKernel
+from gridkin.operators.families import BLOCK_PLANES, ClassicFamily, _ClassicKernel
 from gridkin.operators.overlap import exact_jaccard
 from gridkin.operators.signatures import signatures
 from gridkin.operators.storage import write_and_read
@@ -65,11 +65,16 @@ class _LibraryKernel(_ClassicKernel):
             cells = self._mix(cells)
         elif len(cells) and int(cells.max()) >= LIBRARY_PRIME:
             raise ValueError("cell id beyond the prime of the library; use mixed=True")
-        value = self._value[:, : len(cells)]
-        np.multiply(self.a[:, None], cells[None, :] + 1, out=value)
-        value += self.b[:, None]
-        np.remainder(value, LIBRARY_PRIME, out=value)
-        return value
+        cells = cells + 1
+        out = self._rank[:, : len(cells)]
+        for lo in range(0, self.k, BLOCK_PLANES):
+            rank = out[lo : lo + BLOCK_PLANES]
+            value = self._value[: len(rank), : len(cells)]
+            np.multiply(self.a[lo : lo + BLOCK_PLANES, None], cells[None, :], out=value)
+            value += self.b[lo : lo + BLOCK_PLANES, None]
+            np.remainder(value, LIBRARY_PRIME, out=value)
+            np.copyto(rank, value, casting="unsafe")
+        return out
 
 
 def library_hashes(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:

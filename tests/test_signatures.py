@@ -246,6 +246,16 @@ def test_library_baseline(spark):
     assert sig_of(signatures(exploded(rows), LibraryFamily(64))) == {i: s for i, s in sigs.items() if i < 3}
 
 
+def test_library_ranks_of_many_planes():
+    """More planes than are ranked together, their number not a multiple of these."""
+    family, cells = LibraryFamily(40, mixed=False), np.array([0, 1, 7, 2038074742, 1 << 30], np.int64)
+    kernel = family.kernel()
+    kernel.prepare()
+    a, b = family.coefficients
+    expected = [[((1 + int(x)) * int(m) + int(n)) % 2038074743 for x in cells] for m, n in zip(a, b, strict=True)]
+    assert kernel.ranks(cells).tolist() == expected
+
+
 @pytest.mark.parametrize("seed", [42, 0, -7, 123456789012])
 def test_library_family_equals_the_library(spark, seed):
     from pyspark.ml.linalg import Vectors
