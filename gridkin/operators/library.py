@@ -22,6 +22,7 @@ from gridkin.operators.families import BLOCK_PLANES, ClassicFamily, _ClassicKern
 from gridkin.operators.overlap import exact_jaccard
 from gridkin.operators.signatures import signatures
 from gridkin.operators.storage import write_and_read
+from gridkin.operators.threshold_join import may_reach
 
 # The library's prime, and the steps of the generator that it draws from.
 LIBRARY_PRIME = 2038074743
@@ -87,7 +88,7 @@ def library_hashes(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
 def _alike_in_size(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes allow the threshold: no similarity is above the ratio of the two sizes.
 
-    One shared hash is far from the threshold, so most pairs go before any set is sent to be compared.
+    One shared hash is far from the threshold, so such pairs go before any set is sent to be compared.
     """
     n = F.size("cells")
     sizes = write_and_read(sets.groupBy("set_id").agg(F.min(n).alias("lo"), F.max(n).alias("hi")), "set-sizes")
@@ -100,11 +101,13 @@ def _alike_in_size(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataF
 def library_pairs(sets: DataFrame, threshold: float, tables: int = 8, seed: int = 42) -> DataFrame:
     """``(a, b, exact)``, a < b, of the pairs that share one of the library's hashes and reach the threshold.
 
-    Hand it row sets of distinct content without the empty ones.
+    Hand it row sets of distinct content without the empty ones.  Pairs that share a hash grow with the square of a
+    bucket, so those that can reach the threshold are found first, and of them those that share one.
     """
     family = LibraryFamily(tables, seed)
     sigs = write_and_read(signatures(sets, family), "signatures")
     # An estimate of 1 / tables is one shared hash.
-    found = similar_pairs(sigs, even_bands(tables, tables), tables, 1 / tables)
+    among = write_and_read(may_reach(sets, threshold), "near-pairs") if threshold > 0 else None
+    found = similar_pairs(sigs, even_bands(tables, tables), tables, 1 / tables, among=among)
     found = write_and_read(_alike_in_size(found, sets, threshold), "library-pairs")
     return exact_jaccard(found.select("a", "b"), sets).where(F.col("exact") >= threshold).select("a", "b", "exact")
