@@ -107,7 +107,7 @@ def library_pairs(sets: DataFrame, threshold: float, tables: int = 8, seed: int
     family = LibraryFamily(tables, seed)
     sigs = write_and_read(signatures(sets, family), "signatures")
     # An estimate of 1 / tables is one shared hash.
-    among = write_and_read(may_reach(sets, threshold), "near-pairs") if threshold > 0 else None
+    among = write_and_read(may_reach(sets, threshold, images=False), "near-pairs") if threshold > 0 else None
     found = similar_pairs(sigs, even_bands(tables, tables), tables, 1 / tables, among=among)
     found = write_and_read(_alike_in_size(found, sets, threshold), "library-pairs")
     return exact_jaccard(found.select("a", "b"), sets).where(F.col("exact") >= threshold).select("a", "b", "exact")
