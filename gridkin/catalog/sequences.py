@@ -24,7 +24,7 @@ from gridkin.operators.sequences import (
     sequence_profile,
     sequence_sets,
 )
-from gridkin.operators.storage import scratch_path
+from gridkin.operators.storage import scratch_path, write_and_read
 from gridkin.plans.sequences import long_sequence_similarity, sequence_similarity
 from gridkin.sources.fasta import read_fasta, read_fasta_pieces, write_fasta
 
@@ -49,12 +49,12 @@ def _customer_sequences(spark, sf):
     return customers.select(F.col("c_custkey").alias("seq_id"), text.alias("seq"))
 
 
-def _kmer_summary():
+def _kmer_summary(place=None):
     """How many, the first, the last, and a sum over all of them that no other set of k-mers is likely to have."""
     number = F.conv(F.substring(F.md5("kmer"), 1, 10), 16, 10).cast("long")
     # Numbers to the base of four are in the order of the letters; unlike strings they are aggregated in place,
     # without a sort of all k-mers.
-    place = F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long")
+    place = F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long") if place is None else place
     kmer = lambda n: F.translate(F.lpad(F.conv(n.cast("string"), 10, 4), K, "0"), "0123", "ACGT")
     return [
         F.count(F.lit(1)).alias("n_kmers"), kmer(F.min(place)).alias("first"), kmer(F.max(place)).alias("last"),
@@ -79,10 +79,15 @@ def _fasta_pieces(spark, sf):
 def fasta_pieces(spark, sf):
     """Letters and distinct k-mers of every record of FASTA files that are read in byte ranges."""
     pieces = _fasta_pieces(spark, sf)
-    found = piece_kmers(pieces, K).groupBy("file", "record").agg(*_kmer_summary())
+    # A number for each name of a file, which every k-mer has beside it.
+    names = pieces.select("file").distinct().withColumn("file_no", F.monotonically_increasing_id())
+    names = write_and_read(names, "file-names")
+    named = pieces.join(names, "file")
+    key = ["file_no", "record"]
+    found = piece_kmers(named, K, key, numbered=True).groupBy(*key).agg(*_kmer_summary(F.col("place")))
     return (
-        piece_records(pieces)
-        .join(found, ["file", "record"], "left")
+        piece_records(named, key)
+        .join(found, key, "left")
         .select("header", "n_letters", F.coalesce("n_kmers", F.lit(0)).alias("n_kmers"), "first", "last", "digest")
     )
 

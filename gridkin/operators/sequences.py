@@ -169,55 +169,123 @@ def piece_seams(pieces: DataFrame, k: int, key: Sequence[str] = ("file", "record
     return around.where("right <> ''").select(*key, seam.cast("binary").alias("seq"))
 
 
-def _from_pieces(pieces: DataFrame, k: int, key: Sequence[str], values, value_type: pa.DataType, column: str) -> DataFrame:
-    """Distinct ``(*key, column)`` of what ``values`` finds in the letters of pieces and seams.
+def _from_pieces(pieces: DataFrame, k: int, key: Sequence[str], values, columns, schema: str) -> DataFrame:
+    """Distinct ``(*key, ...)`` of what ``values`` finds in the letters of pieces and seams.
 
-    What ``values`` finds in one piece is distinct, so a sequence that lies in one piece, and so has no seam, is
-    not shuffled; only what sequences of several pieces hold is compared among these.
+    ``columns`` turns what was found in several pieces, which leaves a worker together, into the columns of ``schema``.
+    What ``values`` finds in one piece is distinct, so a sequence that lies in one piece, and so has no seam, is not
+    shuffled; only what sequences of several pieces hold is compared among these.  The key stands beside every value,
+    so it should be short.
     """
     ship(pieces.sparkSession)
     fields = [pieces.schema[c] for c in key]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], schema])
+
+    def handed_on(batch: pa.RecordBatch, rows: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        of = pa.array(np.repeat(rows, [len(x) for x in found]))
+        ids = [batch.column(c).take(of) for c in range(len(key))]
+        made = columns(np.concatenate(found))
+        return pa.RecordBatch.from_arrays([*ids, *made.values()], names=[*key, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, found, held = [], [], 0
             for i, raw in enumerate(batch.column(len(key))):
-                found = values(np.frombuffer(raw.as_buffer(), np.uint8)) if raw.is_valid else ()
-                if len(found):
-                    ids = [pa.repeat(batch.column(c)[i], len(found)) for c in range(len(key))]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(found, value_type)], names=[*key, column])
+                got = values(np.frombuffer(raw.as_buffer(), np.uint8)) if raw.is_valid else ()
+                if len(got):
+                    rows.append(i)
+                    found.append(got)
+                    held += len(got)
+                if held >= HANDED_ON:
+                    yield handed_on(batch, rows, found)
+                    rows, found, held = [], [], 0
+            if held:
+                yield handed_on(batch, rows, found)
+
+    def out(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(run, schema)
 
-    kind = "string" if pa.types.is_string(value_type) else "bigint"
-    schema = f"{schema}, {column} {kind}"
     whole = pieces.select(*key, "seq")
     if k == 1:
-        return whole.mapInArrow(run, schema).distinct()
+        return out(whole).distinct()
     seams = write_and_read(piece_seams(pieces, k, key), "piece-seams")
     several = write_and_read(seams.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct(), "in-pieces")
     side = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
     joined = whole.join(side, same, "left_semi").unionByName(seams)
-    return (
-        whole.join(side, same, "left_anti")
-        .mapInArrow(run, schema)
-        .unionByName(joined.mapInArrow(run, schema).distinct())
-    )
+    return out(whole.join(side, same, "left_anti")).unionByName(out(joined).distinct())
 
 
-def piece_kmers(pieces: DataFrame, k: int = 12, key: Sequence[str] = ("file", "record")) -> DataFrame:
+# Letters of a k-mer that fit a number, and values of pieces that leave a worker together.
+MOST_NUMBERED, HANDED_ON = 31, 1 << 16
+_DIGIT = np.zeros(256, np.uint8)
+_DIGIT[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def _numbers(text: np.ndarray, k: int) -> np.ndarray:
+    """Distinct k-mers as numbers to the base of four, which are in the order of the letters."""
+    starts = _windows(text, k)
+    if not len(starts):
+        return np.empty(0, np.int64)
+    run, size, out, done = _DIGIT[text].astype(np.int32 if k <= 15 else np.int64), 1, None, 0
+    # Runs of 1, 2, 4, ... letters are put together.
+    while True:
+        if k & size:
+            if out is None:
+                out = run
+            else:
+                n = len(text) - done - size + 1
+                out = out[:n] << 2 * size | run[done : done + n]
+            done += size
+        if done == k:
+            break
+        n = len(text) - 2 * size + 1
+        run = run[:n] << 2 * size | run[size : size + n]
+        size *= 2
+    out = np.sort(out[starts])
+    return out[np.r_[True, out[1:] != out[:-1]]].astype(np.int64)
+
+
+def _spelled(numbers: np.ndarray, k: int) -> pa.Array:
+    """The k-mers of numbers as strings."""
+    # Some letters at a time, by a table of all runs of so many.
+    letters = np.empty((len(numbers), k), np.uint8)
+    for lo in range(0, k, 6):
+        n = min(6, k - lo)
+        runs = np.arange(4**n)[:, None] >> 2 * np.arange(n)[::-1] & 3
+        runs = np.frombuffer(b"ACGT", np.uint8)[runs].view(f"V{n}").ravel()
+        letters[:, lo : lo + n] = runs[numbers >> 2 * (k - lo - n) & 4**n - 1].view(np.uint8).reshape(-1, n)
+    edges = np.arange(len(numbers) + 1, dtype=np.int32) * k
+    return pa.StringArray.from_buffers(len(numbers), pa.py_buffer(edges), pa.py_buffer(letters))
+
+
+def piece_kmers(
+    pieces: DataFrame, k: int = 12, key: Sequence[str] = ("file", "record"), numbered: bool = False
+) -> DataFrame:
     """``(*key, kmer)``, distinct, of sequences in pieces ``(*key, block, part, seq)`` of any length.
 
-    A sequence is worked on by as many tasks as its pieces lie in.
+    A sequence is worked on by as many tasks as its pieces lie in.  ``numbered`` adds ``place``, the k-mer as a number
+    to the base of four, for at most 31 letters; these numbers are in the order of the letters.
     """
+    if k <= MOST_NUMBERED:
+
+        def columns(found: np.ndarray) -> dict[str, pa.Array]:
+            return {"kmer": _spelled(found, k)} | ({"place": pa.array(found)} if numbered else {})
+
+        schema = "kmer string, place bigint" if numbered else "kmer string"
+        return _from_pieces(pieces, k, key, lambda text: _numbers(text, k), columns, schema)
+    if numbered:
+        raise ValueError(f"k-mers of more than {MOST_NUMBERED} letters have no number")
 
     def words(text: np.ndarray) -> np.ndarray:
         starts = _windows(text, k)
         if not len(starts):
             return starts
         view = np.lib.stride_tricks.sliding_window_view(text, k)[starts]
-        return np.unique(np.ascontiguousarray(view).view(f"S{k}").ravel()).astype("U")
+        return np.unique(np.ascontiguousarray(view).view(f"S{k}").ravel())
 
-    return _from_pieces(pieces, k, key, words, pa.string(), "kmer")
+    spelled = lambda found: {"kmer": pa.array(found.astype("U"), pa.string())}
+    return _from_pieces(pieces, k, key, words, spelled, "kmer string")
 
 
 def piece_cells(
@@ -225,7 +293,8 @@ def piece_cells(
 ) -> DataFrame:
     """``(*key, cell)``, distinct: the grid cells of all k-mers of sequences in pieces."""
     shape = _grid(shape)
-    return _from_pieces(pieces, k, key, lambda text: _cells_of(text, k, shape), pa.int64(), "cell")
+    cells = lambda found: {"cell": pa.array(found, pa.int64())}
+    return _from_pieces(pieces, k, key, lambda text: _cells_of(text, k, shape), cells, "cell bigint")
 
 
 def piece_records(pieces: DataFrame, key: Sequence[str] = ("file", "record")) -> DataFrame:
